@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import in_subnet, safe_rate, uncommon_port
+from .ordered import chunked_lag
 from ..schemas import ENTROPY_WINDOW_S, FIVE_TUPLE, FLOW_COLUMNS, FLOW_KEY, US
 
 # Packets per chunk of the capture index; bounds the rows one task sorts for one flow.
@@ -44,21 +45,30 @@ def extract_5tuple(frames: DataFrame) -> DataFrame:
             .withColumn("dst_port", F.when(l4, F.col("dst_port")).otherwise(F.lit(0)).cast("int")))
 
 
-def packet_iat(packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS) -> DataFrame:
-    """Gap to the previous packet of the same flow (capture order), per chunk."""
+def _chunk_iat(packets: DataFrame, chunk_packets: int) -> DataFrame:
+    """Gap to the previous packet of the same flow inside its capture chunk."""
     chunk = F.floor(F.col("pkt_idx") / F.lit(chunk_packets)).cast("long")
     w = Window.partitionBy(*FLOW_KEY, "chunk").orderBy("pkt_idx")
     return (packets.select(*FLOW_KEY, "pkt_idx", "t_us", "len", chunk.alias("chunk"))
             .withColumn("iat", F.col("t_us") - F.lag("t_us").over(w)))
 
 
+def packet_iat(packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS) -> DataFrame:
+    """``np.diff`` of a flow's timestamps — gap (µs) to the previous packet of the same
+    flow in capture order; NULL for the first packet.  Exact across chunks."""
+    chunk = F.floor(F.col("pkt_idx") / F.lit(chunk_packets)).cast("long")
+    d = packets.select(*FLOW_KEY, "pkt_idx", "t_us", chunk.alias("_chunk"))
+    lagged = chunked_lag(d, FLOW_KEY, "_chunk", ["pkt_idx"], "t_us", "_prev")
+    return lagged.select(*FLOW_KEY, "pkt_idx", "t_us", (F.col("t_us") - F.col("_prev")).alias("iat"))
+
+
 def flow_stats(ip_packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS) -> DataFrame:
     """A1-A5: per flow ``seq, t0, t1, total_packets, total_bytes, mean/std len, iat``.
 
     ``seq`` is the capture index of the flow's first packet (flow order in its segment).
     Start/end are the first/last packet in capture order, not min/max time.
     """
-    per_chunk = (packet_iat(ip_packets, chunk_packets)
+    per_chunk = (_chunk_iat(ip_packets, chunk_packets)
                  .groupBy(*FLOW_KEY, "chunk")
                  .agg(F.count(F.lit(1)).alias("n"),
                       F.sum("len").alias("s_len"),

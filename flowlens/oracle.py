@@ -152,3 +152,108 @@ FLOW_OUT_COLS = ", ".join(
               "total_packets", "total_bytes", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes",
               "mean_pkt_len", "std_pkt_len", "mean_iat", "std_iat", "pkts_per_sec", "bytes_per_sec",
               "uncommon_port", "dst_ip_entropy", "segment_id", "seq"))
+
+
+LABELED = """
+labeled as (
+  select f.*, coalesce((select i.name from intervals i where i.start_us <= f.t1 and i.end_us >= f.t0
+                        order by i.base_line, i.start_line limit 1), 'NORMAL') as label
+  from flows f)"""
+
+PREP = """
+prep as (
+  select *, case proto when 6 then 'TCP' when 17 then 'UDP' when 1 then 'ICMP' else 'OTHER' end as proto_name,
+         t0 as start_us, make_timestamp(t0) as start_time_dt,
+         case when label is distinct from 'NORMAL' then dst_ip_entropy * 0.12
+              else dst_ip_entropy * 0.02 end as anomaly_score
+  from labeled)"""
+
+# Everything up to the prepared labelled flow table.
+LABELED_CHAIN = (PACKETS, FLOW_STATS, FLOWS_RAW, FIXTURE_LOG, LOG_EVENTS, INTERVALS, LABELED, PREP)
+DERIVED_LOG_CHAIN = (DERIVED_LOG, LOG_EVENTS)
+
+FEATURE_LIST = ("duration", "total_packets", "total_bytes", "fwd_packets", "bwd_packets", "fwd_bytes",
+                "bwd_bytes", "mean_pkt_len", "std_pkt_len", "mean_iat", "std_iat", "pkts_per_sec",
+                "bytes_per_sec", "uncommon_port", "dst_ip_entropy")
+
+CLASS_PRED = """
+cp_raw as (
+  select vec_id, label,
+         list_transform(range(10), lambda c: cast(((vec_id * 7 + c * 13) % 23)
+                        + case when c = label then 10 else 0 end as double)) as s
+  from embeddings),
+cpred as (
+  select 'class_rule' as model, vec_id as row_id, 'C' || label as label,
+         'C' || (list_position(s, list_max(s)) - 1) as prediction,
+         list_transform(s, lambda x: x / list_sum(s)) as probability
+  from cp_raw)"""
+
+FLOW_PRED = """
+fpred as (
+  select 'port_rule' as model, segment_id, seq, y, uncommon_port as yhat, cast(uncommon_port as double) as score
+  from (select *, case when label is not distinct from 'NORMAL' then 0 else 1 end as y from labeled)
+  union all
+  select 'entropy_rule', segment_id, seq, y, cast(dst_ip_entropy > 1.0 as integer),
+         floor(dst_ip_entropy * 1000000000.0 + 0.5) / 1000000000.0
+  from (select *, case when label is not distinct from 'NORMAL' then 0 else 1 end as y from labeled)),
+fpred2 as (
+  select *, case when y = 1 then 'ATTACK' else 'NORMAL' end as label,
+            case when yhat = 1 then 'ATTACK' else 'NORMAL' end as prediction from fpred)"""
+
+
+def auc_sql(src: str, keys: str, y: str = "y", score: str = "score") -> str:
+    """Exact AUC per ``keys`` over table ``src`` (ties count 1/2)."""
+    return f"""(
+  select {keys}, case when sum(pos) > 0 and sum(neg) > 0
+                 then sum(pos * (negb + neg * 0.5)) / (sum(pos) * sum(neg)) end as roc_auc
+  from (select *, coalesce(sum(neg) over (partition by {keys} order by sc
+                   rows between unbounded preceding and 1 preceding), 0) as negb
+        from (select {keys}, {score} as sc, count(*) filter (where {y} = 1) as pos,
+                     count(*) filter (where {y} <> 1) as neg
+              from {src} group by all))
+  group by all)"""
+
+
+def f1w_sql(src: str, keys: str) -> str:
+    """Support-weighted F1 per ``keys`` (label / prediction columns)."""
+    return f"""(
+  select {keys}, case when sum(support) > 0 then sum(support * case when support + predicted > 0
+                 then cast(2 as double) * tp / (support + predicted) else 0.0 end) / sum(support)
+                 else 0.0 end as f1_weighted
+  from (select {keys}, cls, sum(sup) as support, sum(prd) as predicted, sum(tp) as tp
+        from (select {keys}, label as cls, n as sup, 0 as prd, case when label = prediction then n else 0 end as tp
+              from (select {keys}, label, prediction, count(*) as n from {src} group by all)
+              union all
+              select {keys}, prediction, 0, n, 0
+              from (select {keys}, label, prediction, count(*) as n from {src} group by all))
+        group by all)
+  group by all)"""
+
+
+def grid_sql(src: str, keys: str) -> str:
+    """Zero-filled k x k grid of the sorted true classes per ``keys``."""
+    return f"""(
+  select t.{keys}, t.cls as true_label, p.cls as pred_label, t.idx as true_idx, p.idx as pred_idx,
+         coalesce(c.n, 0) as count
+  from (select {keys}, cls, cast(row_number() over (partition by {keys} order by cls) - 1 as integer) as idx
+        from (select distinct {keys}, label as cls from {src} where label is not null)) t
+  join (select {keys}, cls, cast(row_number() over (partition by {keys} order by cls) - 1 as integer) as idx
+        from (select distinct {keys}, label as cls from {src} where label is not null)) p on t.{keys} = p.{keys}
+  left join (select {keys}, label, prediction, count(*) as n from {src} group by all) c
+    on c.{keys} = t.{keys} and c.label = t.cls and c.prediction = p.cls)"""
+
+
+def fpr_sql(grid: str, keys: str) -> str:
+    return f"""(
+  select {keys}, case when max(true_idx) = 1 and sum(count) filter (where true_idx = 0) > 0
+         then (sum(count) filter (where true_idx = 0 and pred_idx = 1))
+              / (sum(count) filter (where true_idx = 0)) end as false_positive_rate
+  from {grid} group by all)"""
+
+
+def matrix_text_sql(grid: str, keys: str) -> str:
+    return f"""(
+  select {keys}, '[' || string_agg(r, ', ' order by true_idx) || ']' as confusion_matrix
+  from (select {keys}, true_idx, '[' || string_agg(cast(count as varchar), ', ' order by pred_idx) || ']' as r
+        from {grid} group by all)
+  group by all)"""

@@ -108,3 +108,43 @@ def attack_log_from_events(events: DataFrame) -> DataFrame:
 
 def read_attack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attack_log_from_events(read_table(spark, sf_dir, "events"))
+
+
+# --- stand-in prediction tables for the metric queries --------------------------------
+CLASS_COUNT = 10
+
+
+def class_predictions(embeddings: DataFrame) -> DataFrame:
+    """Multi-class stand-in from ``embeddings(vec_id, label)``: integer class scores
+    ``s_c = (vec_id*7 + c*13) % 23 + 10*[c = label]``, probability ``s_c / sum(s)``,
+    prediction = first class with the largest score.  Class names ``C0``..``C9``."""
+    vid, lab = F.col("vec_id"), F.col("_lab")
+    base = embeddings.select("vec_id", F.col("label").alias("_lab"))
+    s = F.transform(F.sequence(F.lit(0), F.lit(CLASS_COUNT - 1)),
+                    lambda c: ((vid * 7 + c * 13) % 23 + F.when(c == lab, 10).otherwise(0)).cast("double"))
+    scored = base.select("vec_id", "_lab", s.alias("_s"))
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + x)
+    arg = F.array_position("_s", F.array_max("_s")) - 1
+    return scored.select(
+        F.lit("class_rule").alias("model"), F.col("vec_id").alias("row_id"),
+        F.concat(F.lit("C"), F.col("_lab").cast("string")).alias("label"),
+        F.concat(F.lit("C"), arg.cast("string")).alias("prediction"),
+        F.transform("_s", lambda x: x / total).alias("probability"))
+
+
+def flow_predictions(labeled: DataFrame) -> DataFrame:
+    """Binary stand-in predictions on labelled flows: ``port_rule`` flags an uncommon
+    destination port (score = the flag), ``entropy_rule`` flags destination entropy > 1
+    (score = the entropy).  ``y`` = 0 for NORMAL, 1 otherwise (NULL label = attack)."""
+    y = F.when(F.col("label").eqNullSafe("NORMAL"), 0).otherwise(1)
+    base = labeled.select("segment_id", "seq", y.alias("y"), "uncommon_port", "dst_ip_entropy")
+    port = base.select(F.lit("port_rule").alias("model"), "segment_id", "seq", "y",
+                       F.col("uncommon_port").alias("yhat"), F.col("uncommon_port").cast("double").alias("score"))
+    # score: entropy to 9 decimals, so equal entropies tie in every engine
+    ent_score = F.floor(F.col("dst_ip_entropy") * F.lit(1e9) + F.lit(0.5)).cast("double") / F.lit(1e9)
+    ent = base.select(F.lit("entropy_rule").alias("model"), "segment_id", "seq", "y",
+                      (F.col("dst_ip_entropy") > 1.0).cast("int").alias("yhat"), ent_score.alias("score"))
+    out = port.unionByName(ent)
+    name = F.when(F.col("y") == 1, F.lit("ATTACK")).otherwise(F.lit("NORMAL"))
+    pname = F.when(F.col("yhat") == 1, F.lit("ATTACK")).otherwise(F.lit("NORMAL"))
+    return out.withColumn("label", name).withColumn("prediction", pname)
