@@ -82,14 +82,11 @@ def flow_stats(ip_packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS
     whole = Window.partitionBy(*FLOW_KEY)
     ordered = whole.orderBy("first_idx")
     gap = F.col("first_t") - F.lag("last_t").over(ordered)
-    c = (per_chunk
-         .withColumn("gap", gap)
-         .withColumn("mu_len", F.sum("s_len").over(whole) / F.sum("n").over(whole))
-         .withColumn("m_all", F.sum("m_iat").over(whole) + F.count("gap").over(whole))
-         .withColumn("mu_iat", F.when(F.col("m_all") > 0,
-                                      (F.coalesce(F.sum("s_iat").over(whole), F.lit(0))
-                                       + F.coalesce(F.sum("gap").over(whole), F.lit(0)))
-                                      / F.col("m_all"))))
+    m_all = F.sum("m_iat").over(whole) + F.count(gap).over(whole)
+    mu_iat = ((F.coalesce(F.sum("s_iat").over(whole), F.lit(0)) + F.coalesce(F.sum(gap).over(whole), F.lit(0)))
+              / m_all)
+    c = per_chunk.select("*", gap.alias("gap"), (F.sum("s_len").over(whole) / F.sum("n").over(whole)).alias("mu_len"),
+                         m_all.alias("m_all"), F.when(m_all > 0, mu_iat).alias("mu_iat"))
     chunk_mu_len = F.col("s_len") / F.col("n")
     chunk_mu_iat = F.col("s_iat") / F.col("m_iat")
     m2_len = F.col("m2_len") + F.col("n") * F.pow(chunk_mu_len - F.col("mu_len"), 2)
@@ -150,20 +147,17 @@ def dst_ip_entropy(flows: DataFrame, window_s: int = ENTROPY_WINDOW_S, t_col: st
     per_src = (Window.partitionBy("segment_id", "src_ip", "_sl").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = F.sum("_d").over(per_dst)
-    ev = (ev.withColumn("_c", c)
-          .withColumn("_dS", _g(F.col("_c")) - _g(F.col("_c") - F.col("_d")))
-          .withColumn("_dk", F.when((F.col("_d") == 1) & (F.col("_c") == 1), 1)
-                      .when((F.col("_d") == -1) & (F.col("_c") == 0), -1).otherwise(0)))
-    n = F.sum("_d").over(per_src)
-    s = F.sum("_dS").over(per_src)
-    k = F.sum("_dk").over(per_src)
-    ev = ev.withColumn("_n", n).withColumn("_S", s).withColumn("_k", k)
+    ev = ev.select("*", c.alias("_c"))
+    ev = ev.select("*", (_g(F.col("_c")) - _g(F.col("_c") - F.col("_d"))).alias("_dS"),
+                   F.when((F.col("_d") == 1) & (F.col("_c") == 1), 1)
+                   .when((F.col("_d") == -1) & (F.col("_c") == 0), -1).otherwise(0).alias("_dk"))
+    ev = ev.select("*", F.sum("_d").over(per_src).alias("_n"), F.sum("_dS").over(per_src).alias("_S"),
+                   F.sum("_dk").over(per_src).alias("_k"))
     h = (F.when(F.col("_k") <= 1, F.lit(0.0))
          .when(F.col("_k") == F.col("_n"), F.log2(F.col("_n")))
          .otherwise(F.greatest(F.log2(F.col("_n")) - F.col("_S") / F.col("_n"), F.lit(0.0))))
-    out = ev.where(F.col("_own")).withColumn("dst_ip_entropy", h)
-    keep = cols + ["dst_ip_entropy"] + (["_sl"] if keep_slice else [])
-    return out.select(*keep)
+    keep = [F.col(c) for c in cols] + [h.alias("dst_ip_entropy")] + ([F.col("_sl")] if keep_slice else [])
+    return ev.where(F.col("_own")).select(*keep)
 
 
 def assemble_flows(stats: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

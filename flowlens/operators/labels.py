@@ -54,15 +54,15 @@ def attack_intervals(log: DataFrame, closed_only: bool = True) -> DataFrame:
     by_line = Window.partitionBy("base").orderBy("line_no")
     running = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
-    d = (ev.withColumn("_s", F.sum(step).over(running))
-         .withColumn("_d", F.col("_s") - F.least(F.min("_s").over(running), F.lit(0))))
-    lvl = (d.withColumn("level", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(by_line), F.lit(0)))
-                        .otherwise(F.col("_d")))
-           .withColumn("base_line", F.min("line_no").over(Window.partitionBy("base"))))
+    s_run = F.sum(step).over(running)
+    d = ev.select("*", s_run.alias("_s"))
+    d = d.select("*", (F.col("_s") - F.least(F.min("_s").over(running), F.lit(0))).alias("_d"))
+    lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(by_line), F.lit(0)))
+                   .otherwise(F.col("_d")).alias("level"),
+                   F.min("line_no").over(Window.partitionBy("base")).alias("base_line"))
     same_level = Window.partitionBy("base", "level").orderBy("line_no")
-    paired = (lvl.where(F.col("level") >= 1)
-              .withColumn("_next_end", F.lead("is_end").over(same_level))
-              .withColumn("_next_ts", F.lead("ts_us").over(same_level)))
+    paired = lvl.where(F.col("level") >= 1).select(
+        "*", F.lead("is_end").over(same_level).alias("_next_end"), F.lead("ts_us").over(same_level).alias("_next_ts"))
     iv = paired.where(~F.col("is_end")).select(
         F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
         F.when(F.col("_next_end"), F.col("_next_ts")).alias("end_us"),

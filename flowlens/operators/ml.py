@@ -175,7 +175,8 @@ def _assembled(df: DataFrame, feats: Sequence[str], out: str = "features") -> Da
 
 
 def train_random_forest(train_scaled: DataFrame, features: Sequence[str], label: str = "label",
-                        num_trees: int = 200, max_depth: int = 20, seed: int = SEED) -> PipelineModel:
+                        num_trees: int = 200, max_depth: int = 20, seed: int = SEED,
+                        max_memory_mb: int = 256) -> PipelineModel:
     """M3: 200 trees, depth 20, balanced class weights, seed 42.  Spark has no
     ``min_samples_split``; ``minInstancesPerNode=2`` is its per-child counterpart of 5."""
     w = class_weights(train_scaled, label).select(label, "weight")
@@ -184,7 +185,7 @@ def train_random_forest(train_scaled: DataFrame, features: Sequence[str], label:
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=2,
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=max_memory_mb)
     return Pipeline(stages=[idx, va, rf]).fit(t)
 
 
@@ -212,18 +213,20 @@ def train_anomaly_model(normal_scaled: DataFrame, features: Sequence[str], k: in
 
 
 def anomaly_errors(model: dict, scaled: DataFrame) -> DataFrame:
-    """A21 with the PCA reconstruction ``mu + P P^T (x - mu)``: adds ``error``."""
+    """A21 for the PCA model: reconstruction ``mu + P P^T (x - mu)``; with orthonormal
+    components the squared error is ``|x - mu|^2 - |P^T (x - mu)|^2`` (Pythagoras), so
+    only Spark's own PCA projection is needed.  Adds ``error`` (mean over features)."""
     feats = model["features"]
-    pcm = model["pca"].pc.toArray()  # 15 x k component matrix (a model parameter)
     d = scaled.crossJoin(F.broadcast(model["mu"]))
-    x = F.array(*[F.col(f) for f in feats])
-    xc = [F.col(f) - F.col("mu")[i] for i, f in enumerate(feats)]
-    kk = pcm.shape[1]
-    proj = [sum((xc[i] * float(pcm[i, j]) for i in range(len(feats))), F.lit(0.0)) for j in range(kk)]
-    d = d.withColumn("_y", F.array(*proj))
-    xhat = F.array(*[F.col("mu")[i] + sum((F.col("_y")[j] * float(pcm[i, j]) for j in range(kk)), F.lit(0.0))
-                     for i in range(len(feats))])
-    return d.withColumn("error", reconstruction_error(x, xhat)).drop("_y", "mu")
+    centered = [(F.col(f) - F.col("mu")[i]) for i, f in enumerate(feats)]
+    d = d.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(centered)])
+    va = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(feats))], outputCol="_cv", handleInvalid="keep")
+    proj = model["pca"].copy({model["pca"].inputCol: "_cv", model["pca"].outputCol: "_pc"})
+    y = proj.transform(va.transform(d)).withColumn("_y", vector_to_array("_pc"))
+    norm_x = sum((F.col(f"_c{i}") * F.col(f"_c{i}") for i in range(len(feats))), F.lit(0.0))
+    norm_y = F.aggregate("_y", F.lit(0.0), lambda acc, v: acc + v * v)
+    err = F.greatest(norm_x - norm_y, F.lit(0.0)) / F.lit(float(len(feats)))
+    return y.withColumn("error", err).drop("_cv", "_pc", "_y", "mu", *[f"_c{i}" for i in range(len(feats))])
 
 
 def predict_table(model: PipelineModel, df: DataFrame) -> DataFrame:

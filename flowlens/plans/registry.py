@@ -852,3 +852,7 @@ def q_sequence_windows(spark, d):
     long = w.select("src_ip", "end_segment_id", "end_seq", "label", F.posexplode("rows").alias("pos", "x"))
     return round_doubles(long.select("src_ip", "end_segment_id", "end_seq", "label", F.col("pos").cast("int").alias("pos"),
                                      *[F.col("x")[i].alias(f) for i, f in enumerate(FEATURES)]))
+
+
+# sources, sinks, streaming and model queries register themselves on import
+from . import registry_io  # noqa: E402,F401
