@@ -16,7 +16,7 @@ __all__ = [
     "col_or", "uncommon_port", "proto_name", "safe_rate", "us_to_seconds", "us_to_timestamp",
     "ipv4_to_long", "in_subnet", "parse_log_ts", "event_base", "event_is_end", "is_attack",
     "binary_label", "anomaly_score", "anomaly_status", "format_bytes", "label_display",
-    "time_of_day", "log2", "round6",
+    "time_of_day", "tod_from_seconds", "log2", "round6",
 ]
 
 
@@ -74,8 +74,13 @@ def in_subnet(ip: str | Column, cidr: str) -> Column:
 
 
 def parse_log_ts(s: str | Column) -> Column:
-    """Strict ``%Y-%m-%dT%H:%M:%SZ`` (UTC) -> TIMESTAMP, NULL when unparsable."""
-    return F.try_to_timestamp(col_or(s), F.lit(LOG_TS_FORMAT))
+    """Strict ``%Y-%m-%dT%H:%M:%SZ`` (UTC) -> TIMESTAMP, NULL when unparsable.
+
+    The trailing ``Z`` is parsed as the zero offset, so the instant does not depend on
+    the session time zone; other offsets are rejected like the reference's format."""
+    c = col_or(s)
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"),
+                  F.try_to_timestamp(c, F.lit(LOG_TS_FORMAT)))
 
 
 def event_base(event: str | Column) -> Column:
@@ -121,8 +126,15 @@ def label_display(label: str | Column = "label") -> Column:
     return F.regexp_replace(col_or(label), r"^([^_]*)_", "$1 ")
 
 
+def tod_from_seconds(sec: str | Column) -> Column:
+    """``HH:MM:SS`` (UTC) of epoch seconds, by arithmetic (no session time zone)."""
+    s = F.pmod(col_or(sec).cast("long"), F.lit(86400))
+    return F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"), ((s % 3600) / 60).cast("int"), (s % 60).cast("int"))
+
+
 def time_of_day(ts: str | Column) -> Column:
-    return F.date_format(col_or(ts), "HH:mm:ss")
+    """``strftime('%H:%M:%S')`` of a timestamp, in UTC."""
+    return tod_from_seconds(F.unix_seconds(col_or(ts)))
 
 
 def log2(x: str | Column) -> Column:

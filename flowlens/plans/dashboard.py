@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import anomaly_score, is_attack, proto_name, time_of_day
+from ..functions.exprs import anomaly_score, is_attack, proto_name, tod_from_seconds
 from ..operators.ordered import chunked_lag, idiv
 from ..schemas import (PAGE_DEFAULT, PAGE_MAX, TIMELINE_EMPTY_ROWS, TIMELINE_MAX_BINS,
                        TIMELINE_MIN_BINS, US)
@@ -201,7 +201,7 @@ def timeline(flows: DataFrame, now_s: float | None = None) -> DataFrame:
         F.col("_last_sec") + (F.col("bucket") - F.col("_last_b")) * F.col("_step"))
     out = g.select(
         "bucket",
-        time_of_day(F.timestamp_seconds(F.pmod(label_sec, F.lit(86400)))).alias("label"),
+        tod_from_seconds(label_sec).alias("label"),
         F.when(F.col("_mu").isNotNull(), fround(F.coalesce(F.col("_pps"), F.lit(0.0)), 1))
         .otherwise(F.lit(0.0)).alias("pkts"),
         F.when(F.col("_mu").isNotNull(), fround(F.coalesce(F.col("_an"), F.lit(0.0)), 3))
@@ -212,7 +212,7 @@ def timeline(flows: DataFrame, now_s: float | None = None) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(TIMELINE_EMPTY_ROWS - 1))).alias("bucket"))
     empty = empty.select(
         "bucket",
-        time_of_day(F.timestamp_seconds(F.floor(F.lit(float(now_s)) - (F.lit(TIMELINE_EMPTY_ROWS) - F.col("bucket")))))
+        tod_from_seconds(F.floor(F.lit(float(now_s)) - (F.lit(TIMELINE_EMPTY_ROWS) - F.col("bucket"))))
         .alias("label"), F.lit(0.0).alias("pkts"), F.lit(0.0).alias("anomaly"))
     return out.unionByName(empty)
 

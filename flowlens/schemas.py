@@ -21,7 +21,7 @@ NORMAL = "NORMAL"
 # Rolling window of the destination-entropy feature, seconds.
 ENTROPY_WINDOW_S = 10
 # Log timestamp format (strict ISO-8601 UTC, second precision).
-LOG_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+LOG_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ssX"
 # Anomaly score weights for attack / normal rows and the "elevated" threshold.
 ANOMALY_WEIGHT_ATTACK = 0.12
 ANOMALY_WEIGHT_NORMAL = 0.02

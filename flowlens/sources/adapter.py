@@ -44,8 +44,12 @@ def _k(props: Column) -> Column:
 
 
 def _offset_us(ts: Column) -> Column:
-    """Compressed offset from 2024-01-01 in microseconds (integer arithmetic)."""
-    raw = F.unix_micros(ts.cast("timestamp")) - F.lit(EPOCH_2024_US)
+    """Compressed offset from 2024-01-01 in microseconds (integer arithmetic).
+
+    ``events.ts`` is a wall-clock UTC timestamp without zone (TIMESTAMP_NTZ): the
+    difference to 2024-01-01 is taken between NTZ values, so the session time zone does
+    not enter."""
+    raw = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
     return F.floor(raw / F.lit(TIME_COMPRESSION)).cast("long")
 
 
@@ -91,8 +95,9 @@ def attack_log_from_events(events: DataFrame) -> DataFrame:
     ``view`` events with value < 2 are blank.
     """
     k = _k(F.col("props"))
-    secs = F.floor((_offset_us(F.col("ts")) + F.lit(EPOCH_2024_US)) / F.lit(US)).cast("long")
-    ts_text = F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    secs = F.floor(_offset_us(F.col("ts")) / F.lit(US)).cast("long")
+    ntz = F.timestamp_add("SECOND", secs, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+    ts_text = F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     names = F.array(*[F.lit(n) for n in ATTACK_NAMES])
     event = F.concat(F.element_at(names, (k % 4 + 1).cast("int")),
                      F.when(F.col("user_id") % 2 == 0, F.lit("_START")).otherwise(F.lit("_END")))
