@@ -132,15 +132,14 @@ def dst_ip_entropy(flows: DataFrame, window_s: int = ENTROPY_WINDOW_S, t_col: st
     t = F.col(t_col)
     sl = F.floor(t / F.lit(wlen)).cast("long")
     cols = flows.columns
-    own = flows.select(*cols, sl.alias("_sl"), t.alias("_et"), F.lit(0).alias("_ph"),
-                       F.lit(1).alias("_d"), F.lit(True).alias("_own"))
-    ctx_cols = [F.col(c) if c in ("segment_id", "src_ip", "dst_ip", t_col, seq_col)
-                else F.lit(None).cast(flows.schema[c].dataType).alias(c) for c in cols]
-    enter = flows.select(*ctx_cols, (sl + 1).alias("_sl"), t.alias("_et"), F.lit(0).alias("_ph"),
-                         F.lit(1).alias("_d"), F.lit(False).alias("_own"))
-    leave = flows.select(*ctx_cols, (sl + 1).alias("_sl"), (t + F.lit(wlen)).alias("_et"),
-                         F.lit(1).alias("_ph"), F.lit(-1).alias("_d"), F.lit(False).alias("_own"))
-    ev = own.unionByName(enter).unionByName(leave).repartition("segment_id", "src_ip", "_sl")
+    ctx_keep = ("segment_id", "src_ip", "dst_ip", t_col, seq_col)
+    ev_struct = lambda s_, e_, ph, d, own: F.struct(s_.alias("_sl"), e_.alias("_et"), F.lit(ph).alias("_ph"),
+                                                     F.lit(d).alias("_d"), F.lit(own).alias("_own"))
+    # one pass over the flows: own enter event, and enter/exit events as context of the next slice
+    ex = flows.select(*cols, F.explode(F.array(ev_struct(sl, t, 0, 1, True), ev_struct(sl + 1, t, 0, 1, False),
+                                               ev_struct(sl + 1, t + F.lit(wlen), 1, -1, False))).alias("_e"))
+    ev = ex.select(*[F.col(c) if c in ctx_keep else F.when(F.col("_e._own"), F.col(c)).alias(c) for c in cols],
+                   "_e._sl", "_e._et", "_e._ph", "_e._d", "_e._own").repartition("segment_id", "src_ip", "_sl")
     order = ("_et", "_ph", seq_col)
     per_dst = (Window.partitionBy("segment_id", "src_ip", "_sl", "dst_ip").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

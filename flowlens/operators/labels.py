@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import event_base, event_is_end, parse_log_ts
-from ..schemas import NORMAL, US
+from ..schemas import NORMAL, SEGMENT_S, US
 
-# Bucket width of the overlap join and the largest bucketed interval list that is
-# broadcast (one row per interval and bucket it covers).
-DEFAULT_BUCKET_S = 60
-BROADCAST_INTERVAL_ROWS = 200_000
+# Largest bucketed interval list (one row per interval and bucket it covers) and bucket
+# range that are broadcast as one dense array; above them the bucketed equi-join is used.
+# Bucket width: the mean interval length, at least one capture segment (a flow then covers
+# at most two buckets) and at most one hour.
+BROADCAST_INTERVAL_ROWS = 10_000
+BROADCAST_BUCKET_RANGE = 100_000
+MIN_BUCKET_S, MAX_BUCKET_S = SEGMENT_S, 3600
 
 
 def parse_attack_log(log: DataFrame) -> DataFrame:
@@ -78,38 +81,66 @@ def _bucketed(iv: DataFrame, bucket_us: int) -> DataFrame:
                               F.col("end_us"), F.col("name")).alias("_iv"))
 
 
-def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: int = DEFAULT_BUCKET_S,
+def plan_label_join(intervals: DataFrame, bucket_s: float | None = None,
+                    broadcast_rows: int = BROADCAST_INTERVAL_ROWS) -> tuple[str, int]:
+    """Strategy and bucket width (µs) from one small aggregate over the intervals (count,
+    mean length, time range).  Bucketed rows are estimated as ``n * (1 + mean / bucket)``."""
+    ln = (F.col("end_us") - F.col("start_us")).cast("double")
+    st = intervals.agg(F.count(F.lit(1)).alias("n"), F.avg(ln).alias("avg"),
+                       F.min("start_us").alias("lo"), F.max("end_us").alias("hi")).first()
+    n, avg = st["n"], st["avg"] or 0.0
+    if bucket_s is None:
+        bucket_us = int(min(max(avg, MIN_BUCKET_S * US), MAX_BUCKET_S * US))
+    else:
+        bucket_us = int(bucket_s * US)
+    est = n * (1.0 + avg / bucket_us)
+    span = ((st["hi"] - st["lo"]) // bucket_us + 1) if n else 0
+    small = est <= broadcast_rows and span <= BROADCAST_BUCKET_RANGE
+    return ("broadcast" if small else "join"), bucket_us
+
+
+_IV_TYPE = "array<struct<base_line:bigint,start_line:bigint,start_us:bigint,end_us:bigint,name:string>>"
+
+
+def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None = None,
                 broadcast_rows: int = BROADCAST_INTERVAL_ROWS, strategy: str | None = None) -> DataFrame:
-    """Add ``label`` = first interval (list order) with ``start <= t0_iv <= ... `` overlap.
-
-    Overlap is closed at both ends: ``flow.start <= iv.end and flow.end >= iv.start``.
-    Intervals are cut into ``bucket_s`` buckets.  If the bucketed list has at most
-    ``broadcast_rows`` rows (checked with a bounded count), it becomes one broadcast map
-    bucket -> intervals and each flow looks only at the buckets it covers: no shuffle of
-    the flows, no nested loop.  Otherwise flows and intervals are equi-joined on the bucket
-    (AQE splits skewed buckets) and the first match per flow is kept with ``min``.
+    """Add ``label`` = first interval in list order that overlaps the flow, else NORMAL.
+
+    Overlap is closed at both ends: ``flow.start <= iv.end and flow.end >= iv.start``;
+    the attack's src/dst are ignored, as in the reference.  Intervals are cut into time
+    buckets.  A small bucketed list (checked by a bounded estimate) becomes one broadcast
+    row holding a dense array indexed by bucket; each flow reads only the buckets it
+    covers (O(1) access) — no shuffle of the flows, no nested loop over all intervals.
+    A large list is equi-joined with the flows on the bucket (AQE broadcasts it when it is
+    measured small and splits skewed buckets); the first match per flow is kept with
+    ``min`` over (base_line, start_line).
     """
-    bucket_us = bucket_s * US
-    fs = F.floor(F.col("start_time") * F.lit(float(US)) / F.lit(bucket_us))
+    planned, bucket_us = plan_label_join(intervals, bucket_s, broadcast_rows)
+    strategy = strategy or planned
     t0 = F.round(F.col("start_time") * F.lit(float(US))).cast("long")
     t1 = F.round(F.col("end_time") * F.lit(float(US))).cast("long")
     b = _bucketed(intervals, bucket_us)
-    if strategy is None:
-        n = b.limit(broadcast_rows + 1).count()
-        strategy = "broadcast" if n <= broadcast_rows else "join"
     fb0 = F.floor(t0 / F.lit(bucket_us)).cast("long")
     fb1 = F.floor(t1 / F.lit(bucket_us)).cast("long")
-    del fs
     if strategy == "broadcast":
         per_bucket = b.groupBy("_b").agg(F.array_sort(F.collect_list("_iv")).alias("_ivs"))
-        one = per_bucket.agg(F.map_from_entries(F.collect_list(F.struct("_b", "_ivs"))).alias("_m"))
-        cand = F.flatten(F.transform(F.sequence(fb0, F.greatest(fb0, fb1)),
-                                     lambda x: F.coalesce(F.try_element_at(F.col("_m"), x),
-                                                          F.array().cast("array<struct<base_line:bigint,start_line:bigint,start_us:bigint,end_us:bigint,name:string>>"))))
+        rng = per_bucket.agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+        grid = rng.select("_lo", F.explode(F.sequence("_lo", "_hi")).alias("_b"))
+        dense = (grid.join(per_bucket, "_b", "left")
+                 .groupBy("_lo").agg(F.array_sort(F.collect_list(F.struct("_b", "_ivs"))).alias("_e"))
+                 .select("_lo", F.transform("_e", lambda e: F.coalesce(e["_ivs"], F.array().cast(_IV_TYPE)))
+                         .alias("_dense")))
+        def at(x):
+            i = (x - F.col("_lo") + 1).cast("int")
+            inside = (i >= 1) & (i <= F.size("_dense"))
+            return F.when(inside, F.element_at(F.col("_dense"), F.when(inside, i).otherwise(F.lit(1))))\
+                .otherwise(F.array().cast(_IV_TYPE))
+
+        cand = F.flatten(F.transform(F.sequence(fb0, F.greatest(fb0, fb1)), at))
         hit = F.filter(cand, lambda iv: (iv["start_us"] <= t1) & (iv["end_us"] >= t0))
-        return (flows.crossJoin(F.broadcast(one))
-                .withColumn("label", F.coalesce(F.array_min(hit)["name"], F.lit(NORMAL)))
-                .drop("_m"))
+        j = flows.join(F.broadcast(dense), how="left")  # 1-row (or empty) build side
+        return (j.withColumn("label", F.coalesce(F.array_min(hit)["name"], F.lit(NORMAL)))
+                .drop("_dense", "_lo"))
     # join form: one row per (flow, bucket it covers), equi-join on bucket, min per flow.
     fid = ["segment_id", "seq"]
     keyed = flows.select(*fid, t0.alias("_t0"), t1.alias("_t1"),

@@ -19,6 +19,7 @@ from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..schemas import FEATURES, FIVE_TUPLE, FLOW_COLUMNS, US
 from ..sources import adapter as AD
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import dashboard as DB
 
@@ -86,7 +87,11 @@ def fixture_intervals(spark: SparkSession) -> DataFrame:
 
 
 def labeled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LB.label_flows(flows_of(spark, sf_dir), fixture_intervals(spark))
+    """The labelled flow table, written once (reliable checkpoint in the shared folder) so
+    that queries with several branches over it — counts and a page, a KPI row and model
+    scores, bucket bounds and bucket rows — read a stored table instead of recomputing
+    packets -> flows -> labels per branch.  This is the table the monitoring API serves."""
+    return cut_lineage(LB.label_flows(flows_of(spark, sf_dir), fixture_intervals(spark)))
 
 
 def prepared_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ ATTACK_LOG_FIXTURE = (
 
 
 def _k(props: Column) -> Column:
-    return F.get_json_object(props, "$.k").cast("int")
+    """``props.k`` as INT, parsed once per row (``from_json`` with a one-field schema)."""
+    return F.from_json(props, "k int")["k"]
 
 
 def _offset_us(ts: Column) -> Column:
@@ -55,16 +56,20 @@ def _offset_us(ts: Column) -> Column:
 
 def packets_from_events(events: DataFrame) -> DataFrame:
     """``events(event_id, ts, user_id, event_type, value, props)`` -> ``packets``."""
-    k = _k(F.col("props"))
+    # parse props and the time once; the projections below reference them several times
+    e = events.select("event_id", "user_id", "event_type", "value", _k(F.col("props")).alias("_k"),
+                      (_offset_us(F.col("ts")) + F.lit(EPOCH_2024_US)).alias("t_us"))
+    k = F.col("_k")
     et = F.col("event_type")
-    t_us = (_offset_us(F.col("ts")) + F.lit(EPOCH_2024_US)).alias("t_us")
     src_port = F.when(et == "error", F.lit(0)).otherwise(F.lit(40000) + (F.col("user_id") % 2).cast("int"))
     dst_port = (F.when(et == "error", 0).when(et == "purchase", 53).when(et == "signup", 1883)
                 .when(et == "view", 443).when(k >= 90, 4444).otherwise(80))
     proto = F.when(et == "error", 1).when(et == "purchase", 17).otherwise(6)
-    pk = events.select(
+    seg = F.floor(F.col("t_us") / F.lit(SEGMENT_S * US)).cast("long")
+    return e.select(
+        seg.alias("segment_id"),
         F.col("event_id").alias("pkt_idx"),
-        t_us,
+        "t_us",
         (F.col("value") >= 1.0).alias("is_ip"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 4).cast("string")).alias("src_ip"),
         src_port.cast("int").alias("src_port"),
@@ -73,8 +78,6 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         proto.cast("int").alias("proto"),
         (F.lit(60) + F.floor(F.col("value")).cast("int")).cast("int").alias("len"),
     )
-    seg = F.floor(F.col("t_us") / F.lit(SEGMENT_S * US)).cast("long")
-    return pk.select(seg.alias("segment_id"), *pk.columns)
 
 
 def read_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +97,11 @@ def attack_log_from_events(events: DataFrame) -> DataFrame:
     value < 3 carry a bad timestamp, ``click`` events with value < 3 lose their last field,
     ``view`` events with value < 2 are blank.
     """
-    k = _k(F.col("props"))
-    secs = F.floor(_offset_us(F.col("ts")) / F.lit(US)).cast("long")
-    ntz = F.timestamp_add("SECOND", secs, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
-    ts_text = F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = events.select("event_id", "user_id", "event_type", "value", _k(F.col("props")).alias("_k"),
+                      F.floor(_offset_us(F.col("ts")) / F.lit(US)).cast("long").alias("_secs"))
+    ntz = F.timestamp_add("SECOND", F.col("_secs"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+    e = e.select("*", F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("_ts_text"))
+    k, ts_text = F.col("_k"), F.col("_ts_text")
     names = F.array(*[F.lit(n) for n in ATTACK_NAMES])
     event = F.concat(F.element_at(names, (k % 4 + 1).cast("int")),
                      F.when(F.col("user_id") % 2 == 0, F.lit("_START")).otherwise(F.lit("_END")))
@@ -108,7 +112,7 @@ def attack_log_from_events(events: DataFrame) -> DataFrame:
             .when((et == "error") & (v < 3), F.concat_ws(",", F.lit("bad-time"), event, src, dst))
             .when((et == "click") & (v < 3), F.concat_ws(",", ts_text, event, src))
             .otherwise(F.concat_ws(",", ts_text, event, src, dst)))
-    return events.select(F.col("event_id").alias("line_no"), line.alias("line"))
+    return e.select(F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 def read_attack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
