@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import event_base, event_is_end, parse_log_ts
 from ..schemas import NORMAL, SEGMENT_S, US
+from .ordered import chunked_lag, chunked_lead
 
 # Largest bucketed interval list (one row per interval and bucket it covers) and bucket
 # range that are broadcast as one dense array; above them the bucketed equi-join is used.
@@ -43,32 +44,80 @@ def parse_attack_log(log: DataFrame) -> DataFrame:
                     "src", "dst"))
 
 
-def attack_intervals(log: DataFrame, closed_only: bool = True) -> DataFrame:
-    """J2 via W4: ``(name, start_us, end_us, base_line, start_line, src, dst)``.
+# Lines per chunk of the pairing windows (a chunk is the unit one task orders).
+PAIR_CHUNK_LINES = 1 << 16
 
-    Per attack name in line order: ``s`` = running sum of +1 (START) / -1 (END), depth
-    ``d = s - min(0, running min s)`` (a stack that ignores stray ENDs).  A START sits at
-    level ``d``; an END at level ``d`` of the row before it (0 = stray, dropped).  Inside
-    (name, level) the row after a START is its closing END, if it is an END.
-    ``(base_line, start_line)`` is the reference's list order.  Never-closed STARTs are
-    dropped unless ``closed_only=False`` (then ``end_us`` is NULL).
-    """
-    ev = parse_attack_log(log)
+
+def _running_depth(ev: DataFrame, chunk_lines: int) -> DataFrame:
+    """Stack depth after each event per attack name: ``s`` = running sum of +1 / -1 and
+    ``d = s - min(0, running min of s)``.  Computed per (name, line chunk): local running
+    sum and minimum inside the chunk, plus the chunk's offset (sum of earlier chunks) and
+    the minimum carried in from earlier chunks, from a small per-chunk table."""
+    step = F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
+    ev = ev.select("*", step.alias("_step"), F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long").alias("_ch"))
+    local = Window.partitionBy("base", "_ch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.select("*", F.sum("_step").over(local).alias("_sl"))
+    ev = ev.select("*", F.min("_sl").over(local).alias("_ml"))
+    chunks = ev.groupBy("base", "_ch").agg(F.sum("_step").alias("_t"), F.min("_sl").alias("_mc"))
+    before = Window.partitionBy("base").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("*", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_soff"))
+    chunks = chunks.select("base", "_ch", "_soff", F.min(F.col("_soff") + F.col("_mc")).over(before).alias("_moff"))
+    j = ev.join(chunks, ["base", "_ch"], "inner")
+    s = F.col("_soff") + F.col("_sl")
+    run_min = F.least(F.coalesce(F.col("_moff"), F.lit(0)), F.col("_soff") + F.col("_ml"))
+    return j.select(*ev.columns, (s - F.least(run_min, F.lit(0))).alias("_d")) \
+        .drop("_step", "_sl", "_ml")
+
+
+def _pair_small(ev: DataFrame) -> DataFrame:
+    """The same pairing with plain per-name windows (logs of at most one chunk)."""
     by_line = Window.partitionBy("base").orderBy("line_no")
     running = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
-    s_run = F.sum(step).over(running)
-    d = ev.select("*", s_run.alias("_s"))
+    d = ev.select("*", F.sum(step).over(running).alias("_s"))
     d = d.select("*", (F.col("_s") - F.least(F.min("_s").over(running), F.lit(0))).alias("_d"))
     lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(by_line), F.lit(0)))
                    .otherwise(F.col("_d")).alias("level"),
                    F.min("line_no").over(Window.partitionBy("base")).alias("base_line"))
     same_level = Window.partitionBy("base", "level").orderBy("line_no")
-    paired = lvl.where(F.col("level") >= 1).select(
-        "*", F.lead("is_end").over(same_level).alias("_next_end"), F.lead("ts_us").over(same_level).alias("_next_ts"))
-    iv = paired.where(~F.col("is_end")).select(
+    return lvl.where(F.col("level") >= 1).select(
+        "*", F.lead(F.struct("is_end", "ts_us")).over(same_level).alias("_next"))
+
+
+def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int | None = None) -> DataFrame:
+    """J2 via W4: ``(name, start_us, end_us, base_line, start_line, src, dst)``.
+
+    Per attack name in line order the stack depth ``d`` is a running sum reflected at
+    zero (stray ENDs are ignored).  A START sits at level ``d``; an END at the level of
+    the row before it (0 = stray, dropped).  Among the rows of one (name, level) the row
+    after a START is its closing END, if it is an END.  ``(base_line, start_line)`` is the
+    reference's list order.  Never-closed STARTs are dropped unless ``closed_only=False``
+    (then ``end_us`` is NULL).  All windows run per (name, chunk of ``chunk_lines``
+    lines) with carries between chunks, so one very common attack name is still spread
+    over many tasks.
+    """
+    ev = parse_attack_log(log)
+    if chunk_lines is None:
+        # bounded size check: a log of at most one chunk needs no carries between chunks
+        small = log.limit(PAIR_CHUNK_LINES + 1).count() <= PAIR_CHUNK_LINES
+        chunk_lines = 0 if small else PAIR_CHUNK_LINES
+    if chunk_lines == 0:
+        paired = _pair_small(ev)
+        iv = paired.where(~F.col("is_end")).select(
+            F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
+            F.when(F.col("_next.is_end"), F.col("_next.ts_us")).alias("end_us"),
+            "base_line", F.col("line_no").alias("start_line"), "src", "dst")
+        return iv.where(F.col("end_us").isNotNull()) if closed_only else iv
+    d = _running_depth(ev, chunk_lines)
+    d = chunked_lag(d, ["base"], "_ch", ["line_no"], "_d", "_dprev")
+    lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.col("_dprev"), F.lit(0))).otherwise(F.col("_d"))
+                   .alias("level"))
+    first_line = lvl.groupBy("base").agg(F.min("line_no").alias("base_line"))
+    at_level = lvl.where(F.col("level") >= 1).select("*", F.struct("is_end", "ts_us").alias("_ev"))
+    paired = chunked_lead(at_level, ["base", "level"], "_ch", ["line_no"], "_ev", "_next")
+    iv = paired.where(~F.col("is_end")).join(F.broadcast(first_line), "base").select(
         F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
-        F.when(F.col("_next_end"), F.col("_next_ts")).alias("end_us"),
+        F.when(F.col("_next.is_end"), F.col("_next.ts_us")).alias("end_us"),
         "base_line", F.col("line_no").alias("start_line"), "src", "dst")
     return iv.where(F.col("end_us").isNotNull()) if closed_only else iv
 

@@ -92,3 +92,21 @@ def chunked_lag(df: DataFrame, part: Sequence[str], chunk: str, order: Sequence[
 def idiv(a: Column, b: Column) -> Column:
     """Exact floor division of BIGINTs (no double rounding)."""
     return ((a - F.pmod(a, b)) / b).cast("long")
+
+
+def chunked_lead(df: DataFrame, part: Sequence[str], chunk: str, order: Sequence[str], value: str,
+                 out: str = "next") -> DataFrame:
+    """``lead(value) over (partition by part order by chunk, *order)`` computed per
+    (part, chunk); the last row of a chunk takes the first value of the nearest later
+    non-empty chunk."""
+    part = list(part)
+    okey = F.struct(*[F.col(c) for c in order])
+    first = df.groupBy(*part, chunk).agg(F.min_by(F.col(value), okey).alias("_first"))
+    next_chunk = first.select(*part, chunk, F.lead("_first").over(Window.partitionBy(*part).orderBy(chunk))
+                              .alias("_carry"))
+    local = Window.partitionBy(*part, chunk).orderBy(*order)
+    last = Window.partitionBy(*part, chunk).orderBy(*[F.col(c).desc() for c in order])
+    return (df.withColumns({"_rl": F.row_number().over(last), out: F.lead(value).over(local)})
+            .join(next_chunk, [*part, chunk], "inner")
+            .withColumn(out, F.when(F.col("_rl") == 1, F.col("_carry")).otherwise(F.col(out)))
+            .drop("_rl", "_carry"))

@@ -9,9 +9,9 @@ from flowlens.sources import adapter as AD
 BASE = 1_704_067_200
 
 
-def _intervals(spark, lines):
+def _intervals(spark, lines, chunk=1 << 16):
     log = spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, line string")
-    return LB.attack_intervals(log)
+    return LB.attack_intervals(log, chunk_lines=chunk)
 
 
 def test_fixture_log_intervals_in_match_order(spark):
@@ -49,8 +49,8 @@ def _stack(lines):
     return [(b, int(s), int(e)) for b, lst in ivs.items() for s, e in lst if e is not None]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_pairing_equals_stack(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(0, 1 << 16), (1, 5), (2, 3), (3, 1 << 16), (4, 2)])
+def test_pairing_equals_stack(spark, seed, chunk):
     rnd = random.Random(seed)
     lines = []
     for i in range(80):
@@ -59,7 +59,7 @@ def test_pairing_equals_stack(spark, seed):
         kind = rnd.choice(["START", "START", "END", "END", "STOP"])
         lines.append(rnd.choice([f"{t},{name}_{kind},a,b"] * 8 + ["", "bad,RECON_START,a,b", f"{t},{name}_END,a"]))
     got = [(r.name, r.start_us // 1_000_000, r.end_us // 1_000_000)
-           for r in _intervals(spark, lines).orderBy("base_line", "start_line").collect()]
+           for r in _intervals(spark, lines, chunk).orderBy("base_line", "start_line").collect()]
     assert got == _stack(lines)
 
 
@@ -107,3 +107,12 @@ def test_label_distribution_sf001(spark):
     got = {r.label: r["count"] for r in LB.label_distribution(R.labeled_of(spark, "/root/testdata/sf0.01")).collect()}
     assert got == {"NORMAL": 3842, "C2_BEACON": 322, "BRUTEFORCE": 213, "RECON": 110, "EXFIL_RANSOMWARE": 105}
     assert F is not None
+
+
+def test_chunked_pairing_equals_small_path_on_derived_log(spark):
+    log = AD.read_attack_log(spark, "/root/testdata/sf0.001")
+    cols = ["name", "start_us", "end_us", "base_line", "start_line"]
+    small = LB.attack_intervals(log, closed_only=False, chunk_lines=0).select(*cols)
+    chunked = LB.attack_intervals(log, closed_only=False, chunk_lines=97).select(*cols)
+    assert small.count() > 100
+    assert small.exceptAll(chunked).count() == 0 and chunked.exceptAll(small).count() == 0
