@@ -185,7 +185,8 @@ def train_random_forest(train_scaled: DataFrame, features: Sequence[str], label:
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=2,
-                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=max_memory_mb)
+                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=max_memory_mb,
+                                cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[idx, va, rf]).fit(t)
 
 

@@ -58,8 +58,8 @@ def train_models(labeled: DataFrame, rf_trees: int = 200, rf_depth: int = 20, se
 
     rf = ML.train_random_forest(train_s, feats, num_trees=rf_trees, max_depth=rf_depth)
     res.models["random_forest"] = rf
-    res.predictions["random_forest"] = ML.predict_table(rf, test_s).select(
-        "segment_id", "seq", "label", "prediction", "probability")
+    res.predictions["random_forest"] = _keep(ML.predict_table(rf, test_s).select(
+        "segment_id", "seq", "label", "prediction", "probability"), checkpoint)
 
     win = ML.sequence_windows(labeled, feats)
     if ML.has_min_rows(win, 20):
@@ -71,8 +71,8 @@ def train_models(labeled: DataFrame, rf_trees: int = 200, rf_depth: int = 20, se
             mlp = ML.train_sequence_classifier(ws.where(F.col("split") == "train"), k, max_iter=seq_iter)
             res.models["lstm"] = mlp
             flat = ws.where(F.col("split") == "test").withColumn("features", _vec(F.flatten("rows")))
-            res.predictions["lstm"] = ML.predict_table(mlp, flat).select(
-                "src_ip", "end_segment_id", "end_seq", "label", "prediction", "probability")
+            res.predictions["lstm"] = _keep(ML.predict_table(mlp, flat).select(
+                "src_ip", "end_segment_id", "end_seq", "label", "prediction", "probability"), checkpoint)
 
     normal_rows = sp if ae_include_test else train
     normal_s = ML.scale_features(ML.normal_only(normal_rows), stats, feats)
@@ -82,12 +82,17 @@ def train_models(labeled: DataFrame, rf_trees: int = 200, rf_depth: int = 20, se
         thr = ML.anomaly_threshold(ML.anomaly_errors(ae, normal_s)).first()["threshold"]
         res.threshold = thr
         e = ML.anomaly_errors(ae, test_s)
-        res.predictions["autoencoder"] = e.select(
+        res.predictions["autoencoder"] = _keep(e.select(
             "segment_id", "seq", "label", binary_label("label").alias("y"),
-            (F.col("error") > F.lit(thr)).cast("int").alias("yhat"), F.col("error").alias("score"))
+            (F.col("error") > F.lit(thr)).cast("int").alias("yhat"), F.col("error").alias("score")), checkpoint)
     return res
 
 
+def _keep(df: DataFrame, checkpoint: bool) -> DataFrame:
+    """Holdout predictions are read by every metric: score once, keep the result."""
+    return cut_lineage(df) if checkpoint else df
+
+
 def _vec(c):
     from pyspark.ml.functions import array_to_vector
     return array_to_vector(c)

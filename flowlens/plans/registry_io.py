@@ -352,3 +352,17 @@ def q_scan_eval_results(spark, d):
     m = DB.models(back.select("model", "f1_score", "roc_auc", "false_positive_rate"))
     return m.select(F.explode("models").alias("model", "v")).select("model", "v.*")
 
+
+
+@register("assemble_vector", sql(*LAB, body="""
+select segment_id, seq, cast(idx as integer) as idx, """ + O.r6("v", "value") + """
+from (select segment_id, seq, unnest(range(15)) as idx,
+             unnest([""" + ", ".join(f"cast({f} as double)" for f in O.FEATURE_LIST) + """]) as v from labeled)"""))
+def q_assemble_vector(spark, d):
+    """The 15 features as one ML vector (VectorAssembler), shown in long form."""
+    from pyspark.ml.functions import vector_to_array
+    lab = labeled_of(spark, d)
+    feats = ML.select_features(lab)
+    v = ML._assembled(lab, feats).select("segment_id", "seq", vector_to_array("features").alias("x"))
+    return round_doubles(v.select("segment_id", "seq", F.posexplode("x").alias("idx", "value"))
+                         .select("segment_id", "seq", F.col("idx").cast("int"), "value"))
