@@ -113,7 +113,7 @@ def _g(c: Column) -> Column:
 
 
 def dst_ip_entropy(flows: DataFrame, window_s: int = ENTROPY_WINDOW_S, t_col: str = "t0",
-                   seq_col: str = "seq", keep_slice: bool = False) -> DataFrame:
+                   seq_col: str = "seq", keep_slice: bool = False, slices_per_window: int = 1) -> DataFrame:
     """W1 + A6: Shannon entropy (base 2) of the destinations a source contacted over the
     last ``window_s`` seconds, per capture segment, including the current flow.
 
@@ -124,20 +124,25 @@ def dst_ip_entropy(flows: DataFrame, window_s: int = ENTROPY_WINDOW_S, t_col: st
     Each flow is an *enter* event at ``t`` and an *exit* event at ``t + window``.  Running
     counts per destination give ``g(c) = c log2 c`` increments; their running sum ``S`` and
     the running flow count ``n`` give ``H = log2 n - S / n``.  Flows are cut into slices of
-    ``window_s`` (``t // window``); a slice also receives the previous slice's flows as
-    context, so a slice is self-contained and a hot source is spread over many tasks.
-    No collect_list, no self-join.
+    ``window_s / slices_per_window``; a slice also receives the flows of the preceding
+    ``slices_per_window`` slices as context (enter and exit events), so a slice is
+    self-contained and a hot source is spread over many tasks (more slices = smaller tasks,
+    more context rows).  No collect_list, no self-join.
     """
     wlen = window_s * US
+    m = max(1, int(slices_per_window))
+    slen = -(-wlen // m)
     t = F.col(t_col)
-    sl = F.floor(t / F.lit(wlen)).cast("long")
+    sl = F.floor(t / F.lit(slen)).cast("long")
     cols = flows.columns
     ctx_keep = ("segment_id", "src_ip", "dst_ip", t_col, seq_col)
     ev_struct = lambda s_, e_, ph, d, own: F.struct(s_.alias("_sl"), e_.alias("_et"), F.lit(ph).alias("_ph"),
                                                      F.lit(d).alias("_d"), F.lit(own).alias("_own"))
     # one pass over the flows: own enter event, and enter/exit events as context of the next slice
-    ex = flows.select(*cols, F.explode(F.array(ev_struct(sl, t, 0, 1, True), ev_struct(sl + 1, t, 0, 1, False),
-                                               ev_struct(sl + 1, t + F.lit(wlen), 1, -1, False))).alias("_e"))
+    events = [ev_struct(sl, t, 0, 1, True)]
+    for j in range(1, m + 1):
+        events += [ev_struct(sl + j, t, 0, 1, False), ev_struct(sl + j, t + F.lit(wlen), 1, -1, False)]
+    ex = flows.select(*cols, F.explode(F.array(*events)).alias("_e"))
     ev = ex.select(*[F.col(c) if c in ctx_keep else F.when(F.col("_e._own"), F.col(c)).alias(c) for c in cols],
                    "_e._sl", "_e._et", "_e._ph", "_e._d", "_e._own").repartition("segment_id", "src_ip", "_sl")
     order = ("_et", "_ph", seq_col)
@@ -190,7 +195,7 @@ def assemble_flows(stats: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def flow_extract(packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS,
-                 window_s: int = ENTROPY_WINDOW_S, keep_slice: bool = False) -> DataFrame:
+                 window_s: int = ENTROPY_WINDOW_S, keep_slice: bool = False, slices_per_window: int = 1) -> DataFrame:
     """A1 (flagship): IP packets -> one row per (segment, directed 5-tuple).
 
     ``fwd_* = total`` and ``bwd_* = 0``: the key is the directed 5-tuple, so a reply is its
@@ -198,7 +203,7 @@ def flow_extract(packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS,
     labelling step can reuse the existing partitioning.
     """
     stats = flow_stats(filter_ip(packets), chunk_packets)
-    ent = dst_ip_entropy(stats, window_s, keep_slice=keep_slice)
+    ent = dst_ip_entropy(stats, window_s, keep_slice=keep_slice, slices_per_window=slices_per_window)
     return assemble_flows(ent, extra=("_sl",) if keep_slice else ())
 
 

@@ -91,10 +91,10 @@ def _naive_flows(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 7), (3, 3)])
-def test_flows_equal_naive_loop(spark, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,slices", [(1, 1 << 20, 1), (2, 7, 1), (3, 3, 4), (4, 1 << 20, 3)])
+def test_flows_equal_naive_loop(spark, seed, chunk, slices):
     rows = _random_packets(seed)
-    got = FL.flow_extract(packets_df(spark, rows), chunk_packets=chunk).collect()
+    got = FL.flow_extract(packets_df(spark, rows), chunk_packets=chunk, slices_per_window=slices).collect()
     exp = _naive_flows(rows)
     assert len(got) == len(exp)
     for r in got:
