@@ -16,7 +16,7 @@ __all__ = [
     "col_or", "uncommon_port", "proto_name", "safe_rate", "us_to_seconds", "us_to_timestamp",
     "ipv4_to_long", "in_subnet", "parse_log_ts", "event_base", "event_is_end", "is_attack",
     "binary_label", "anomaly_score", "anomaly_status", "format_bytes", "label_display",
-    "time_of_day", "tod_from_seconds", "log2", "round6",
+    "time_of_day", "tod_from_seconds", "utc_format", "utc_timestamp", "log2", "round6",
 ]
 
 
@@ -137,6 +137,21 @@ def time_of_day(ts: str | Column) -> Column:
     return tod_from_seconds(F.unix_seconds(col_or(ts)))
 
 
+def utc_format(ts: str | Column, pattern: str) -> Column:
+    """``date_format`` of an instant in UTC whatever the session time zone (formats the
+    zone-less timestamp epoch + micros)."""
+    us = F.unix_micros(col_or(ts))
+    ntz = F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return F.date_format(ntz, pattern)
+
+
+def utc_timestamp(text: str) -> Column:
+    """A literal instant from ``YYYY-MM-DD HH:MM:SS`` text read as UTC."""
+    from datetime import datetime, timezone
+    dt = datetime.fromisoformat(text.replace("Z", "")).replace(tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit(int(dt.timestamp()) * 1_000_000 + dt.microsecond))
+
+
 def log2(x: str | Column) -> Column:
     return F.log2(col_or(x))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import anomaly_score, is_attack, proto_name, tod_from_seconds
+from ..functions.exprs import anomaly_score, is_attack, proto_name, tod_from_seconds, utc_timestamp
 from ..operators.ordered import chunked_lag, idiv
 from ..schemas import (PAGE_DEFAULT, PAGE_MAX, TIMELINE_EMPTY_ROWS, TIMELINE_MAX_BINS,
                        TIMELINE_MIN_BINS, US)
@@ -246,7 +246,7 @@ def attack_event(flows: DataFrame, now: str) -> DataFrame:
     """``ML inference · N anomalous flows detected`` at ``now`` if N > 0."""
     n = flows.agg(F.count_if(is_attack("label")).alias("n"))
     return n.where(F.col("n") > 0).select(
-        F.to_timestamp(F.lit(now)).alias("t"), F.lit("attack").alias("level"),
+        utc_timestamp(now).alias("t"), F.lit("attack").alias("level"),
         F.format_string("ML inference · %d anomalous flows detected", F.col("n")).alias("msg"))
 
 

@@ -339,7 +339,7 @@ def q_proto_name(spark, d):
 select segment_id, seq, strftime(start_time_dt, '%Y-%m-%dT%H:%M:%S.%f') as start_time_dt from prep"""))
 def q_epoch_to_ts(spark, d):
     p = prepared_of(spark, d)
-    return p.select("segment_id", "seq", F.date_format("start_time_dt", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return p.select("segment_id", "seq", X.utc_format("start_time_dt", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
                     .alias("start_time_dt"))
 
 
@@ -594,7 +594,7 @@ select strftime(t, '%Y-%m-%dT%H:%M:%S.%f') as t, level, msg from feed order by t
 
 def _feed(spark, d, limit):
     f = DB.events_feed(labeled_of(spark, d), NOW, limit)
-    return f.select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
+    return f.select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
 
 
 @register("events_feed", _feed_sql(100))
@@ -618,9 +618,9 @@ anti join (select * from change_ev where t < timestamp '{SHOWN_BEFORE}') s using
 def q_dedupe_events(spark, d):
     """Events not shown yet (anti join on (t, level, msg))."""
     ev = DB.change_events(labeled_of(spark, d))
-    shown = ev.where(F.col("t") < F.to_timestamp(F.lit(SHOWN_BEFORE)))
+    shown = ev.where(F.col("t") < X.utc_timestamp(SHOWN_BEFORE))
     new = ev.join(shown, ["t", "level", "msg"], "left_anti")
-    return new.select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
+    return new.select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
 
 
 @register("new_segments", sql(O.PACKETS, *LOGD, body="""

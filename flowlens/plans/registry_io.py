@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import oracle as O
+from ..functions import exprs as X
 from ..operators import labels as LB
 from ..operators import ml as ML
 from ..schemas import FLOW_COLUMNS, PACKETS
@@ -214,7 +215,7 @@ def q_status_event_stream(spark, d):
     q = (LV.status_event_stream(s).writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
+    return spark.read.parquet(out).select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
 
 
 @register("stream_dedupe", sql(*LAB, _CHANGES, body="""
@@ -228,7 +229,7 @@ def q_stream_dedupe(spark, d):
     q = (LV.stream_dedupe(s).writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
+    return spark.read.parquet(out).select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
 
 
 @register("stream_label", sql(*LAB, body="select segment_id, seq, label from labeled"))

@@ -185,7 +185,7 @@ def _status_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
             lab = r.label
             if last is not None and lab != last:
                 lvl = "attack" if (lab != "NORMAL" and last == "NORMAL") else ("ok" if lab == "NORMAL" else "warn")
-                rows.append((pd.Timestamp(r.start_us, unit="us"), lvl, f"{key[0]} · {last} → {lab}"))
+                rows.append((pd.Timestamp(r.start_us, unit="us", tz="UTC"), lvl, f"{key[0]} · {last} → {lab}"))
             last = lab
     if last is not None:
         state.update((last,))

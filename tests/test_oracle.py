@@ -48,3 +48,12 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 894 and "label" in df.columns
+
+
+@pytest.mark.parametrize("name", ["epoch_to_ts", "events_feed", "timeline", "label_flows", "attack_intervals"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
