@@ -101,10 +101,24 @@ def search_literal(q: str) -> Column:
     return cond
 
 
+def proto_filter(df: DataFrame, proto: str) -> Column:
+    """``proto == name`` on the name, or on the stored number so it reaches the scan."""
+    if "proto" in df.columns and isinstance(df.schema["proto"].dataType, T.NumericType):
+        from ..schemas import PROTO_NAMES, PROTO_OTHER
+        nums = [n for n, name in PROTO_NAMES.items() if name == proto]
+        if nums:
+            return F.col("proto").isin(*nums)
+        if proto == PROTO_OTHER:
+            return ~F.col("proto").isin(*PROTO_NAMES) | F.col("proto").isNull()
+        return F.lit(False)
+    return F.col("proto") == proto
+
+
 def filter_eq(df: DataFrame, proto: str = "", label: str = "") -> DataFrame:
-    """optional equality filters; an empty string means no filter."""
+    """optional equality filters; an empty string means no filter.  Applied before the
+    protocol number is turned into a name, so both predicates are pushed to the scan."""
     if proto:
-        df = df.where(F.col("proto") == proto)
+        df = df.where(proto_filter(df, proto))
     if label:
         df = df.where(F.col("label") == label)
     return df
@@ -128,7 +142,10 @@ def flows_page(flows: DataFrame, proto: str = "", label: str = "", search: str =
     if search:
         cond = cond & search_regex(search)
     counts = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(cond).alias("filtered"))
-    page = df.where(cond)
+    # the page itself: equality filters first on the stored columns (pushed to the scan)
+    page = prepare(filter_eq(flows, proto, label))
+    if search:
+        page = page.where(search_regex(search))
     ties = [F.col("segment_id").asc(), F.col("seq").asc()]
     if sort_col in page.columns:
         c = F.col(sort_col)
