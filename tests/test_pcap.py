@@ -66,3 +66,21 @@ def test_settled_files_only(tmp):
     os.utime(old, (1, 1))
     assert [os.path.basename(f) for f in PC.list_segments(tmp, min_age_s=60)] == ["capture.pcap1"]
     assert len(PC.list_segments(tmp)) == 2
+
+
+def test_vectorized_decode_equals_frame_decoder():
+    frames = list(PC.iter_packets(PC.pcap_bytes(ROWS)))
+    vlan = frames[0][1][:12] + b"\x81\x00\x00\x07" + frames[0][1][12:]          # one VLAN tag
+    short = frames[1][1][:30]                                                    # truncated IPv4
+    frag = bytearray(frames[0][1]); frag[20] = 0x00; frag[21] = 0x10             # non-first fragment
+    extra = [(5_000_000, vlan), (6_000_000, short), (7_000_000, bytes(frag))]
+    out = [struct.pack("<IHHiIII", PC.PCAP_MAGIC_US, 2, 4, 0, 0, 65535, PC.LINK_ETHERNET)]
+    for t, fr in [(t, f) for t, f, _ in frames] + extra:
+        out.append(struct.pack("<IIII", t // 10**6, t % 10**6, len(fr), len(fr)) + fr)
+    data = b"".join(out)
+    fast = PC._decode_vectorized(data, 9).to_pylist()
+    slow = [dict(zip(("is_ip", "src_ip", "src_port", "dst_ip", "dst_port", "proto"), PC.decode_frame(fr, link)),
+                 t_us=t, len=len(fr)) for t, fr, link in PC.iter_packets(data)]
+    assert len(fast) == len(slow) == 7
+    for a, b in zip(fast, slow):
+        assert {k: a[k] for k in b} == b
