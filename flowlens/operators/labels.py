@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import event_base, event_is_end, parse_log_ts
 from ..schemas import NORMAL, SEGMENT_S, US
+from ..session import cut_lineage
 from .ordered import chunked_lag, chunked_lead
 
 # Largest bucketed interval list (one row per interval and bucket it covers) and bucket
@@ -45,7 +46,7 @@ def parse_attack_log(log: DataFrame) -> DataFrame:
 
 
 # Lines per chunk of the pairing windows (a chunk is the unit one task orders).
-PAIR_CHUNK_LINES = 1 << 16
+PAIR_CHUNK_LINES = 1 << 20
 
 
 def _running_depth(ev: DataFrame, chunk_lines: int) -> DataFrame:
@@ -164,6 +165,8 @@ def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None =
     measured small and splits skewed buckets); the first match per flow is kept with
     ``min`` over (base_line, start_line).
     """
+    # the interval table is read twice (sizing, then the join): compute it once
+    intervals = cut_lineage(intervals)
     planned, bucket_us = plan_label_join(intervals, bucket_s, broadcast_rows)
     strategy = strategy or planned
     t0 = F.round(F.col("start_time") * F.lit(float(US))).cast("long")
