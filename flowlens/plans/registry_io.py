@@ -17,7 +17,7 @@ from ..functions import exprs as X
 from ..operators import labels as LB
 from ..operators import ml as ML
 from ..schemas import FLOW_COLUMNS, PACKETS
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, local_path
 from ..sources import adapter as AD
 from ..sources import files as FS
 from ..sources import pcap as PC
@@ -34,7 +34,7 @@ _FLOW_NO_SEQ_SQL = ", ".join(x for x in O.FLOW_OUT_COLS.split(", ") if x != "seq
 
 def scratch(spark, name: str) -> str:
     """A new folder under the shared checkpoint folder (never reused, never deleted)."""
-    return os.path.join(checkpoint_dir(spark), "flowlens-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(local_path(checkpoint_dir(spark)), "flowlens-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def _segments(spark, d) -> str:

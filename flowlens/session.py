@@ -58,6 +58,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def local_path(uri: str) -> str:
+    """``file:/x`` or ``file:///x`` -> ``/x`` for Python file I/O; other schemes unchanged."""
+    from urllib.parse import urlparse
+    u = urlparse(uri)
+    return u.path if u.scheme == "file" else uri
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A folder for a written intermediate table under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "tables", name)

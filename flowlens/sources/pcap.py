@@ -381,7 +381,8 @@ class PcapWriter(DataSourceWriter):
     """One file per segment_id in ``path`` (rows must arrive sorted by segment, pkt_idx)."""
 
     def __init__(self, options: dict):
-        self.path = options.get("path")
+        from ..session import local_path
+        self.path = local_path(options.get("path"))   # a POSIX path (local or a shared mount)
 
     def write(self, iterator):
         os.makedirs(self.path, exist_ok=True)
