@@ -15,7 +15,7 @@ from flowlens.session import checkpoint_dir, cut_lineage
 
 #: Documents are handled in slices of at most this many bytes of text, so that a Python worker's memory
 #: does not follow the Arrow batch size (a single longer document is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list]]:
