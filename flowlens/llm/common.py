@@ -18,6 +18,19 @@ from flowlens.session import checkpoint_dir, cut_lineage
 SLICE_BYTES = 2 << 20
 
 
+class Numbered(dict):
+    """Key -> number; an unknown key gets the next number and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list]]:
     """(ids, texts as str or None) in slices of at most ``limit`` bytes; column 0 is the id, column 1 the text."""
     for b in batches:
@@ -86,4 +99,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                          .join(star.select(F.col("u").alias("node")), "node", "left_anti")))
 
 
-__all__ = ["text_slices", "map_text", "batch", "scratch_path", "stored", "components", "cut_lineage", "SLICE_BYTES"]
+__all__ = ["Numbered", "text_slices", "map_text", "batch", "scratch_path", "stored", "components", "cut_lineage", "SLICE_BYTES"]

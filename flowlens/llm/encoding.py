@@ -11,10 +11,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 
+from flowlens.llm.common import Numbered
+
 #: Units kept by one worker (about 200 bytes each); the memo is emptied when it is full.
 MEMO_UNITS = 800_000
 _PLAIN_PRETOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -24,25 +27,47 @@ _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\
 _ODD_WIDE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class _Memo(dict):
-    """Unit -> number; an unknown unit gets the next number and is noted for encoding."""
+def _direct(t: str) -> bool:
+    return t[:1] in ("", " ", "\n") or any(x in t for x in _ODD_ASCII) or (
+        not t.isascii() and _ODD_WIDE.search(t) is not None)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        self.new.append(unit)
-        return n
+class UnitPool:
+    """Units numbered as they are met, each new one worked out once; emptied when it is full."""
 
+    def __init__(self, dtype: np.dtype, memo_units: int) -> None:
+        self.dtype, self.memo_units = np.dtype(dtype), memo_units
+        self.clear()
 
-def _direct(t: str) -> bool:
-    return t[:1] in ("", " ", "\n") or any(x in t for x in _ODD_ASCII) or (
-        not t.isascii() and _ODD_WIDE.search(t) is not None)
+    def clear(self) -> None:
+        self.memo = Numbered()
+        self.start = np.zeros(1024, dtype=np.int64)  # start[i], start[i + 1]: unit i's ids in the pool
+        self.pool = np.zeros(4096, dtype=self.dtype)
 
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units and the number of ids of each."""
+        raise NotImplementedError
 
-class UnitEncoder:
+    def numbers(self, units: Iterable[str], n: int) -> np.ndarray:
+        if len(self.memo) > self.memo_units:
+            self.clear()
+        at = np.fromiter(map(self.memo.__getitem__, units), np.int64, n)
+        if self.memo.new:
+            units, self.memo.new = self.memo.new, []
+            ids, sizes = self.encode_units(units)
+            m, k = len(self.memo), len(self.memo) - len(units)
+            ends = np.cumsum(sizes) + self.start[k]
+            if m + 1 > len(self.start):
+                self.start = np.concatenate([self.start[:k + 1], np.zeros(2 * m - k, dtype=np.int64)])
+            if ends[-1] > len(self.pool):
+                self.pool = np.concatenate([self.pool[:self.start[k]],
+                                            np.zeros(2 * ends[-1] - self.start[k], dtype=self.dtype)])
+            self.pool[self.start[k]:ends[-1]] = ids
+            self.start[k + 1:m + 1] = ends
+        return at
+
+
+class UnitEncoder(UnitPool):
     """``encode(texts)`` -> (all ids, end of each text); ids as the library gives with add_special_tokens=False."""
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS) -> None:
@@ -55,30 +80,14 @@ class UnitEncoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and all(pre.get(k) == v for k, v in _PLAIN_PRETOKENIZER.items())
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo_units = memo_units
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo = _Memo()
-        self.start = np.zeros(1024, dtype=np.int64)  # start[i], start[i + 1]: unit i's ids in the pool
-        self.pool = np.zeros(4096, dtype=self.dtype)
+        super().__init__("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4", memo_units)
 
-    def _learn(self) -> None:
-        """Encode the units noted as new; a unit that starts with \\n stands for itself, others follow a space."""
-        units, self.memo.new = self.memo.new, []
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A unit that starts with \\n stands for itself, others follow a space."""
         got = [e.ids for e in self.tok.encode_batch_fast([u if u[:1] == "\n" else " " + u for u in units],
                                                          add_special_tokens=False)]
-        m, n = len(self.memo), len(self.memo) - len(units)
-        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) + self.start[n]
-        if m + 1 > len(self.start):
-            self.start = np.concatenate([self.start[:n + 1], np.zeros(2 * m - n, dtype=np.int64)])
-        if ends[-1] > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.start[n]],
-                                        np.zeros(2 * ends[-1] - self.start[n], dtype=self.dtype)])
-        self.pool[self.start[n]:ends[-1]] = np.fromiter(chain.from_iterable(got), self.dtype,
-                                                        int(ends[-1] - self.start[n]))
-        self.start[n + 1:m + 1] = ends
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum())), sizes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         texts = [t or "" for t in texts]
@@ -92,11 +101,7 @@ class UnitEncoder:
             else:
                 # the first unit follows no space: a leading \n marks it, its id is dropped below
                 parts.append(("\n" + t.replace("\n", " \n")).split(" "))
-        if len(self.memo) > self.memo_units:
-            self._clear()
-        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
-        if self.memo.new:
-            self._learn()
+        at = self.numbers(chain.from_iterable(parts), sum(map(len, parts)))
         n_units = np.fromiter(map(len, parts), np.int64, len(parts))
         unit_ends = np.cumsum(n_units)
         begin, size = self.start[at], self.start[at + 1] - self.start[at]

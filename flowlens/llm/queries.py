@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import langid, packing, quality, tokenfiles
+from flowlens.llm import fstcount, langid, packing, quality, tokenfiles, wordbpe
 
 try:
     import public_tokenizers
@@ -55,7 +55,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "lang_pred", "score", "ambiguous")
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fstcount.count(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0,
                                   cap=packing.Capacity(tokens=2048), with_ids=False)
+
+
+@query
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
