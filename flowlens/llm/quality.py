@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import batch, map_text, text_slices
+from flowlens.llm.common import Numbered, batch, map_text, text_slices
 from flowlens.llm.linear import fit_sparse, platt, sigmoid
 
 #: Fixed thresholds of the rules.
@@ -63,17 +63,20 @@ class Words:
     """Word numbers and hashes of one slice of texts: each distinct word is hashed once."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, dtype=np.uint32)
+        self.ids = Numbered()
+        self.hashes = np.zeros(1024, dtype=np.uint32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        put, ids = self.ids.setdefault, self.ids
-        return np.fromiter([put(w, len(ids)) for w in words], dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if self.ids.new:
+            new, self.ids.new = self.ids.new, []
+            k, m = len(self.ids) - len(new), len(self.ids)
+            if m > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes[:k], np.zeros(2 * m - k, dtype=np.uint32)])
+            self.hashes[k:m] = np.fromiter(map(zlib.crc32, new), np.uint32, len(new))
+        return at
 
     def hashed(self, numbers: np.ndarray) -> np.ndarray:
-        if len(self.hashes) < len(self.ids):
-            new = list(self.ids)[len(self.hashes):]
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(zlib.crc32, new), np.uint32, len(new))])
         return self.hashes[numbers]
 
 
