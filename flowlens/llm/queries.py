@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import fstcount, langid, packing, quality, tokenfiles, wordbpe
+from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, tokenfiles, wordbpe
 
 try:
     import public_tokenizers
@@ -55,11 +55,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "lang_pred", "score", "ambiguous")
 
 
+@query
+def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fstcount.count(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+@query
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0,
