@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, tokenfiles, wordbpe
+from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, secrets, tokenfiles, wordbpe
 
 try:
     import public_tokenizers
@@ -60,6 +60,14 @@ def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+ORACLE["op6_secret_scan"] = secrets.oracle_sql()
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fstcount.count(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
