@@ -142,27 +142,46 @@ def decode(m: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return best, top, (top - second < AMBIGUOUS_MARGIN) | (2 * wrong > reach)
 
 
+def judge(m: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
+    known = [m is not None and t is not None and _LETTER.search(t) is not None for t in texts]
+    lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    at = np.flatnonzero(known)
+    for part in np.array_split(at, max(1, len(at) // 256)) if len(at) else []:
+        if len(m.langs) == 1:
+            best, top, amb = np.zeros(len(part), int), np.ones(len(part)), np.zeros(len(part), bool)
+        else:
+            best, top, amb = decode(m, np.vstack([features(texts[i]) for i in part]) @ m.weights + m.bias)
+        for i, k in zip(part, best, strict=True):
+            lang[i] = m.langs[k]
+        score[part], unsure[part] = np.clip(top, 0.0, 1.0), amb
+    return lang, score, unsure
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every whole text; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for ids, texts in text_slices(batches):
-            known = [m is not None and t is not None and _LETTER.search(t) is not None for t in texts]
-            lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            at = np.flatnonzero(known)
-            for part in np.array_split(at, max(1, len(at) // 256)) if len(at) else []:
-                if len(m.langs) == 1:
-                    best, top, amb = np.zeros(len(part), int), np.ones(len(part)), np.zeros(len(part), bool)
-                else:
-                    best, top, amb = decode(m, np.vstack([features(texts[i]) for i in part]) @ m.weights + m.bias)
-                for i, k in zip(part, best, strict=True):
-                    lang[i] = m.langs[k]
-                score[part], unsure[part] = top, amb
-            yield batch(_OUT, ids, lang, np.clip(score, 0.0, 1.0), unsure)
+            yield batch(_OUT, ids, *judge(shared.value, texts))
 
     return map_text(docs, run, SCHEMA, id_col, text_col)
 
 
-__all__ = ["fit", "predict", "decode", "codewords", "LanguageModel"]
+def accepted(docs: DataFrame, model: LanguageModel | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text has a language with at least ``least_score``; nothing shuffles."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                lang, score, _ = judge(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array((np.array(lang) != "und") & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+__all__ = ["fit", "predict", "accepted", "decode", "codewords", "LanguageModel"]

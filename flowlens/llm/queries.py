@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, secrets, tokenfiles, wordbpe
+from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, secrets, suffixdedup, tokenfiles, wordbpe
 
 try:
     import public_tokenizers
@@ -40,6 +40,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removed(_table(spark, sf_dir, "documents"), digests=True)
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
