@@ -216,15 +216,16 @@ class WordBpe(UnitPool):
     def rows(self, texts: list[str | None]) -> Iterator[tuple[list[int] | None, int, str, str]]:
         """For each text: its ids as numbers of the memo (None where added tokens occur), number of ids, the ids in
         decimal and the decoded text."""
-        split = [self.units(t) if t and not (self.special and self.special.search(t)) else [] for t in texts]
+        direct = {i: self.encode(t) for i, t in enumerate(texts) if t and self.special and self.special.search(t)}
+        split = [self.units(t) if t and i not in direct else [] for i, t in enumerate(texts)]
         at = self.numbers(chain.from_iterable(split), sum(map(len, split)))
         size = self.start[at + 1] - self.start[at]
         ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         total = np.concatenate([[0], np.cumsum(size)])
         prev = 0
-        for t, e in zip(texts, ends.tolist(), strict=True):
-            if t and self.special and self.special.search(t):
-                ids = self.encode(t)
+        for i, e in enumerate(ends.tolist()):
+            if i in direct:
+                ids = direct[i]
                 yield None, len(ids), " ".join(map(str, ids)), self.decode(ids)
                 continue
             own = at[prev:e].tolist()
