@@ -70,21 +70,6 @@ def _running_depth(ev: DataFrame, chunk_lines: int) -> DataFrame:
         .drop("_step", "_sl", "_ml")
 
 
-def _pair_small(ev: DataFrame) -> DataFrame:
-    """The same pairing with plain per-name windows (logs of at most one chunk)."""
-    by_line = Window.partitionBy("base").orderBy("line_no")
-    running = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
-    d = ev.select("*", F.sum(step).over(running).alias("_s"))
-    d = d.select("*", (F.col("_s") - F.least(F.min("_s").over(running), F.lit(0))).alias("_d"))
-    lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(by_line), F.lit(0)))
-                   .otherwise(F.col("_d")).alias("level"),
-                   F.min("line_no").over(Window.partitionBy("base")).alias("base_line"))
-    same_level = Window.partitionBy("base", "level").orderBy("line_no")
-    return lvl.where(F.col("level") >= 1).select(
-        "*", F.lead(F.struct("is_end", "ts_us")).over(same_level).alias("_next"))
-
-
 def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int | None = None) -> DataFrame:
     """J2 via W4: ``(name, start_us, end_us, base_line, start_line, src, dst)``.
 
@@ -98,17 +83,7 @@ def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int
     over many tasks.
     """
     ev = parse_attack_log(log)
-    if chunk_lines is None:
-        # bounded size check: a log of at most one chunk needs no carries between chunks
-        small = log.limit(PAIR_CHUNK_LINES + 1).count() <= PAIR_CHUNK_LINES
-        chunk_lines = 0 if small else PAIR_CHUNK_LINES
-    if chunk_lines == 0:
-        paired = _pair_small(ev)
-        iv = paired.where(~F.col("is_end")).select(
-            F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
-            F.when(F.col("_next.is_end"), F.col("_next.ts_us")).alias("end_us"),
-            "base_line", F.col("line_no").alias("start_line"), "src", "dst")
-        return iv.where(F.col("end_us").isNotNull()) if closed_only else iv
+    chunk_lines = chunk_lines or PAIR_CHUNK_LINES
     d = _running_depth(ev, chunk_lines)
     d = chunked_lag(d, ["base"], "_ch", ["line_no"], "_d", "_dprev")
     lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.col("_dprev"), F.lit(0))).otherwise(F.col("_d"))
@@ -116,7 +91,7 @@ def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int
     first_line = lvl.groupBy("base").agg(F.min("line_no").alias("base_line"))
     at_level = lvl.where(F.col("level") >= 1).select("*", F.struct("is_end", "ts_us").alias("_ev"))
     paired = chunked_lead(at_level, ["base", "level"], "_ch", ["line_no"], "_ev", "_next")
-    iv = paired.where(~F.col("is_end")).join(F.broadcast(first_line), "base").select(
+    iv = paired.where(~F.col("is_end")).join(first_line, "base").select(
         F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
         F.when(F.col("_next.is_end"), F.col("_next.ts_us")).alias("end_us"),
         "base_line", F.col("line_no").alias("start_line"), "src", "dst")
@@ -153,7 +128,8 @@ _IV_TYPE = "array<struct<base_line:bigint,start_line:bigint,start_us:bigint,end_
 
 
 def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None = None,
-                broadcast_rows: int = BROADCAST_INTERVAL_ROWS, strategy: str | None = None) -> DataFrame:
+                broadcast_rows: int = BROADCAST_INTERVAL_ROWS, strategy: str | None = None,
+                checkpointed: bool = False) -> DataFrame:
     """Add ``label`` = first interval in list order that overlaps the flow, else NORMAL.
 
     Overlap is closed at both ends: ``flow.start <= iv.end and flow.end >= iv.start``;
@@ -165,8 +141,8 @@ def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None =
     measured small and splits skewed buckets); the first match per flow is kept with
     ``min`` over (base_line, start_line).
     """
-    # the interval table is read twice (sizing, then the join): compute it once
-    intervals = cut_lineage(intervals)
+    # the interval table is read twice (sizing, then the join): compute it once, unless the caller has
+    intervals = intervals if checkpointed else cut_lineage(intervals)
     planned, bucket_us = plan_label_join(intervals, bucket_s, broadcast_rows)
     strategy = strategy or planned
     t0 = F.round(F.col("start_time") * F.lit(float(US))).cast("long")

@@ -27,20 +27,25 @@ def _keys(df: DataFrame, by: Sequence[str] | None) -> list[str]:
     return ["model"] if "model" in df.columns else []
 
 
-def class_index(pred: DataFrame, label: str = "label", by: Sequence[str] | None = None) -> DataFrame:
-    """Sorted distinct true labels -> 0..k-1 (``LabelEncoder`` order)."""
+def class_index(pred: DataFrame, label: str = "label", by: Sequence[str] | None = None,
+                names: Sequence[str] | None = None) -> DataFrame:
+    """Sorted distinct true labels -> 0..k-1 (``LabelEncoder`` order).  ``names`` gives the classes (and
+    their order) instead, whether or not they occur."""
     keys = _keys(pred, by)
+    if names is not None:
+        given = pred.sparkSession.createDataFrame([(str(c), i) for i, c in enumerate(names)], "cls string, idx int")
+        return pred.select(*keys).distinct().crossJoin(given) if keys else given
     classes = pred.select(*keys, F.col(label).alias("cls")).where(F.col("cls").isNotNull()).distinct()
     w = Window.partitionBy(*keys).orderBy("cls")
     return classes.withColumn("idx", (F.dense_rank().over(w) - 1).cast("int"))
 
 
 def confusion_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     by: Sequence[str] | None = None) -> DataFrame:
+                     by: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """A14 + J7: (true, predicted, true_idx, pred_idx, count) for every cell of the k x k
-    grid of true classes, zeros included."""
+    grid of true classes (or of the given ``names``), zeros included."""
     keys = _keys(pred, by)
-    cls = class_index(pred, label, keys)
+    cls = class_index(pred, label, keys, names)
     counts = (pred.groupBy(*keys, F.col(label).alias("true_label"), F.col(prediction).alias("pred_label"))
               .agg(F.count(F.lit(1)).alias("count")))
     t = cls.select(*keys, F.col("cls").alias("true_label"), F.col("idx").alias("true_idx"))
@@ -51,10 +56,10 @@ def confusion_counts(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     by: Sequence[str] | None = None) -> DataFrame:
+                     by: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """A14 in matrix form: ``confusion_matrix array<array<bigint>>`` (rows = true class)."""
     keys = _keys(pred, by)
-    cells = confusion_counts(pred, label, prediction, keys)
+    cells = confusion_counts(pred, label, prediction, keys, names)
     rows = (cells.groupBy(*keys, "true_idx")
             .agg(F.array_sort(F.collect_list(F.struct("pred_idx", "count"))).alias("r"))
             .select(*keys, "true_idx", F.transform("r", lambda x: x["count"]).alias("row")))
@@ -109,10 +114,10 @@ def f1_binary(pred: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence[st
 
 
 def false_positive_rate(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                        by: Sequence[str] | None = None) -> DataFrame:
-    """Fp / (fp + tn) of the 2x2 matrix (negative = first sorted class), else NULL."""
+                        by: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """Fp / (fp + tn) of the 2x2 matrix (negative = first class), else NULL."""
     keys = _keys(pred, by)
-    cells = confusion_counts(pred, label, prediction, keys)
+    cells = confusion_counts(pred, label, prediction, keys, names)
     a = cells.groupBy(*keys).agg(
         F.max("true_idx").alias("_kmax"),
         F.sum(F.when((F.col("true_idx") == 0) & (F.col("pred_idx") == 0), F.col("count"))).alias("tn"),
@@ -135,18 +140,19 @@ def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", by: Sequence[st
     qb = quantile_buckets(d, "_s", keys, buckets)
     rs = running_sums(qb, keys, "_qb", ["_s"], ["neg"], inclusive=False)
     a = rs.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5))).alias("_u"),
+        F.sum(F.col("pos").cast("double") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return a.select(*keys, F.when((F.col("_p") > 0) & (F.col("_n") > 0),
-                                  F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
+                                  F.col("_u") / (F.col("_p").cast("double") * F.col("_n").cast("double"))).alias("roc_auc"))
 
 
 def roc_auc_ovr(pred: DataFrame, label: str = "label", probability: str = "probability",
-                by: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
-    """One-vs-rest AUC per sorted class (probability[i] is class i), macro mean.
-    NULL if any class has no positive or no negative row."""
+                by: Sequence[str] | None = None, buckets: int = 64, names: Sequence[str] | None = None) -> DataFrame:
+    """One-vs-rest AUC per class (probability[i] is class i), macro mean.
+    ``names`` is the model's class list, the order of ``probability``; without it the sorted labels of the rows stand
+    in.  NULL if any class has no positive or no negative row, so also when the rows lack one of the model's classes."""
     keys = _keys(pred, by)
-    cls = class_index(pred, label, keys)
+    cls = class_index(pred, label, keys, names)
     j = pred.join(cls, keys, "inner") if keys else pred.crossJoin(cls)
     rows = j.select(*keys, "idx", (F.col(label) == F.col("cls")).cast("int").alias("_y"),
                     F.element_at(F.col(probability), F.col("idx") + 1).alias("_score"))

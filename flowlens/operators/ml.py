@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import binary_label
 from ..schemas import FEATURES, NORMAL, SEQ_LEN, US
+from ..session import path_exists
 from . import metrics as MT
 from .ordered import chunked_row_number
 
@@ -233,35 +234,39 @@ def anomaly_errors(model: dict, scaled: DataFrame) -> DataFrame:
 def predict_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M6: batch scoring; ``prediction`` as the class name and ``probability`` as array."""
     out = model.transform(df)
-    labels = [s for s in model.stages if hasattr(s, "labelsArray")][0].labelsArray[0]
-    names = F.array(*[F.lit(x) for x in labels])
+    names = F.array(*[F.lit(x) for x in class_names(model)])
     return (out.withColumn("probability", vector_to_array("probability"))
             .withColumn("prediction", F.element_at(names, F.col("prediction").cast("int") + 1)))
 
 
-def evaluate_multiclass(pred: DataFrame, model_name: str) -> DataFrame:
-    """M7 for a multi-class model: weighted F1, OvR AUC (binary AUC of class 1 when k = 2),
-    FPR (2x2 only) and the confusion matrix over the true classes.  ``probability`` must
-    be ordered like the sorted class names."""
+def class_names(model: PipelineModel) -> list[str]:
+    """The classes of a trained pipeline, in the order of its ``probability``."""
+    return list([s for s in model.stages if hasattr(s, "labelsArray")][0].labelsArray[0])
+
+
+def evaluate_multiclass(pred: DataFrame, model_name: str, names: list[str] | None = None) -> DataFrame:
+    """M7 for a multi-class model: weighted F1, OvR AUC, FPR (2x2 only) and the confusion matrix over the true classes.
+    ``names`` is the model's class list in the order of ``probability`` (without it: the sorted labels of the rows);
+    the AUC is NULL when the rows lack one of these classes."""
     p = pred.withColumn("model", F.lit(model_name))
     f1 = MT.f1_weighted(p)
-    k = MT.class_index(p).groupBy("model").agg(F.count(F.lit(1)).alias("k"))
-    auc_ovr = MT.roc_auc_ovr(p)
+    auc_ovr = MT.roc_auc_ovr(p, names=names)
     fpr = MT.false_positive_rate(p)
     cm = MT.confusion_matrix(p)
-    return (f1.join(k, "model").join(auc_ovr, "model", "left").join(fpr, "model", "left").join(cm, "model", "left")
+    return (f1.join(auc_ovr, "model", "left").join(fpr, "model", "left").join(cm, "model", "left")
             .select("model", F.col("f1_weighted").alias("f1_score"), F.col("roc_auc_ovr").alias("roc_auc"),
                     "false_positive_rate", "confusion_matrix"))
 
 
 def evaluate_binary(pred: DataFrame, model_name: str) -> DataFrame:
-    """M7 for an anomaly model: ``y`` = 0 NORMAL / 1 attack, ``yhat`` 0/1, ``score``."""
+    """M7 for an anomaly model: ``y`` = 0 NORMAL / 1 attack, ``yhat`` 0/1, ``score``.  Matrix and false-positive rate
+    are over the fixed 0/1 grid, so a holdout of one class has them too."""
     p = pred.withColumn("model", F.lit(model_name)) \
         .withColumn("label", F.col("y").cast("string")).withColumn("prediction", F.col("yhat").cast("string"))
     f1 = MT.f1_binary(p)
     auc = MT.roc_auc(p)
-    fpr = MT.false_positive_rate(p)
-    cm = MT.confusion_matrix(p)
+    fpr = MT.false_positive_rate(p, names=("0", "1"))
+    cm = MT.confusion_matrix(p, names=("0", "1"))
     return (f1.join(auc, "model", "left").join(fpr, "model", "left").join(cm, "model", "left")
             .select("model", F.col("f1_binary").alias("f1_score"), "roc_auc", "false_positive_rate",
                     "confusion_matrix"))
@@ -274,10 +279,9 @@ def save_threshold(spark, path: str, threshold_df: DataFrame) -> None:
 
 def load_threshold(spark, path: str) -> float | None:
     """Threshold or None when missing."""
-    try:
-        rows = spark.read.json(path).limit(1).collect()
-    except Exception:  # noqa: BLE001 - missing path
+    if not path_exists(spark, path):
         return None
+    rows = spark.read.schema("threshold double").json(path).limit(1).collect()
     return float(rows[0]["threshold"]) if rows else None
 
 
@@ -288,10 +292,8 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel | None:
     """Load a saved pipeline if it exists."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - missing model
-        return None
+    from pyspark.sql import SparkSession
+    return PipelineModel.load(path) if path_exists(SparkSession.active(), path) else None
 
 
 def model_paths(outdir: str) -> dict:

@@ -91,7 +91,8 @@ def search_regex(q: str) -> Column:
 
 
 def search_literal(q: str) -> Column:
-    """the client's literal substring filter (IPs not lower-cased)."""
+    """the client's literal substring filter: the query is lower-cased, of the columns only the protocol name."""
+    q = q.lower()
     cols = [F.col("src_ip"), F.col("dst_ip"), F.col("src_port").cast("string"),
             F.col("dst_port").cast("string"), F.lower(F.col("proto"))]
     cond = None
@@ -128,7 +129,7 @@ def flows_page(flows: DataFrame, proto: str = "", label: str = "", search: str =
                sort_col: str = "total_packets", sort_dir: str = "desc", limit: int = PAGE_DEFAULT) -> DataFrame:
     """O1 (GET /api/flows): filter, count, sort (nulls last), first ``limit`` rows.
 
-    Adds ``total`` and ``filtered`` counts (A11, one pass).  Unknown sort column keeps
+    Adds ``total`` and ``filtered`` counts (A11); with no hit the one row has only them.  Unknown sort column keeps
     capture order; ties are broken by (segment_id, seq) so a page is deterministic.
     """
     if limit < 0 or limit > PAGE_MAX:
@@ -153,7 +154,9 @@ def flows_page(flows: DataFrame, proto: str = "", label: str = "", search: str =
         page = page.orderBy(key, *ties)
     else:
         page = page.orderBy(*ties)
-    return page.limit(limit).crossJoin(F.broadcast(counts))
+    # from the counts' side: a page without a hit is one row with the counts and null flow columns
+    page = page.limit(limit)
+    return counts.join(F.broadcast(page), how="left").select(*page.columns, *counts.columns)
 
 
 def flow_counts(flows: DataFrame, proto: str = "", label: str = "", search: str = "") -> DataFrame:
@@ -203,7 +206,8 @@ def timeline(flows: DataFrame, now_s: float | None = None) -> DataFrame:
     previous label plus ``k * floor(max(1, span / bins))`` seconds.  No flows: 30 zero rows
     labelled with the 30 seconds before ``now_s``."""
     b, st = with_bucket(flows)
-    per = b.groupBy("bucket").agg(F.avg("start_us").alias("_mu"), F.avg("pkts_per_sec").alias("_pps"),
+    # the mean of the offsets: absolute microseconds summed as doubles would lose digits
+    per = b.groupBy("bucket").agg((F.avg(F.col("start_us") - F.col("min_us")) + F.first("min_us")).alias("_mu"), F.avg("pkts_per_sec").alias("_pps"),
                                   F.avg("anomaly_score").alias("_an"))
     grid = st.where(F.col("min_us").isNotNull()).select(
         F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bucket"),

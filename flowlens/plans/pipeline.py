@@ -102,9 +102,10 @@ def evaluate(res: TrainResult) -> DataFrame:
     """M7: one evaluation row per trained model."""
     out = []
     if "random_forest" in res.predictions:
-        out.append(ML.evaluate_multiclass(res.predictions["random_forest"], "random_forest"))
+        out.append(ML.evaluate_multiclass(res.predictions["random_forest"], "random_forest",
+                                          ML.class_names(res.models["random_forest"])))
     if "lstm" in res.predictions:
-        out.append(ML.evaluate_multiclass(res.predictions["lstm"], "lstm"))
+        out.append(ML.evaluate_multiclass(res.predictions["lstm"], "lstm", ML.class_names(res.models["lstm"])))
     if "autoencoder" in res.predictions:
         out.append(ML.evaluate_binary(res.predictions["autoencoder"], "autoencoder"))
     ev = out[0]

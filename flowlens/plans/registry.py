@@ -326,7 +326,7 @@ join (select label as l2, cast(row_number() over (order by label) - 1 as integer
 def q_encode_labels(spark, d):
     lab = labeled_of(spark, d)
     cls = MT.class_index(lab, "label", []).select(F.col("cls").alias("label"), F.col("idx").alias("label_idx"))
-    return lab.join(F.broadcast(cls), "label").select("segment_id", "seq", "label", "label_idx")
+    return lab.join(cls, "label").select("segment_id", "seq", "label", "label_idx")
 
 
 # ================================================================== dashboard projections
@@ -475,9 +475,9 @@ def q_search_regex(spark, d):
     return prepared_of(spark, d).where(DB.search_regex(r"10\.0\.0\.[12]|^53$")).select("segment_id", "seq")
 
 
-@register("search_literal", sql(*LAB, body=f"select segment_id, seq from prep where {_literal_sql('0.1')}"))
+@register("search_literal", sql(*LAB, body=f"select segment_id, seq from prep where {_literal_sql('TCP')}"))
 def q_search_literal(spark, d):
-    return prepared_of(spark, d).where(DB.search_literal("0.1")).select("segment_id", "seq")
+    return prepared_of(spark, d).where(DB.search_literal("TCP")).select("segment_id", "seq")
 
 
 _PAGE_COLS = [c if c != "proto" else "proto" for c in FLOW_COLUMNS]

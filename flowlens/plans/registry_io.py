@@ -112,9 +112,9 @@ def q_append_flows(spark, d):
     path = scratch(spark, "flows-append")
     fl = flows_of(spark, d)
     cut = 1_704_068_400 // 30
-    SK.append_flows(fl.where(F.col("segment_id") < cut), path)
-    SK.append_flows(fl.where(F.col("segment_id") >= cut), path)
-    SK.append_flows(fl.where(F.col("segment_id") >= cut), path)   # replay: no duplicates
+    SK.append_flows(fl.where(F.col("segment_id") < cut), path, 0)
+    SK.append_flows(fl.where(F.col("segment_id") >= cut), path, 1)
+    SK.append_flows(fl.where(F.col("segment_id") >= cut), path, 1)   # replay: no duplicates
     return round_doubles(FS.read_flows(spark, path).select(*FLOW_COLUMNS))
 
 
@@ -207,12 +207,15 @@ def q_retrain_every_n(spark, d):
 @register("status_event_stream", sql(*LAB, _CHANGES, body="""
 select strftime(t, '%Y-%m-%dT%H:%M:%S.%f') as t, level, msg from change_ev"""))
 def q_status_event_stream(spark, d):
-    """Label changes per source from a stream of labelled flows (keyed state)."""
+    """Label changes per source from a stream of labelled flows (keyed state), one file for each micro-batch in
+    whatever order the files come; two closing rows move the watermark past the input."""
     src, out, ck = scratch(spark, "lab-stream"), scratch(spark, "status-out"), scratch(spark, "status-ck")
-    labeled_of(spark, d).write.parquet(src)
+    lab = labeled_of(spark, d).withColumn("start_us", F.round(F.col("start_time") * F.lit(1e6)).cast("long"))
+    for part in (lab.repartitionByRange(3, "start_time"), LV.closing_row(lab, 86400.0), LV.closing_row(lab, 172800.0)):
+        part.write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
-    s = spark.readStream.schema(schema).parquet(src)
-    q = (LV.status_event_stream(s).writeStream.outputMode("append").format("parquet").option("path", out)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (LV.status_event_stream(s, lateness="2 hours").writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
@@ -234,10 +237,11 @@ def q_stream_dedupe(spark, d):
 
 @register("stream_label", sql(*LAB, body="select segment_id, seq, label from labeled"))
 def q_stream_label(spark, d):
-    """A stream of flows labelled batch by batch against the intervals."""
+    """A stream of flows labelled batch by batch against the intervals; the flows of each segment are spread over
+    four files, one file for each micro-batch."""
     src, out, ck = scratch(spark, "flow-stream"), scratch(spark, "label-out"), scratch(spark, "label-ck")
-    flows_of(spark, d).write.parquet(src)
-    s = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    flows_of(spark, d).repartition(4, "src_port", "dst_ip").write.parquet(src)
+    s = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     LV.stream_label(s, fixture_intervals(spark), out, ck, trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(out).select("segment_id", "seq", "label")
 

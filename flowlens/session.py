@@ -65,6 +65,7 @@ def local_path(uri: str) -> str:
     return u.path if u.scheme == "file" else uri
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A folder for a written intermediate table under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -9,9 +9,16 @@ from ..schemas import FLOWS, LABELED_FLOWS
 
 
 def read_flows_csv(spark: SparkSession, path: str, labeled: bool = False) -> DataFrame:
-    """S3: headered flow CSV with the fixed schema — no inference pass over the data."""
-    return (spark.read.schema(LABELED_FLOWS if labeled else FLOWS).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
+    """S3: headered flow CSV, columns taken by the names in the header, types fixed (no inference pass).
+
+    The header may hold any subset of the flow columns in any order, a ``label`` after the 22 feature columns, and
+    columns of other names (left out).  Columns that the file lacks are NULL.
+    """
+    want = LABELED_FLOWS if labeled else FLOWS
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    have = {c.strip().lower(): c for c in raw.columns}
+    return raw.select(*[(F.expr(f"try_cast(`{have[f.name.lower()]}` as {f.dataType.simpleString()})")
+                         if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields])
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +39,7 @@ def read_attack_log_text(spark: SparkSession, path: str) -> DataFrame:
     lines = raw.select("_file", F.posexplode(parts).alias("_pos", "line"))
     files = raw.select("_file").distinct()
     order = files.select("_file", (F.dense_rank().over(Window.orderBy("_file")) - 1).cast("long").alias("_f"))
-    return (lines.join(F.broadcast(order), "_file")
+    return (lines.join(order, "_file")
             .select((F.col("_f") * F.lit(1 << 32) + F.col("_pos") + 1).alias("line_no"), "line"))
 
 

@@ -38,6 +38,7 @@ PCAPNG_SHB, PCAPNG_IDB, PCAPNG_EPB, PCAPNG_SPB = 0x0A0D0D0A, 1, 6, 3
 # ----------------------------------------------------------------------------------------
 
 _NUM = re.compile(r"(\d+)$")
+_CAPTURE = re.compile(r"\.pcap(ng)?\d*$")
 
 
 def segment_number(path: str) -> int | None:
@@ -46,20 +47,40 @@ def segment_number(path: str) -> int | None:
 
 
 def list_segments(path: str, min_age_s: float = 0.0, skip_bare: bool = True, now: float | None = None) -> list[str]:
-    """Settled capture files, ordered by segment number."""
-    pattern = path if any(ch in path for ch in "*?[") else os.path.join(path, "capture.pcap*")
+    """Settled capture files, ordered by segment number, then path.
+
+    ``path`` is a file (read whatever its name), a glob, or a folder: there ``*.pcap``, ``*.pcapng`` and rotated
+    ``*.pcap<N>`` count.  ``skip_bare`` leaves out the unnumbered ``capture.pcap`` of a folder that is still written.
+    """
     now = time.time() if now is None else now
+    if any(ch in path for ch in "*?["):
+        found, skip_bare = glob.glob(path), False
+    elif os.path.isdir(path):
+        found = [f for f in glob.glob(os.path.join(path, "*")) if _CAPTURE.search(os.path.basename(f))]
+    else:
+        found, skip_bare = [path], False
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
     out = []
-    for f in glob.glob(pattern):
-        if not os.path.isfile(f):
-            continue
-        n = segment_number(f)
-        if n is None and skip_bare:
+    for f in found:
+        if not os.path.isfile(f) or skip_bare and os.path.basename(f) == "capture.pcap":
             continue
         if min_age_s and now - os.path.getmtime(f) < min_age_s:
             continue
         out.append(f)
-    return sorted(out, key=lambda f: (segment_number(f) or 0, f))
+    return sorted(out, key=lambda f: (-1 if segment_number(f) is None else segment_number(f), f))
+
+
+def segment_ids(files: list[str]) -> dict[str, int]:
+    """Segment id of each file: its number where the name ends in one and no other file of the list bears it, else a
+    number of 62 bits from the whole path - the same in every process."""
+    import zlib
+    numbers = [segment_number(f) for f in files]
+
+    def from_path(f: str) -> int:
+        b = os.path.abspath(f).encode()
+        return (1 << 61) | zlib.crc32(b) << 29 | zlib.crc32(b[::-1]) >> 3
+    return {f: n if n is not None and numbers.count(n) == 1 else from_path(f) for f, n in zip(files, numbers, strict=True)}
 
 
 def _ip(b: bytes) -> str:
@@ -186,8 +207,6 @@ def _record_offsets(data: bytes):
     while pos + 16 <= n:
         offs.append(pos)
         pos += 16 + unpack(data, pos + 8)[0]
-    if offs and pos > n:          # truncated last record
-        offs.pop()
     hdr = np.asarray(offs, dtype=np.int64)
     dt = np.dtype(endian + "u4")
     buf = np.frombuffer(data, dtype=np.uint8)
@@ -196,7 +215,8 @@ def _record_offsets(data: bytes):
     idx = (hdr[:, None] + np.arange(16)[None, :]).ravel()
     sec = buf[idx].copy().view(dt).reshape(-1, 4)
     t_us = sec[:, 0].astype(np.int64) * 1_000_000 + (sec[:, 1].astype(np.int64) // (1000 if ns else 1))
-    return link, hdr + 16, sec[:, 2].astype(np.int64), t_us, buf
+    # a capture cut off in its last record keeps what there is of it
+    return link, hdr + 16, np.minimum(sec[:, 2].astype(np.int64), n - hdr - 16), t_us, buf
 
 
 def _decode_vectorized(data: bytes, segment_id: int):
@@ -299,11 +319,6 @@ class _FilePartition(InputPartition):
         self.path, self.segment_id = path, segment_id
 
 
-def _sid(path: str) -> int:
-    n = segment_number(path)
-    return n if n is not None else abs(hash(os.path.basename(path))) % (1 << 62)
-
-
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path") or options.get("paths")
@@ -311,32 +326,44 @@ class PcapReader(DataSourceReader):
         self.skip_bare = str(options.get("skip_bare", "true")).lower() == "true"
 
     def partitions(self):
-        return [_FilePartition(f, _sid(f)) for f in list_segments(self.path, self.min_age, self.skip_bare)]
+        ids = segment_ids(list_segments(self.path, self.min_age, self.skip_bare))
+        return [_FilePartition(f, n) for f, n in ids.items()]
 
     def read(self, partition):
         yield from decode_file(partition.path, partition.segment_id)
 
 
 class PcapStreamReader(DataSourceStreamReader):
-    """Offset = highest settled segment number seen; a batch is the files in between.
-    Files are settled (``min_age_s``) before they enter an offset, so a file that is still
-    being written is never marked as read."""
+    """Offset = the names already taken, as a ledger: numbers below ``upto`` (a run without gaps) and single names.
+
+    A file is taken once it is settled (``min_age_s``), in whatever order files settle: one with a lower number than
+    those taken before is still new.  A batch is the files that the end offset has and the start offset lacks."""
 
     def __init__(self, options: dict):
         self.path = options.get("path")
         self.min_age = float(options.get("min_age_s", 5))
 
     def initialOffset(self):
-        return {"segment": -1}
+        return {"upto": 0, "names": []}
+
+    @staticmethod
+    def _taken(offset, f: str) -> bool:
+        n = segment_number(f)
+        plain = n is not None and os.path.basename(f) == f"capture.pcap{n}"
+        return plain and n < offset["upto"] or os.path.basename(f) in offset["names"]
 
     def latestOffset(self):
-        files = list_segments(self.path, self.min_age, True)
-        return {"segment": max([segment_number(f) for f in files], default=-1)}
+        files = [os.path.basename(f) for f in list_segments(self.path, self.min_age, True)]
+        plain = {n for f in files if (n := segment_number(f)) is not None and f == f"capture.pcap{n}"}
+        upto = 0
+        while upto in plain:
+            upto += 1
+        return {"upto": upto, "names": sorted(f for f in files if not (
+            (n := segment_number(f)) is not None and f == f"capture.pcap{n}" and n < upto))}
 
     def partitions(self, start, end):
-        lo, hi = start["segment"], end["segment"]
-        return [_FilePartition(f, _sid(f)) for f in list_segments(self.path, self.min_age, True)
-                if lo < segment_number(f) <= hi]
+        ids = segment_ids(list_segments(self.path, 0.0, True))
+        return [_FilePartition(f, n) for f, n in ids.items() if self._taken(end, f) and not self._taken(start, f)]
 
     def read(self, partition):
         yield from decode_file(partition.path, partition.segment_id)

@@ -1,8 +1,7 @@
 """Writers of the pipeline tables (K1-K6).
 
-Flow tables are Parquet partitioned by ``segment_id``; appends of a segment are
-idempotent because a replayed batch overwrites only its own partitions
-(``partitionOverwriteMode=dynamic``).
+Flow tables are Parquet partitioned by ``segment_id`` (K1, K3) or by ``batch`` and ``segment_id`` (K2): what one append
+writes lies in partitions of its own, so a replay of the append replaces its own rows and no other rows.
 """
 
 from __future__ import annotations
@@ -20,11 +19,15 @@ def sink_flows(flows: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.parquet(path)
 
 
-def append_flows(flows: DataFrame, path: str) -> None:
-    """K2: add a batch of segments to the growing flow table.  Dynamic partition overwrite
-    makes a replay of the same segments replace, not duplicate, them."""
-    (flows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("segment_id").parquet(path))
+def append_flows(flows: DataFrame, path: str, batch: int | str = 0) -> None:
+    """K2: add a batch of flows to the growing table.
+
+    ``batch`` names the append (a micro-batch id, a segment run).  Its rows lie below ``batch=<name>``, so a segment that
+    arrives in several batches keeps the rows of all of them, and writing the same batch again replaces, not
+    duplicates, it.  An empty batch writes nothing.
+    """
+    (flows.withColumn("batch", F.lit(str(batch))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "segment_id").parquet(path))
 
 
 def sink_labeled(labeled: DataFrame, path: str, segments_only: bool = True) -> None:
@@ -52,10 +55,4 @@ def sink_eval(evaluation: DataFrame, path: str, fmt: str = "json") -> None:
         evaluation.coalesce(1).write.mode("overwrite").format(fmt).save(path)
 
 
-def unique_path(base: str, name: str) -> str:
-    """A fresh folder name below ``base`` (never reuses or deletes earlier output)."""
-    import uuid
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-__all__ = ["sink_flows", "append_flows", "sink_labeled", "sink_holdout", "sink_eval", "unique_path", "F"]
+__all__ = ["sink_flows", "append_flows", "sink_labeled", "sink_holdout", "sink_eval"]

@@ -1,9 +1,10 @@
 """Micro-batch versions of the pipeline.
 
 * T1 ``live_flows``          capture segments (pcap stream source) -> flows -> append.
-* T2 exactly once            the streaming checkpoint stores the offset (highest settled
-                              segment); each batch overwrites only its own segment
-                              partitions, so a replayed batch does not duplicate rows.
+* T2 exactly once            the streaming checkpoint stores the ledger offset; each batch
+                              overwrites only its own partitions (batch id, segment), so a
+                              replayed batch does not duplicate rows and a segment that
+                              comes in several batches keeps them all.
 * T3 ``tumbling_flows``      a packet stream (no segment files) cut into 30 s event-time
                               segments by a stateful operator: O(1) state per flow (counts,
                               moments, first/last packet), emitted when the watermark passes
@@ -28,6 +29,7 @@ from ..operators import flows as FL
 from ..operators import labels as LB
 from ..schemas import FIVE_TUPLE, SEGMENT_S, US
 from ..sources import pcap as PC
+from ..session import cut_lineage, path_exists
 from ..sources.sinks import append_flows
 
 
@@ -47,7 +49,7 @@ def live_flows(spark: SparkSession, segments_path: str, out_path: str, checkpoin
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         flows = FL.flow_extract(df)
-        append_flows(flows, out_path)
+        append_flows(flows, out_path, batch_id)
         if on_batch is not None:
             on_batch(flows, batch_id)
 
@@ -138,7 +140,7 @@ def finish_flows(stats: DataFrame) -> DataFrame:
 def tumbling_to_table(packets: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None,
                       lateness: str = "60 seconds"):
     def batch(df: DataFrame, batch_id: int) -> None:
-        append_flows(finish_flows(df), out_path)
+        append_flows(finish_flows(df), out_path, batch_id)
     return (tumbling_flows(packets, lateness).writeStream.outputMode("append").foreachBatch(batch)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"}))
             .start())
@@ -147,17 +149,32 @@ def tumbling_to_table(packets: DataFrame, out_path: str, checkpoint: str, trigge
 # ------------------------------------------------------------------ T4 / T5
 def relabel_on_change(spark: SparkSession, flows_path: str, out_path: str, old_iv: DataFrame | None,
                       new_iv: DataFrame) -> DataFrame:
-    """T4: late END lines change intervals; re-label only flows of segments that overlap
-    an interval that appeared, vanished or changed.  Returns the changed intervals."""
+    """T4: late END lines change intervals; re-label the segments with a flow that overlaps an interval that appeared,
+    vanished or changed, and those that the labelled table does not have yet (all of them on the first run, when
+    ``old_iv`` is None).  Segments are taken from the flow table, whatever numbers they bear.  Returns the changed
+    intervals."""
     key = ["name", "start_us", "end_us", "base_line", "start_line"]
     new_k = new_iv.select(*key)
     changed = new_k if old_iv is None else new_k.join(old_iv.select(*key), key, "left_anti").unionByName(
         old_iv.select(*key).join(new_k, key, "left_anti"))
-    segs = changed.select(F.explode(F.sequence(F.floor(F.col("start_us") / F.lit(SEGMENT_S * US)).cast("long"),
-                                               F.floor(F.col("end_us") / F.lit(SEGMENT_S * US)).cast("long")))
-                          .alias("segment_id")).distinct()
-    flows = spark.read.parquet(flows_path).join(segs, "segment_id", "left_semi")
-    labeled = LB.label_flows(flows, new_iv)
+    changed = cut_lineage(changed)
+    flows = spark.read.parquet(flows_path)
+    if old_iv is None:
+        todo = flows
+    else:
+        # each segment's time range against the changed intervals: one row for each segment on that side
+        span = flows.groupBy("segment_id").agg(
+            F.round(F.min("start_time") * F.lit(float(US))).cast("long").alias("lo"),
+            F.round(F.max("end_time") * F.lit(float(US))).cast("long").alias("hi"))
+        touched = span.join(changed, (F.col("lo") <= F.col("end_us")) & (F.col("hi") >= F.col("start_us")), "left_semi")
+        segs = touched.select("segment_id")
+        if path_exists(spark, out_path):
+            done = spark.read.parquet(out_path).select("segment_id").distinct()
+            segs = segs.unionByName(span.select("segment_id").join(done, "segment_id", "left_anti")).distinct()
+        else:
+            segs = span.select("segment_id")
+        todo = flows.join(segs, "segment_id", "left_semi")
+    labeled = cut_lineage(LB.label_flows(todo, new_iv))  # read in full before its target is overwritten
     (labeled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_id")
      .parquet(out_path))
     return changed
@@ -166,10 +183,9 @@ def relabel_on_change(spark: SparkSession, flows_path: str, out_path: str, old_i
 def retrain_due(spark: SparkSession, state_path: str, new_segments: int, every: int = 5) -> bool:
     """T5: add ``new_segments`` to the counter table; True (and counter reset) once it
     reaches ``every``.  The counter resets even if the retrain is then skipped."""
-    try:
-        cur = spark.read.json(state_path).agg(F.max("count")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first run, no state yet
-        cur = 0
+    cur = 0  # first run: no state yet
+    if path_exists(spark, state_path):
+        cur = spark.read.schema("count long").json(state_path).agg(F.max("count")).first()[0] or 0
     total = cur + new_segments
     due = total >= every
     spark.createDataFrame([(0 if due else total,)], "count long").coalesce(1).write.mode("overwrite").json(state_path)
@@ -178,30 +194,67 @@ def retrain_due(spark: SparkSession, state_path: str, new_segments: int, every:
 
 # ------------------------------------------------------------------ T7 / T8 / T9
 def _status_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    last = state.get[0] if state.exists else None
-    rows = []
-    for p in pdfs:
-        for r in p.sort_values(["start_us", "segment_id", "seq"]).itertuples(index=False):
-            lab = r.label
-            if last is not None and lab != last:
-                lvl = "attack" if (lab != "NORMAL" and last == "NORMAL") else ("ok" if lab == "NORMAL" else "warn")
-                rows.append((pd.Timestamp(r.start_us, unit="us", tz="UTC"), lvl, f"{key[0]} · {last} → {lab}"))
-            last = lab
-    if last is not None:
-        state.update((last,))
-    if rows:
-        yield pd.DataFrame(rows, columns=["t", "level", "msg"])
-
-
-def status_event_stream(labeled_stream: DataFrame) -> DataFrame:
-    """Label changes per source; the state is the source's last label.  Within a
-    micro-batch a source's flows are ordered by start time (the batch form is W7)."""
+    """Hold a source's flows until the watermark has passed them, then emit the changes in order.
+
+    The state is the last emitted label (and whether there is one) plus the flows still open; they are put in order
+    across Arrow chunks and micro-batches, because nothing is judged before its time is over.  A null label is a
+    status like any other, as in the batch form.
+    """
+    has, last, start, seg, seq, label = state.get if state.exists else (False, None, [], [], [], [])
+    held = pd.DataFrame({"start_us": list(start), "segment_id": list(seg), "seq": list(seq), "label": list(label)})
+    if not state.hasTimedOut:
+        new = [p[["start_us", "segment_id", "seq", "label"]] for p in pdfs]
+        held = pd.concat([held, *new], ignore_index=True) if len(held) else pd.concat(new, ignore_index=True)
+    held = held.sort_values(["start_us", "segment_id", "seq"], kind="stable").reset_index(drop=True)
+    passed = held["start_us"] // 1000 <= state.getCurrentWatermarkMs()
+    ready, rest = held[passed], held[~passed]
+    if len(ready):
+        lab = ready["label"].astype(object).where(ready["label"].notna(), None)
+        prev = lab.shift(1)
+        prev.iloc[0] = last
+        known = pd.Series(True, index=ready.index)
+        known.iloc[0] = has
+        same = [(a is None and b is None) or a == b for a, b in zip(lab, prev.astype(object).where(prev.notna(), None))]
+        hit = known & prev.notna() & ~pd.Series(same, index=ready.index)
+        if hit.any():
+            now, was, at = lab[hit], prev[hit], ready["start_us"][hit]
+            level = [("ok" if n in ("NORMAL", None) else "attack" if w == "NORMAL" else "warn")
+                     for n, w in zip(now, was, strict=True)]
+            yield pd.DataFrame({"t": pd.to_datetime(at, unit="us", utc=True), "level": level, "msg": [
+                f"{key[0]} · {w} → {'NULL' if n is None else n}" for n, w in zip(now, was, strict=True)]})
+        has, last = True, lab.iloc[-1]
+    state.update((has, last, rest["start_us"].astype("int64").tolist(), rest["segment_id"].astype("int64").tolist(),
+                  rest["seq"].astype("int64").tolist(),
+                  rest["label"].astype(object).where(rest["label"].notna(), None).tolist()))
+    if len(rest):
+        state.setTimeoutTimestamp(int(rest["start_us"].iloc[0] // 1000) + 1)
+
+
+def status_event_stream(labeled_stream: DataFrame, lateness: str = "60 seconds") -> DataFrame:
+    """Label changes per source, in order across micro-batches (the batch form is W7).
+
+    A flow is judged once the watermark (``lateness`` behind the newest start time) has passed it, so flows at the end
+    of the input wait for later ones; ``closing_row`` makes a row that closes the input."""
     s = labeled_stream
     if "start_us" not in s.columns:
         s = s.withColumn("start_us", F.round(F.col("start_time") * F.lit(float(US))).cast("long"))
-    return (s.select("src_ip", "start_us", "segment_id", "seq", "label").groupBy("src_ip")
-            .applyInPandasWithState(_status_fn, "t timestamp, level string, msg string", "last string",
-                                    "append", GroupStateTimeout.NoTimeout))
+    return (s.where("src_ip is not null and start_us is not null")
+            .select("src_ip", "start_us", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("segment_id", "seq")],
+                    "label")
+            .withColumn("ts", F.timestamp_micros("start_us")).withWatermark("ts", lateness).groupBy("src_ip")
+            .applyInPandasWithState(_status_fn, "t timestamp, level string, msg string",
+                                    "has boolean, last string, start array<long>, seg array<long>, seq array<long>, "
+                                    "label array<string>", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def closing_row(labeled: DataFrame, after_s: float = 86400.0) -> DataFrame:
+    """One row like ``labeled`` of a source of its own, later than all: it moves the watermark past the input."""
+    cols = [F.lit(None).cast(t).alias(c) for c, t in labeled.dtypes]
+    end = labeled.agg((F.max("start_time") + F.lit(after_s)).alias("_end"))
+    row = end.select("_end", *cols).withColumn("start_time", F.col("_end")).withColumn("src_ip", F.lit("-"))
+    if "start_us" in labeled.columns:
+        row = row.withColumn("start_us", F.round(F.col("_end") * F.lit(float(US))).cast("long"))
+    return row.select(*labeled.columns)
 
 
 def stream_dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -211,9 +264,12 @@ def stream_dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def stream_label(flows_stream: DataFrame, intervals: DataFrame, out_path: str, checkpoint: str,
                  trigger: dict | None = None):
-    """Label each micro-batch of flows against the (static) intervals and append."""
+    """Label each micro-batch of flows against the (static) intervals and append; the intervals are computed once
+    for the whole stream."""
+    stable = cut_lineage(intervals)
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        append_flows(LB.label_flows(df, intervals), out_path)
+        append_flows(LB.label_flows(df, stable, checkpointed=True), out_path, batch_id)
     return (flows_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
 

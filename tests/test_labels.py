@@ -22,45 +22,37 @@ def test_fixture_log_intervals_in_match_order(spark):
                    ("EXFIL_RANSOMWARE", 720, 900), ("EXFIL_RANSOMWARE", 750, 780)]
 
 
-def _stack(lines):
-    """The reference's parser and pairing as a plain loop (written from the rules)."""
-    from datetime import datetime, timezone
-    ivs = {}
-    for line in lines:
-        line = line.strip()
-        if not line:
-            continue
-        p = line.split(",")
-        if len(p) < 4:
-            continue
-        try:
-            ts = datetime.strptime(p[0], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp()
-        except ValueError:
-            continue
-        base, is_end = p[1].rsplit("_", 1)[0], p[1].endswith("_END")
-        ivs.setdefault(base, [])
+def _paired(events):
+    """Push a START's time, pop it at an END: (name, start, end) by first line of the name, then line of the START.
+
+    ``events``: (line, name, is_end, seconds) of the well-formed lines."""
+    stacks, first, closed = {}, {}, []
+    for line, name, is_end, at in events:
+        first.setdefault(name, line)
+        stack = stacks.setdefault(name, [])
         if not is_end:
-            ivs[base].append([ts, None])
-        else:
-            for iv in reversed(ivs[base]):
-                if iv[1] is None:
-                    iv[1] = ts
-                    break
-    return [(b, int(s), int(e)) for b, lst in ivs.items() for s, e in lst if e is not None]
+            stack.append((line, at))
+        elif stack:
+            start_line, start = stack.pop()
+            closed.append((first[name], start_line, name, start, at))
+    return [(name, start, end) for _, _, name, start, end in sorted(closed)]
 
 
 @pytest.mark.parametrize("seed,chunk", [(0, 1 << 16), (1, 5), (2, 3), (3, 1 << 16), (4, 2)])
 def test_pairing_equals_stack(spark, seed, chunk):
     rnd = random.Random(seed)
-    lines = []
+    lines, events = [], []
     for i in range(80):
+        name, kind = rnd.choice(["RECON", "C2_BEACON", "SCAN"]), rnd.choice(["START", "START", "END", "END", "STOP"])
         t = f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z"
-        name = rnd.choice(["RECON", "C2_BEACON", "SCAN"])
-        kind = rnd.choice(["START", "START", "END", "END", "STOP"])
-        lines.append(rnd.choice([f"{t},{name}_{kind},a,b"] * 8 + ["", "bad,RECON_START,a,b", f"{t},{name}_END,a"]))
+        if rnd.random() < 0.7:
+            lines.append(f"{t},{name}_{kind},a,b")
+            events.append((i, name, kind == "END", BASE + i))
+        else:  # not an event: blank, no time, too few fields
+            lines.append(rnd.choice(["", "bad,RECON_START,a,b", f"{t},{name}_END,a"]))
     got = [(r.name, r.start_us // 1_000_000, r.end_us // 1_000_000)
            for r in _intervals(spark, lines, chunk).orderBy("base_line", "start_line").collect()]
-    assert got == _stack(lines)
+    assert got == _paired(events)
 
 
 def _flows(spark, spans):

@@ -60,3 +60,25 @@ def test_confusion_grid_zero_fill_and_unknown_prediction(spark):
     p = spark.createDataFrame(rows, "label string, prediction string")
     cells = {(r.true_label, r.pred_label): r["count"] for r in MT.confusion_counts(p).collect()}
     assert len(cells) == 9 and cells[("a", "a")] == 1 and cells[("c", "a")] == 1 and sum(cells.values()) == 2
+
+
+def test_auc_of_large_counts_does_not_overflow(spark):
+    p = spark.createDataFrame([(1, 0.9), (0, 0.1)], "y int, score double")
+    big = MT.roc_auc(p)
+    assert big.first().roc_auc == 1.0
+    assert "cast" in str(big._jdf.queryExecution().analyzed()).lower()
+
+
+def test_one_vs_rest_with_an_absent_class_is_null(spark):
+    rows = [("a", [0.9, 0.05, 0.05]), ("a", [0.8, 0.1, 0.1]), ("c", [0.1, 0.1, 0.8]), ("c", [0.0, 0.1, 0.9])]
+    p = spark.createDataFrame(rows, "label string, probability array<double>")
+    assert MT.roc_auc_ovr(p, names=["a", "b", "c"]).first().roc_auc_ovr is None
+    full = p.unionByName(spark.createDataFrame([("b", [0.1, 0.8, 0.1])], p.schema))
+    assert MT.roc_auc_ovr(full, names=["a", "b", "c"]).first().roc_auc_ovr == 1.0
+
+
+def test_binary_evaluation_of_an_all_normal_holdout(spark):
+    from flowlens.operators import ml as ML
+    p = spark.createDataFrame([(0, 0, 0.1), (0, 0, 0.2), (0, 1, 0.9)], "y int, yhat int, score double")
+    r = ML.evaluate_binary(p, "m").first()
+    assert r.confusion_matrix == [[2, 1], [0, 0]] and abs(r.false_positive_rate - 1 / 3) < 1e-12 and r.roc_auc is None

@@ -39,20 +39,19 @@ def test_scaler_uses_population_std_and_unit_scale_for_constants(labeled):
 
 
 def test_sequence_windows_equal_naive(labeled):
-    win = ML.sequence_windows(labeled).collect()
-    pdf = labeled.select("src_ip", "start_time", "segment_id", "seq", "label", *FEATURES).toPandas()
-    exp = {}
-    for src, g in pdf.groupby("src_ip"):
-        g = g.sort_values(["start_time", "segment_id", "seq"])
-        for i in range(len(g) - 4):
-            w = g.iloc[i:i + 5]
-            exp[(src, int(w.segment_id.iloc[-1]), int(w.seq.iloc[-1]))] = (w.label.iloc[-1], w[list(FEATURES)].values.tolist())
-    assert len(win) == len(exp)
-    for r in win:
-        lab, rows = exp[(r.src_ip, r.end_segment_id, r.end_seq)]
-        assert r.label == lab
-        flat = [float(x) for row in rows for x in row]
-        assert [x for row in r.rows for x in row] == pytest.approx(flat)
+    """Each row that is at least the fifth of its source ends one window, made of the rows numbered n-4..n."""
+    rows = sorted(labeled.collect(), key=lambda r: (r.src_ip, r.start_time, r.segment_id, r.seq))
+    number, place = {}, {}
+    for r in rows:
+        n = number[r.src_ip] = number.get(r.src_ip, -1) + 1
+        place[r.src_ip, n] = r
+    win = {(r.src_ip, r.end_segment_id, r.end_seq): r for r in ML.sequence_windows(labeled).collect()}
+    assert len(win) == sum(n >= 4 for _, n in place)
+    for (src, n), last in place.items():
+        if n >= 4:
+            got = win[src, last.segment_id, last.seq]
+            want = [float(place[src, k][f]) for k in range(n - 4, n + 1) for f in FEATURES]
+            assert got.label == last.label and [x for row in got.rows for x in row] == pytest.approx(want)
 
 
 def test_class_weights_balanced(labeled):

@@ -1,5 +1,6 @@
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.operators import flows as FL
@@ -57,3 +58,76 @@ def test_retrain_counter(spark, tmp):
     p = os.path.join(tmp, "state")
     got = [LV.retrain_due(spark, p, 1, every=3) for _ in range(7)]
     assert got == [False, False, True, False, False, True, False]
+
+
+def _labelled(spark):
+    from flowlens.operators import labels as LB
+    flows = FL.flow_extract(AD.read_packets(spark, SF))
+    iv = LB.attack_intervals(AD.attack_log_fixture(spark))
+    return flows, iv, LB.label_flows(flows, iv)
+
+
+def _rows(df):
+    return sorted((r.segment_id, r.seq, r.label) for r in df.select("segment_id", "seq", "label").collect())
+
+
+def test_stream_label_keeps_all_batches_of_a_segment(spark, tmp):
+    flows, iv, want = _labelled(spark)
+    src, out = os.path.join(tmp, "flows"), os.path.join(tmp, "out")
+    flows.repartition(4, "src_port", "dst_ip").write.parquet(src)
+    s = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for _ in range(2):  # the second run has nothing to do
+        LV.stream_label(s, iv, out, os.path.join(tmp, "ck"), trigger={"availableNow": True}).awaitTermination()
+    assert _rows(spark.read.parquet(out)) == _rows(want)
+
+
+def test_relabel_first_run_and_log_change_on_file_numbers(spark, tmp):
+    from flowlens.operators import labels as LB
+    flows, iv, _ = _labelled(spark)
+    flows = flows.withColumn("segment_id", F.dense_rank().over(Window.orderBy("segment_id")).cast("long"))
+    path, out = os.path.join(tmp, "flows"), os.path.join(tmp, "out")
+    flows.write.partitionBy("segment_id").parquet(path)
+    old = LB.attack_intervals(AD.attack_log_fixture(spark).where(F.col("line_no") <= 11))
+    LV.relabel_on_change(spark, path, out, None, old)
+    assert _rows(spark.read.parquet(out)) == _rows(LB.label_flows(flows, old))
+    LV.relabel_on_change(spark, path, out, old, iv)
+    assert _rows(spark.read.parquet(out)) == _rows(LB.label_flows(flows, iv))
+
+
+def test_capture_stream_takes_a_late_lower_number(tmp):
+    import time
+    r = PC.PcapStreamReader({"path": tmp, "min_age_s": "5"})
+    data = PC.pcap_bytes([(1_000_000, True, "10.0.0.1", 1, "10.0.0.2", 2, 6, 60)])
+
+    def put(n, age):
+        with open(os.path.join(tmp, f"capture.pcap{n}"), "wb") as f:
+            f.write(data)
+        os.utime(f.name, (time.time() - age,) * 2)
+    put(0, 60)
+    put(5, 60)
+    put(4, 0)  # still written
+    first = r.latestOffset()
+    assert [p.segment_id for p in r.partitions(r.initialOffset(), first)] == [0, 5]
+    put(4, 60)
+    put(1, 60)
+    second = r.latestOffset()
+    assert [p.segment_id for p in r.partitions(first, second)] == [1, 4]
+    assert r.partitions(second, r.latestOffset()) == []
+
+
+def test_status_stream_orders_across_batches_and_keeps_null_as_a_status(spark, tmp):
+    rows = [("a", 10.0, 1, 1, "NORMAL"), ("a", 30.0, 1, 3, "NORMAL"), ("a", 20.0, 1, 2, "RECON"), ("a", 40.0, 1, 4, None),
+            ("b", 5.0, 1, 5, "RECON"), ("b", 50.0, 1, 6, "SCAN"), ("a", 45.0, 1, 7, "NORMAL"), (None, 1.0, 1, 8, "SCAN")]
+    ddl = "src_ip string, start_time double, segment_id long, seq long, label string"
+    src, out = os.path.join(tmp, "src"), os.path.join(tmp, "out")
+    df = spark.createDataFrame(rows, ddl)
+    for r in rows:  # one micro-batch for each row, times out of order
+        spark.createDataFrame([r], ddl).coalesce(1).write.mode("append").parquet(src)
+    for after in (1e5, 2e5):
+        LV.closing_row(df, after).write.mode("append").parquet(src)
+    s = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    (LV.status_event_stream(s, "60 seconds").writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", os.path.join(tmp, "ck")).trigger(availableNow=True).start().awaitTermination())
+    got = sorted((r.msg, r.level) for r in spark.read.parquet(out).collect())
+    assert got == sorted([("a · NORMAL → RECON", "attack"), ("a · RECON → NORMAL", "ok"), ("a · NORMAL → NULL", "ok"),
+                          ("b · RECON → SCAN", "warn")])
