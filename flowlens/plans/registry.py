@@ -623,7 +623,7 @@ def q_dedupe_events(spark, d):
     return new.select(X.utc_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "level", "msg")
 
 
-@register("new_segments", sql(O.PACKETS, *LOGD, body="""
+@register("new_segments", sql(O.PACKETS, O.FIXTURE_LOG, O.LOG_EVENTS, body="""
 select distinct 'capture.pcap' || cast(segment_id as varchar) as name from packets
 anti join (select distinct 'capture.pcap' || cast((ts_us // 1000000) // 30 as varchar) as name from log_typed) l
   on 'capture.pcap' || cast(segment_id as varchar) = l.name"""))
@@ -631,7 +631,7 @@ def q_new_segments(spark, d):
     """Segment files found vs the ledger of segments the labeller has seen (anti join)."""
     found = packets_of(spark, d).select(F.concat(F.lit("capture.pcap"), F.col("segment_id").cast("string"))
                                         .alias("name")).distinct()
-    ledger = LB.parse_attack_log(AD.read_attack_log(spark, d)).select(
+    ledger = LB.parse_attack_log(AD.attack_log_fixture(spark)).select(
         F.concat(F.lit("capture.pcap"), F.floor(F.col("ts_us") / F.lit(30 * US)).cast("long").cast("string"))
         .alias("name")).distinct()
     return found.join(ledger, "name", "left_anti")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..functions import exprs as X
 from ..operators import labels as LB
+from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..schemas import FLOW_COLUMNS, PACKETS
 from ..session import checkpoint_dir, cut_lineage, local_path
@@ -25,7 +26,7 @@ from ..sources import sinks as SK
 from ..streaming import live as LV
 from . import dashboard as DB
 from . import pipeline as PL
-from .registry import (FLOW_CHAIN, LAB, LOGD, _CHANGES, labeled_of, packets_of, register, round_doubles, sql,
+from .registry import (_EVAL, FLOW_CHAIN, LAB, LOGD, _CHANGES, class_preds, evaluation_of, flow_preds, labeled_of, packets_of, register, round_doubles, sql,
                        flows_of, fixture_intervals)
 
 FLOW_NO_SEQ = [c for c in FLOW_COLUMNS if c != "seq"]
@@ -155,7 +156,11 @@ def q_sink_holdout(spark, d):
     return round_doubles(spark.read.parquet(path).select(*FLOW_COLUMNS, "label"))
 
 
-@register("min_rows_gate")
+@register("min_rows_gate", sql(*LAB, body="""
+select 'sequences>=20' as gate, coalesce(sum(greatest(n - 4, 0)), 0) >= 20 as passed
+from (select count(*) as n from labeled group by src_ip)
+union all select 'flows>=20', count(*) >= 20 from labeled
+union all select 'normal>=1', count(*) >= 1 from labeled where label = 'NORMAL'"""))
 def q_min_rows_gate(spark, d):
     """the row-count gates (bounded ``limit(n).count()``)."""
     lab = labeled_of(spark, d)
@@ -340,22 +345,34 @@ def q_load_models(spark, d):
                     F.lit(missing is None).alias("rf_missing"))
 
 
-@register("sink_eval")
-def q_sink_eval(spark, d):
-    """K6 + S5: evaluation rows of the stand-in predictions written as CSV and read back."""
-    from .registry import evaluation_of
-    ev = evaluation_of(spark, d).withColumn("confusion_matrix", F.lit(None).cast("array<array<bigint>>"))
+def _eval_written(spark, d):
+    """Evaluation rows of the stand-in predictions with their matrices, written as CSV."""
+    preds = class_preds(spark, d).select("model", "label", "prediction").unionByName(
+        flow_preds(spark, d).select("model", "label", "prediction"))
     path = scratch(spark, "eval")
-    SK.sink_eval(ev, path, fmt="csv")
+    SK.sink_eval(evaluation_of(spark, d).join(MT.confusion_matrix(preds), "model"), path, fmt="csv")
     return FS.read_eval_results(spark, path)
 
 
-@register("scan_eval_results")
+@register("sink_eval", sql(O.CLASS_PRED, *LAB, O.FLOW_PRED, _EVAL, body=f"""
+select e.model, {O.r6('coalesce(f1_score, 0)', 'f1_score')}, {O.r6('coalesce(roc_auc, 0)', 'roc_auc')},
+       {O.r6('coalesce(false_positive_rate, 0)', 'false_positive_rate')}, confusion_matrix
+from evaluation e join (select * from {O.matrix_text_sql(O.grid_sql('cpred', 'model'), 'model')}
+                        union all select * from {O.matrix_text_sql(O.grid_sql('fpred2', 'model'), 'model')}) m
+  on e.model = m.model"""))
+def q_sink_eval(spark, d):
+    """K6 + S5: the evaluation CSV with its confusion matrices, read back."""
+    return round_doubles(_eval_written(spark, d))
+
+
+@register("scan_eval_results", sql(O.CLASS_PRED, *LAB, O.FLOW_PRED, _EVAL, body=f"""
+select model, {O.r6('coalesce(f1_score, 0)', 'f1_score')}, {O.r6('coalesce(roc_auc, 0)', 'roc_auc')},
+       {O.r6('coalesce(false_positive_rate, 0)', 'false_positive_rate')} from evaluation"""))
 def q_scan_eval_results(spark, d):
     """Evaluation CSV -> map<model, metrics> (missing metric = 0)."""
-    back = q_sink_eval(spark, d)
+    back = _eval_written(spark, d)
     m = DB.models(back.select("model", "f1_score", "roc_auc", "false_positive_rate"))
-    return m.select(F.explode("models").alias("model", "v")).select("model", "v.*")
+    return round_doubles(m.select(F.explode("models").alias("model", "v")).select("model", "v.*"))
 
 
 
