@@ -8,6 +8,7 @@ row set can be compared with the batch result (DuckDB oracle where one exists).
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -69,13 +70,18 @@ def q_stream_segments(spark, d):
             .select("segment_id", "t_us", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len"))
 
 
-@register("settled_files")
+@register("settled_files", sql(O.PACKETS, body="""
+select distinct 'capture.pcap' || cast(segment_id as varchar) as name, segment_id from packets where segment_id % 10 <> 0"""))
 def q_settled_files(spark, d):
-    """settled segment files (name has a number, old enough); the file still being
-    written (bare name) is left out."""
+    """settled segment files (name has a number, old enough); the file still being written (bare name) and files
+    changed a moment ago (here every tenth) are left out."""
     seg = _segments(spark, d)
     open(os.path.join(seg, "capture.pcap"), "wb").close()
-    files = PC.list_segments(seg, min_age_s=0)
+    now = time.time()
+    for f in PC.list_segments(seg):
+        age = 0 if PC.segment_number(f) % 10 == 0 else 60
+        os.utime(f, (now - age, now - age))
+    files = PC.list_segments(seg, min_age_s=5, now=now)
     return spark.createDataFrame([(os.path.basename(f), PC.segment_number(f)) for f in files],
                                  "name string, segment_id long")
 
