@@ -35,8 +35,11 @@ ROWS = 5             # signature positions of a band
 MISS = 1e-6          # chance to miss a pair right at the threshold in all bands
 PRUNE = 1e-7         # posterior probability below which a pair is given up
 BATCH = 20           # signature positions compared at a time
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 BLOCK_A, BLOCK_B = 250, 1000   # members of one block comparison
+CELL_ROWS = 3000     # members compared at once, over cells
+PAIRS = 200_000      # pairs tested at once
+KNOWN_SETS = 4000    # shingle sets that a task keeps
 _A_SEED = 20240229
 
 
@@ -243,55 +246,97 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
     cells = a.unionByName(b).join(involved, "doc_id")
     threshold = percent / 100
 
-    def compare(cell: pa.Table) -> pa.Table:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["bucket", "ia", "ib", "side", "band", "doc_id", "comp", "outside", "sig", "z"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come one after another, left members first; several are compared at once."""
         import zstandard
-        side = cell.column("side").to_numpy()
-        doc, comp = cell.column("doc_id").to_numpy(), cell.column("comp").to_numpy()
-        outside = np.asarray(cell.column("outside"), dtype=bool)
-        band = cell.column("band")[0].as_py()
-        sig, z = matrix(cell.column("sig").to_pylist()), cell.column("z").to_pylist()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        pairs = []
-        step = max(1, 100_000 // max(1, len(right)))
-        for s in range(0, len(left), step):
-            i = np.repeat(left[s:s + step], len(right))
-            j = np.tile(right, len(left[s:s + step]))
-            # a pair of two outside members appears twice; take it once
-            ok = (comp[i] != comp[j]) & (~outside[j] | (doc[i] < doc[j]))
-            i, j = i[ok], j[ok]
-            good = surviving(sig, sig, i, j, threshold)
-            i, j = i[good], j[good]
-            same = (sig[i] == sig[j]).reshape(len(i), sig.shape[1] // ROWS, ROWS).all(2)
-            first = same.argmax(1) == band
-            pairs.append((i[first], j[first]))
-        i = np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.int64)])
-        j = np.concatenate([*(p[1] for p in pairs), np.zeros(0, np.int64)])
-        out_a, out_b = [], []
-        if len(i):
-            sets, unpress = Shingler(words), zstandard.ZstdDecompressor()
-            need = np.unique(np.concatenate([i, j]))
-            full = [sets(unpress.decompress(z[k]).decode("utf-8", "surrogatepass")) for k in need]
-            size = np.array([len(x) for x in full])
-            number = np.unique(np.concatenate(full), return_inverse=True)[1].astype(np.int32)
-            start = np.concatenate([[0], np.cumsum(size)])
-            i, j = np.searchsorted(need, i), np.searchsorted(need, j)
-            mark, joined = np.zeros(int(number.max()) + 1, dtype=bool), _Joined()
-            for k in np.unique(i):
-                mine = number[start[k]:start[k + 1]]
-                mark[mine] = True
-                for m in j[i == k]:
+        sets, unpress, known = Shingler(words), zstandard.ZstdDecompressor(), {}
+
+        def full(doc: int, z: bytes) -> np.ndarray:
+            if doc not in known:
+                if len(known) > KNOWN_SETS:
+                    known.clear()
+                known[doc] = sets(unpress.decompress(z).decode("utf-8", "surrogatepass"))
+            return known[doc]
+
+        def links(cells: pa.Table) -> pa.RecordBatch:
+            bucket, ia, ib, side, band, doc, comp = (cells.column(c).to_numpy() for c in names[:7])
+            outside = np.asarray(cells.column("outside"), dtype=bool)
+            sig, z = matrix(cells.column("sig").to_pylist()), cells.column("z")
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ia[1:] != ia[:-1]) | (ib[1:] != ib[:-1])])
+            cell = np.cumsum(new) - 1
+            n_left = np.bincount(cell, weights=side == 0).astype(np.int64)
+            n_right = np.bincount(cell).astype(np.int64) - n_left
+            first_right = np.flatnonzero(new) + n_left
+            left = np.flatnonzero(side == 0)
+            ends, pairs, s = np.cumsum(n_right[cell[left]]), [], 0
+            while s < len(left):
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PAIRS, side="right")))
+                own = left[s:e]
+                count = n_right[cell[own]]
+                i = np.repeat(own, count)
+                j = np.arange(len(i)) + np.repeat(first_right[cell[own]] - np.cumsum(count) + count, count)
+                # a pair of two outside members appears twice; take it once
+                ok = (comp[i] != comp[j]) & (~outside[j] | (doc[i] < doc[j]))
+                i, j = i[ok], j[ok]
+                good = surviving(sig, sig, i, j, threshold)
+                i, j = i[good], j[good]
+                same = (sig[i] == sig[j]).reshape(len(i), sig.shape[1] // ROWS, ROWS).all(2)
+                first = same.argmax(1) == band[i]
+                pairs.append((i[first], j[first]))
+                s = e
+            i = np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.int64)])
+            j = np.concatenate([*(p[1] for p in pairs), np.zeros(0, np.int64)])
+            out_a, out_b = [], []
+            if len(i):
+                need = np.unique(np.concatenate([i, j]))
+                found = [full(int(doc[k]), z[int(k)].as_py()) for k in need]
+                size = np.array([len(x) for x in found])
+                number = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
+                start = np.concatenate([[0], np.cumsum(size)])
+                order = np.argsort(i, kind="stable")
+                i, j = np.searchsorted(need, i[order]), np.searchsorted(need, j[order])
+                mark, joined, marked = np.zeros(int(number.max()) + 1, dtype=bool), _Joined(), -1
+                for k, m in zip(i.tolist(), j.tolist(), strict=True):
                     p, q = joined.find(int(comp[need[k]])), joined.find(int(comp[need[m]]))
                     if p == q:
                         continue
+                    if k != marked:
+                        if marked >= 0:
+                            mark[number[start[marked]:start[marked + 1]]] = False
+                        mark[number[start[k]:start[k + 1]]] = True
+                        marked = k
                     both = int(np.count_nonzero(mark[number[start[m]:start[m + 1]]]))
                     if 100 * both >= percent * (int(size[k]) + int(size[m]) - both):
                         joined[max(p, q)] = min(p, q)
                         out_a.append(doc[need[k]])
                         out_b.append(doc[need[m]])
-                mark[mine] = False
-        return pa.table({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            return batch(schema, np.array(out_a, np.int64), np.array(out_b, np.int64))
 
-    return cells.groupBy("bucket", "ia", "ib").applyInArrow(compare, "a long, b long")
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, CELL_ROWS):
+                held.append(whole.slice(k, CELL_ROWS))
+                rows += held[-1].num_rows
+                if rows < CELL_ROWS:
+                    continue
+                t = pa.Table.from_batches(held).combine_chunks()
+                keys = [t.column(c).to_numpy() for c in names[:3]]
+                last = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0))
+                cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
+                if cut:
+                    yield links(t.slice(0, cut).combine_chunks())
+                held = t.slice(cut).to_batches()
+                rows -= cut
+        if rows:
+            yield links(pa.Table.from_batches(held).combine_chunks())
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (cells.select(*names).repartition(parts, "bucket", "ia", "ib")
+            .sortWithinPartitions("bucket", "ia", "ib", "side").mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
