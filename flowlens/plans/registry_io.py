@@ -206,13 +206,12 @@ def q_tumbling_segments(spark, d):
     return round_doubles(spark.read.parquet(out).select(*FLOW_COLUMNS))
 
 
-@register("retrain_every_n")
+@register("retrain_every_n", sql(O.PACKETS, body="""
+select segment_id, row_number() over (order by segment_id nulls first) % 5 = 0 as retrain
+from (select distinct segment_id from packets)"""))
 def q_retrain_every_n(spark, d):
-    """T5: retrain decision after each batch of new segments (every 5 segments)."""
-    state = scratch(spark, "retrain-state")
-    segs = [r[0] for r in packets_of(spark, d).select("segment_id").distinct().orderBy("segment_id").collect()]
-    rows = [(s, LV.retrain_due(spark, state, 1)) for s in segs[:12]]
-    return spark.createDataFrame(rows, "segment_id long, retrain boolean")
+    """T5: retrain decision after each new segment (every 5 segments), for all segments of the capture."""
+    return LV.retrain_flags(packets_of(spark, d))
 
 
 @register("status_event_stream", sql(*LAB, _CHANGES, body="""

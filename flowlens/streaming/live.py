@@ -10,7 +10,7 @@
                               moments, first/last packet), emitted when the watermark passes
                               the segment end; entropy per finished segment in foreachBatch.
 * T4 ``relabel_on_change``   re-label only segments that overlap intervals of a changed log.
-* T5 ``retrain_every_n``     counter of new segments in a small state table.
+* T5 ``retrain_every_n``     counter of new segments in a small state table; over a whole capture, by number.
 * T7 ``status_event_stream`` label changes per source with a per-key state (last label).
 * T8 ``stream_dedupe``       ``dropDuplicatesWithinWatermark`` on (t, level, msg).
 * T9 ``stream_label``        stream-static labelling in foreachBatch.
@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import flows as FL
 from ..operators import labels as LB
+from ..operators.ordered import chunked_row_number
 from ..schemas import FIVE_TUPLE, SEGMENT_S, US
 from ..sources import pcap as PC
 from ..session import cut_lineage, path_exists
@@ -192,6 +193,17 @@ def retrain_due(spark: SparkSession, state_path: str, new_segments: int, every:
     return due
 
 
+def retrain_flags(packets: DataFrame, every: int = 5, chunk_segments: int = 4096) -> DataFrame:
+    """T5 over a whole capture: what ``retrain_due`` says when its segments come one by one in order, a row for each.
+
+    Segments are numbered in chunks of the segment range; packets without a segment count as one, before the others."""
+    seg = F.col("segment_id")
+    chunk = F.coalesce(F.floor(seg / F.lit(chunk_segments)).cast("long"), F.lit(-(1 << 62)))
+    numbered = chunked_row_number(packets.select("segment_id").distinct().withColumn("_chunk", chunk), [], "_chunk",
+                                  ["segment_id"])
+    return numbered.select("segment_id", (F.pmod("rn", F.lit(every)) == 0).alias("retrain"))
+
+
 # ------------------------------------------------------------------ T7 / T8 / T9
 def _status_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     """Hold a source's flows until the watermark has passed them, then emit the changes in order.

@@ -60,6 +60,18 @@ def test_retrain_counter(spark, tmp):
     assert got == [False, False, True, False, False, True, False]
 
 
+def test_retrain_flags_cover_all_segments_as_the_counter_does(spark, tmp):
+    from flowlens.plans import registry_io as IO
+    segs = [-3, 0, 1, 2, 7, 8, 9, 10, 4095, 4096, 4097, 9000, 9001, 20000, 20001, 20002]
+    df = spark.createDataFrame([(s,) for s in segs * 2], "segment_id long")
+    got = [(r.segment_id, r.retrain) for r in LV.retrain_flags(df, every=3).orderBy("segment_id").collect()]
+    state = os.path.join(tmp, "state")
+    assert got == [(s, LV.retrain_due(spark, state, 1, every=3)) for s in segs]
+    rows = sorted((r.segment_id, r.retrain) for r in IO.q_retrain_every_n(spark, SF).collect())
+    want = sorted(r[0] for r in AD.read_packets(spark, SF).select("segment_id").distinct().collect())
+    assert len(want) > 12 and rows == [(s, i % 5 == 0) for i, s in enumerate(want, 1)]
+
+
 def _labelled(spark):
     from flowlens.operators import labels as LB
     flows = FL.flow_extract(AD.read_packets(spark, SF))
