@@ -6,8 +6,8 @@
                               replayed batch does not duplicate rows and a segment that
                               comes in several batches keeps them all.
 * T3 ``tumbling_flows``      a packet stream (no segment files) cut into 30 s event-time
-                              segments by a stateful operator: O(1) state per flow (counts,
-                              moments, first/last packet), emitted when the watermark passes
+                              segments by a stateful operator: the packets (index, time, length)
+                              of each open flow, emitted as a flow when the watermark passes
                               the segment end; entropy per finished segment in foreachBatch.
 * T4 ``relabel_on_change``   re-label only segments that overlap intervals of a changed log.
 * T5 ``retrain_every_n``     counter of new segments in a small state table; over a whole capture, by number.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,68 +62,41 @@ def live_flows(spark: SparkSession, segments_path: str, out_path: str, checkpoin
 
 
 # ------------------------------------------------------------------ T3: stateful flows
-_STATE = ("n long, s_len long, mu_len double, m2_len double, first_idx long, first_t long, last_idx long, "
-          "last_t long, m_iat long, mu_iat double, m2_iat double")
+CLOSING_SRC = "-"   # source of the rows that close an input
+_STATE = "idx array<long>, t array<long>, len array<long>"
 _OUT = ("segment_id long, src_ip string, src_port int, dst_ip string, dst_port int, proto int, seq long, t0 long, "
         "t1 long, total_packets long, total_bytes long, mean_len double, m2_len double, m_iat long, mu_iat_us double, "
         "m2_iat double")
 
 
-def _merge(n_a, mu_a, m2_a, n_b, mu_b, m2_b):
-    n = n_a + n_b
-    if n == 0:
-        return 0, 0.0, 0.0
-    d = mu_b - mu_a
-    return n, mu_a + d * n_b / n, m2_a + m2_b + d * d * n_a * n_b / n
-
-
 def _flow_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    """Fold this batch's packets of one (segment, 5-tuple) into the flow state; emit the
-    flow when the event-time timeout (segment end + lateness) fires."""
+    """Keep the packets of one (segment, 5-tuple) until the event-time timeout (segment end + lateness) fires, then emit
+    the flow: a late packet changes the gaps of its neighbours, so they are taken when all are there."""
+    idx, t, size = state.get if state.exists else ([], [], [])
     if state.hasTimedOut:
-        (n, s_len, mu_len, m2_len, first_idx, first_t, last_idx, last_t, m_iat, mu_iat, m2_iat) = state.get
         state.remove()
+        order = np.argsort(np.asarray(idx, dtype="int64"), kind="stable")
+        idx, t, size = (np.asarray(x, dtype="int64")[order] for x in (idx, t, size))
+        gaps = np.diff(t)
+        mean_len, mean_gap = float(size.mean()), float(gaps.mean()) if len(gaps) else 0.0
         seg, src, sp, dst, dp, pr = key
         yield pd.DataFrame([dict(segment_id=seg, src_ip=src, src_port=sp, dst_ip=dst, dst_port=dp, proto=pr,
-                                 seq=first_idx, t0=first_t, t1=last_t, total_packets=n, total_bytes=s_len,
-                                 mean_len=mu_len, m2_len=m2_len, m_iat=m_iat, mu_iat_us=mu_iat, m2_iat=m2_iat)])
+                                 seq=int(idx[0]), t0=int(t[0]), t1=int(t[-1]), total_packets=len(t),
+                                 total_bytes=int(size.sum()), mean_len=mean_len,
+                                 m2_len=float(((size - mean_len) ** 2).sum()), m_iat=len(gaps), mu_iat_us=mean_gap,
+                                 m2_iat=float(((gaps - mean_gap) ** 2).sum()))])
         return
-    parts = [p[["pkt_idx", "t_us", "len"]] for p in pdfs]
-    b = pd.concat(parts).sort_values("pkt_idx")
-    if state.exists:
-        (n, s_len, mu_len, m2_len, first_idx, first_t, last_idx, last_t, m_iat, mu_iat, m2_iat) = state.get
-    else:
-        n = s_len = m_iat = 0
-        mu_len = m2_len = mu_iat = m2_iat = 0.0
-        first_idx = first_t = last_idx = last_t = None
-    lens = b["len"].to_numpy(dtype="float64")
-    bn, bmu = len(lens), float(lens.mean())
-    n2, mu_len, m2_len = _merge(n, mu_len, m2_len, bn, bmu, float(((lens - bmu) ** 2).sum()))
-    ts = b["t_us"].to_numpy(dtype="int64")
-    diffs = list(ts[1:] - ts[:-1])
-    if last_t is not None and int(b["pkt_idx"].iloc[0]) > last_idx:
-        diffs.insert(0, int(ts[0]) - last_t)
-    if diffs:
-        import numpy as np
-        d = np.asarray(diffs, dtype="float64")
-        m_iat, mu_iat, m2_iat = _merge(m_iat, mu_iat, m2_iat, len(d), float(d.mean()), float(((d - d.mean()) ** 2).sum()))
-    if first_idx is None or int(b["pkt_idx"].iloc[0]) < first_idx:
-        first_idx, first_t = int(b["pkt_idx"].iloc[0]), int(ts[0])
-    if last_idx is None or int(b["pkt_idx"].iloc[-1]) > last_idx:
-        last_idx, last_t = int(b["pkt_idx"].iloc[-1]), int(ts[-1])
-    s_len += int(b["len"].sum())
-    state.update((n2, s_len, mu_len, m2_len, first_idx, first_t, last_idx, last_t, m_iat, mu_iat, m2_iat))
-    seg = key[0]
-    state.setTimeoutTimestamp(int((seg + 1) * SEGMENT_S * 1000))
-    if False:  # pragma: no cover - generator with no output for updates
-        yield pd.DataFrame()
+    new = pd.concat([p[["pkt_idx", "t_us", "len"]] for p in pdfs]).astype("int64")
+    state.update((list(idx) + new["pkt_idx"].tolist(), list(t) + new["t_us"].tolist(), list(size) + new["len"].tolist()))
+    state.setTimeoutTimestamp(int((key[0] + 1) * SEGMENT_S * 1000))
 
 
 def tumbling_flows(packets: DataFrame, lateness: str = "60 seconds") -> DataFrame:
     """Per-flow stream aggregation over 30 s event-time segments (append output).
 
     ``packets`` needs ``pkt_idx, t_us, is_ip, 5-tuple, len``; ``segment_id`` is recomputed
-    from event time.  Packets later than the watermark are dropped by Spark.
+    from event time.  Packets later than the watermark are dropped by Spark.  Segments at the end of the input wait
+    for later packets; ``closing_packet`` makes one that closes the input.
     """
     p = (packets.where(F.col("is_ip"))
          .withColumn("ts", F.timestamp_micros("t_us"))
@@ -132,6 +106,18 @@ def tumbling_flows(packets: DataFrame, lateness: str = "60 seconds") -> DataFram
             .applyInPandasWithState(_flow_state_fn, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def closing_packet(packets: DataFrame, after_s: float = 86400.0) -> DataFrame:
+    """One row like ``packets`` of a source of its own (``CLOSING_SRC``), later than all: it moves the watermark past
+    the input."""
+    cols = [F.lit(None).cast(t).alias(c) for c, t in packets.dtypes]
+    end = packets.agg((F.max("t_us") + F.lit(int(after_s * US))).alias("_t"), (F.max("pkt_idx") + 1).alias("_i"))
+    values = {"t_us": F.col("_t"), "pkt_idx": F.col("_i"), "segment_id": F.floor(F.col("_t") / F.lit(SEGMENT_S * US)),
+              "is_ip": F.lit(True), "src_ip": F.lit(CLOSING_SRC), "len": F.lit(0)}
+    return (end.where("_t is not null").select("_t", "_i", *cols)
+            .withColumns({c: v.cast(packets.schema[c].dataType) for c, v in values.items() if c in packets.columns})
+            .select(*packets.columns))
+
+
 def finish_flows(stats: DataFrame) -> DataFrame:
     """Entropy + final columns for a batch of finished flows (all flows of a segment
     finish in the same batch, because they time out at the same watermark)."""

@@ -8,7 +8,7 @@ from flowlens.sources.tables import TABLES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["retrain_every_n"])
+@pytest.mark.parametrize("name", ["retrain_every_n", "tumbling_segments"])
 def test_stream_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -43,6 +43,25 @@ def test_tumbling_stream_matches_batch_for_closed_segments(spark, tmp):
     assert r(ref.select(cols)).exceptAll(r(got.select(cols))).count() == 0
 
 
+def test_tumbling_stream_takes_gaps_of_late_packets_and_closes_the_input(spark, tmp):
+    from helpers import packets_df
+    a, b = ("10.0.0.1", 1, "10.0.1.1", 80, 6), ("10.0.0.1", 2, "10.0.1.2", 80, 6)
+    pk = packets_df(spark, [(1, *a, 60), (2, *b, 70), (4, *a, 61), (9, *a, 65), (16, *a, 90), (17, *b, 50), (33, *a, 40)])
+    pk = pk.withColumn("segment_id", F.floor(F.col("t_us") / 30_000_000).cast("long"))
+    src, out = os.path.join(tmp, "pk"), os.path.join(tmp, "out")
+    for some in ((0, 4), (5, 6), (2,), (1, 3)):  # one micro-batch each, times out of order inside the watermark
+        pk.where(F.col("pkt_idx").isin(*some)).coalesce(1).write.mode("append").parquet(src)
+    for after in (1e5, 2e5):
+        LV.closing_packet(pk, after).write.mode("append").parquet(src)
+    s = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(src)
+    LV.tumbling_to_table(s, out, os.path.join(tmp, "ck"), trigger={"availableNow": True}).awaitTermination()
+    ref = FL.flow_extract(pk)
+    got = spark.read.parquet(out).where(F.col("src_ip") != LV.CLOSING_SRC)
+    r = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+                          for row in df.select(*ref.columns).collect())
+    assert len(r(ref)) == 3 and r(got) == r(ref)
+
+
 def test_stream_dedupe(spark, tmp):
     rows = [("2024-01-01 00:00:01", "ok", "a"), ("2024-01-01 00:00:01", "ok", "a"), ("2024-01-01 00:00:02", "ok", "b")]
     src = os.path.join(tmp, "ev")
