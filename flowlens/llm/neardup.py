@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification, exact confirmation and connected components.
 
-1. Each document's set of word shingles becomes a MinHash signature; documents with equal sets are one class (their
-   smallest id stands for them), so groups of copies enter the search once.
+1. Each document's set of word shingles becomes a MinHash signature; documents with equal sets are one class with a
+   number of its own, whatever ids they bear, so groups of copies enter the search once.
 2. Signatures are cut into bands; the number of bands follows from the threshold and ``MISS``, the chance that a pair
    right at the threshold shares no band.
 3. Candidates are verified batch by batch: after each batch of signature positions the posterior probability that the
@@ -16,17 +16,20 @@
 Defined cases: null or empty text, or text without words, has an empty set, links with nothing and is kept; with fewer
 words than a shingle the whole sequence is one shingle; A-Z are lower-cased, nothing else; words are runs of anything
 but space and \\t-\\r; documents that repeat a doc_id are one document each but share that id's component; an empty
-table gives an empty result; only the id and text columns are read; rows with a null id are returned unlinked.
+table gives an empty result; only the id and text columns are read; rows with a null id are returned unlinked
+(``one_of_each``, which goes by rows, compares them too).
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import Numbered, batch, components, map_text, stored, text_slices
@@ -104,12 +107,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set), sig, bands, z (the text, compressed); empty sets have
-    null from set_id on."""
+def sketch(docs: DataFrame, words: int, threshold: float, id_col: str, text_col: str,
+           digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set_id (128-bit hash of the set), sig, bands, z (the text, compressed) and, if asked for,
+    the text's MD5 as digest; empty sets have null from set_id on."""
     bands = n_bands(threshold)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()),
-                        ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("z", pa.binary())])
+                        ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("z", pa.binary())]
+                       + [("digest", pa.binary())] * digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -121,19 +126,20 @@ def sketch(docs: DataFrame, words: int, threshold: float, id_col: str, text_col:
             for t in texts:
                 s = sets(t)
                 if not len(s):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, *[None] * digest))
                     continue
                 g = signature(s, a, b)
                 key = np.arange(bands, dtype=np.uint64)
                 for col in g.reshape(bands, ROWS).T:
                     key = (key ^ col) * np.uint64(0xBF58476D1CE4E5B9)
                     key ^= key >> np.uint64(29)
+                raw = t.encode("utf-8", "surrogatepass")
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), g.tobytes(), key.view(np.int64).tolist(),
-                             press.compress(t.encode("utf-8", "surrogatepass"))))
+                             press.compress(raw), *[hashlib.md5(raw).digest()] * digest))
             yield batch(schema, ids, *map(list, zip(*rows, strict=True)))
 
-    return map_text(docs, run, "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>, z binary",
-                    id_col, text_col)
+    return map_text(docs, run, "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>, z binary"
+                    + ", digest binary" * digest, id_col, text_col)
 
 
 def matrix(sigs: list[bytes]) -> np.ndarray:
@@ -339,16 +345,26 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
             .sortWithinPartitions("bucket", "ia", "ib", "side").mapInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id): links join
-    documents whose shingle sets have 100 * intersection >= percent * union."""
-    sketched = stored(sketch(docs, words, percent / 100, id_col, text_col), "sketch")
-    some = sketched.where("set_id is not null and doc_id is not null")
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = some.select("doc_id", "set_id").join(reps, "set_id").select("doc_id", "rep")
-    own = some.join(reps.select("rep", F.col("set_id").alias("rep_set")),
-                    (F.col("doc_id") == F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
+def _seed(some: DataFrame) -> int:
+    """The first seed under which no two sets share a number."""
+    sets = some.select("set_id").distinct()
+    for seed in itertools.count():
+        n = sets.agg(F.count("*").alias("sets"), F.count_distinct(_number(seed)).alias("numbers")).first()
+        if n["sets"] == n["numbers"]:
+            return seed
+
+
+def _number(seed: int) -> Column:
+    return F.xxhash64("set_id", F.lit(seed))
+
+
+def _class_links(some: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes, by their numbers; ``some`` are the sketched rows with a set, ``reps``
+    has set_id, number and rep (smallest id, or null) of each class."""
+    one = reps.select("number", "rep", F.col("set_id").alias("rep_set"))
+    # rows of one id and set may be several; they have the same signature and set
+    own = (some.join(one, some.doc_id.eqNullSafe(F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
+           .select(F.col("number").alias("doc_id"), "bands", "sig", "z"))
     buckets = own.select("doc_id", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["doc_id", "bucket"])
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(buckets.join(shared, "bucket").select("bucket", "band", "doc_id"), "buckets")
@@ -361,13 +377,54 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labelled = stored(_labelled(members, links), "labelled")
-    links = links.unionByName(_rest_links(labelled, involved, words, percent))
+    return links.unionByName(_rest_links(labelled, involved, words, percent)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id): links join
+    documents whose shingle sets have 100 * intersection >= percent * union."""
+    sketched = stored(sketch(docs, words, percent / 100, id_col, text_col), "sketch")
+    some = sketched.where("set_id is not null and doc_id is not null")
+    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("rep")).withColumn("number", _number(_seed(some)))
+    links = _class_links(some, reps, words, percent)
+    a, b = (reps.select(F.col("number").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    links = links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # a doc_id that several documents bear joins their classes
-    same = classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    comp = components(links.select("a", "b").unionByName(same))
+    same = (some.select("doc_id", "set_id").join(reps, "set_id")
+            .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+    comp = components(links.unionByName(same))
     return (sketched.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-__all__ = ["near_duplicates", "least_matches", "n_bands", "signature", "Shingler"]
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id (null ids last), then of the smallest
+    text digest; of rows that repeat id and text any one.  Groups follow from the texts alone, so rows of one id with
+    texts that are no near copies all stay.  Rows without a word stay."""
+    sketched = stored(sketch(docs, words, percent / 100, id_col, text_col, digest=True), "sketch")
+    some = sketched.where("set_id is not null")
+    seed = _seed(some)
+    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("rep")).withColumn("number", _number(seed))
+    comp = components(_class_links(some, reps, words, percent))
+    texts = some.groupBy(_number(seed).alias("number"), "doc_id", "digest").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    texts = stored(texts.join(comp, F.col("number") == F.col("node"), "left").select(
+        F.coalesce("component", "number").alias("comp"), order.alias("at"), "n"), "texts")
+    first = texts.groupBy("comp").agg(F.min("at").alias("first"))
+    marked = texts.join(first, "comp").select(F.col("at.doc_id").alias("_nd_id"), F.col("at.digest").alias("_nd_digest"),
+                                              (F.col("at") == F.col("first")).alias("stays"), "n")
+    not_plain = stored(marked.where("not stays or n > 1"), "copies")
+    digest = F.unhex(F.md5(F.col(text_col).cast("string")))
+
+    def match(other: DataFrame, how: str) -> DataFrame:
+        return docs.join(other.select("_nd_id", "_nd_digest"), F.col(id_col).cast("long").eqNullSafe(F.col("_nd_id"))
+                         & (digest == F.col("_nd_digest")), how)
+
+    again = match(not_plain.where("stays"), "left_semi").withColumn("_nd_text", digest)
+    return match(not_plain, "left_anti").unionByName(again.dropDuplicates([id_col, "_nd_text"]).drop("_nd_text"))
+
+
+__all__ = ["near_duplicates", "one_of_each", "least_matches", "n_bands", "signature", "Shingler"]
