@@ -69,14 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list -> (node, component = smallest reachable node).
+def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
+    """Connected components of an undirected edge list -> (node, component = smallest reachable node); nodes are of the
+    ordered type ``kind``.
 
     Alternating large-star / small-star rounds: each is one grouped minimum plus one join on the node, so no
     node's neighbours are gathered in one row and a hub is split by AQE.  Ends when all components are stars; the
     rounds grow with the logarithm of the graph's diameter.
     """
-    e = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    e = stored(edges.select(F.col(a).cast(kind).alias("u"), F.col(b).cast(kind).alias("v"))
                .where("u is not null and v is not null and u <> v")
                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     while True:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import embedup, fstcount, langid, neardup, packing, quality, secrets, suffixdedup, tokenfiles, wordbpe
+from flowlens.llm import (align, embedup, fim, fstcount, langid, neardup, packing, quality, secrets, suffixdedup, tokenfiles,
+                          urlfilter, wordbpe)
 
 try:
     import public_tokenizers
@@ -92,3 +93,25 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                       vocabulary("piece_bpe_32k.model"), digests=True)
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_table(spark, sf_dir, "documents")))
+
+
+ORACLE["op12_fill_in_middle"] = fim.oracle_sql()
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(_table(spark, sf_dir, "pages"))
+
+
+ORACLE["op13_url_filter"] = urlfilter.oracle_sql()
