@@ -103,7 +103,7 @@ def id_lists(side: ByteLevelSide | PieceSide, texts: list[str]) -> pa.ListArray:
     """Ids of space + text for each text; units met before are looked up, odd texts go to the library whole."""
     parts, whole = [], []
     for i, t in enumerate(texts):
-        plain = side.by_unit and not _direct(t)
+        plain = side.by_unit and not _direct(t) and t[-1] != " "
         parts.append(side.units(t) if plain else [])
         if not plain and t:
             whole.append(i)
