@@ -10,7 +10,8 @@ Plan shape (see README "Scale"):
 3. Per flow: chunk boundary gaps by ``lag`` over the (small) chunk table, then the chunk
    moments are merged with the parallel variance formula.  One shuffle of chunk rows.
 4. Destination entropy over the last 10 s per (segment, source) with enter/exit events and
-   running sums (no arrays, no pair joins); a hot source is split into 10 s slices.
+   running sums (no arrays, no pair joins); a hot source is split into slices of time, whose
+   state is carried from slice to slice where they are shorter than the window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import in_subnet, safe_rate, uncommon_port
 from .ordered import chunked_lag
 from ..schemas import ENTROPY_WINDOW_S, FIVE_TUPLE, FLOW_COLUMNS, FLOW_KEY, US
+from ..session import cut_lineage
 
 # Packets per chunk of the capture index; bounds the rows one task sorts for one flow.
 DEFAULT_CHUNK_PACKETS = 1 << 20
@@ -112,59 +114,151 @@ def _g(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
+def _events(flows: DataFrame, t_col: str, seq_col: str, wlen: int, slen: int, context: int) -> DataFrame:
+    """Enter (``_ph`` 0) and exit (1) events of the flows, cut into slices ``_sl`` of ``slen`` µs; other columns only on
+    the flow's own enter event.  With ``context`` every slice gets a copy of the events that lead up to it."""
+    t, cols = F.col(t_col), flows.columns
+    sl = F.floor(t / F.lit(slen)).cast("long")
+
+    def event(at: Column, time: Column, phase: int, own: bool) -> Column:
+        return F.struct(at.alias("_sl"), time.alias("_et"), F.lit(phase).alias("_ph"), F.lit(1 - 2 * phase).alias("_d"),
+                        F.lit(own).alias("_own"))
+
+    events = [event(sl, t, 0, True)]
+    if not context:
+        events.append(event(F.floor((t + F.lit(wlen)) / F.lit(slen)).cast("long"), t + F.lit(wlen), 1, False))
+    for j in range(1, context + 1):
+        events += [event(sl + j, t, 0, False), event(sl + j, t + F.lit(wlen), 1, False)]
+    shared = ("segment_id", "src_ip", "dst_ip", t_col, seq_col)
+    ex = flows.select(*cols, F.explode(F.array(*events)).alias("_e"))
+    return (ex.select(*[F.col(c) if c in shared else F.when(F.col("_e._own"), F.col(c)).alias(c) for c in cols],
+                      "_e._sl", "_e._et", "_e._ph", "_e._d", "_e._own").repartition("segment_id", "src_ip", "_sl"))
+
+
+_SOURCE = ("segment_id", "src_ip")
+
+
+def _entropy(n: Column, s: Column, k: Column) -> Column:
+    """log2 n - S / n from the number of flows, the sum of c log2 c and the number of destinations."""
+    return (F.when(k <= 1, F.lit(0.0)).when(k == n, F.log2(n))
+            .otherwise(F.greatest(F.log2(n) - s / n, F.lit(0.0))))
+
+
 def dst_ip_entropy(flows: DataFrame, window_s: int = ENTROPY_WINDOW_S, t_col: str = "t0",
-                   seq_col: str = "seq", keep_slice: bool = False, slices_per_window: int = 1) -> DataFrame:
+                   seq_col: str = "seq", slices_per_window: int = 1, capture_order: bool = False) -> DataFrame:
     """W1 + A6: Shannon entropy (base 2) of the destinations a source contacted over the
     last ``window_s`` seconds, per capture segment, including the current flow.
 
     Window of flow *a*: flows *b* of the same (segment, src_ip) with
     ``(t_b, seq_b) <= (t_a, seq_a)`` and ``t_b >= t_a - window``.  For captures in time order
-    this equals the reference's first-packet order.
+    this equals the reference's first-packet order; with ``capture_order`` flows whose window
+    holds a time inversion are judged by first-packet order (``seq_b <= seq_a``) through a join.
 
     Each flow is an *enter* event at ``t`` and an *exit* event at ``t + window``.  Running
     counts per destination give ``g(c) = c log2 c`` increments; their running sum ``S`` and
-    the running flow count ``n`` give ``H = log2 n - S / n``.  Flows are cut into slices of
-    ``window_s / slices_per_window``; a slice also receives the flows of the preceding
-    ``slices_per_window`` slices as context (enter and exit events), so a slice is
-    self-contained and a hot source is spread over many tasks (more slices = smaller tasks,
-    more context rows).  No collect_list, no self-join.
+    the running flow count ``n`` give ``H = log2 n - S / n``.  No collect_list, no self-join.
+
+    A source is spread over slices of time.  With one slice per window, a slice receives the
+    events of the window before it as context and is self-contained (one shuffle).  With more,
+    every event lies in one slice only and state is carried: the counts of the destinations
+    that a slice touches, and n, S and the number of destinations, come from tables with a row
+    per (slice, destination) and per slice, so the task of a hot source shrinks with its slices.
     """
-    wlen = window_s * US
-    m = max(1, int(slices_per_window))
-    slen = -(-wlen // m)
-    t = F.col(t_col)
-    sl = F.floor(t / F.lit(slen)).cast("long")
+    wlen, m = window_s * US, max(1, int(slices_per_window))
     cols = flows.columns
-    ctx_keep = ("segment_id", "src_ip", "dst_ip", t_col, seq_col)
-    ev_struct = lambda s_, e_, ph, d, own: F.struct(s_.alias("_sl"), e_.alias("_et"), F.lit(ph).alias("_ph"),
-                                                     F.lit(d).alias("_d"), F.lit(own).alias("_own"))
-    # one pass over the flows: own enter event, and enter/exit events as context of the next slice
-    events = [ev_struct(sl, t, 0, 1, True)]
-    for j in range(1, m + 1):
-        events += [ev_struct(sl + j, t, 0, 1, False), ev_struct(sl + j, t + F.lit(wlen), 1, -1, False)]
-    ex = flows.select(*cols, F.explode(F.array(*events)).alias("_e"))
-    ev = ex.select(*[F.col(c) if c in ctx_keep else F.when(F.col("_e._own"), F.col(c)).alias(c) for c in cols],
-                   "_e._sl", "_e._et", "_e._ph", "_e._d", "_e._own").repartition("segment_id", "src_ip", "_sl")
+    if m == 1:
+        out = _by_context(flows, cols, wlen, t_col, seq_col)
+    else:
+        out = _by_carried_state(flows, cols, wlen, -(-wlen // m), t_col, seq_col)
+    return _in_capture_order(out, flows, wlen, t_col, seq_col) if capture_order else out
+
+
+def _by_context(flows: DataFrame, cols: list[str], wlen: int, t_col: str, seq_col: str) -> DataFrame:
+    ev = _events(flows, t_col, seq_col, wlen, wlen, 1)
+    order = ("_et", "_ph", seq_col)
+    per_src = _until_now(Window.partitionBy(*_SOURCE, "_sl").orderBy(*order))
+    ev = ev.select("*", F.sum("_d").over(_until_now(Window.partitionBy(*_SOURCE, "_sl", "dst_ip").orderBy(*order))).alias("_c"))
+    ev = ev.select("*", *_increments(F.col("_c")))
+    ev = ev.select("*", *[F.sum(c).over(per_src).alias(o) for c, o in (("_d", "_n"), ("_dS", "_S"), ("_dk", "_k"))])
+    return ev.where("_own").select(*cols, _entropy(F.col("_n"), F.col("_S"), F.col("_k")).alias("dst_ip_entropy"))
+
+
+def _until_now(w):
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _increments(c: Column) -> list[Column]:
+    """What an event changes: sum of c log2 c, and number of destinations; ``c`` is its destination's count after it."""
+    d = F.col("_d")
+    return [(_g(c) - _g(c - d)).alias("_dS"),
+            F.when((d == 1) & (c == 1), 1).when((d == -1) & (c == 0), -1).otherwise(0).alias("_dk")]
+
+
+def _by_carried_state(flows: DataFrame, cols: list[str], wlen: int, slen: int, t_col: str, seq_col: str) -> DataFrame:
     order = ("_et", "_ph", seq_col)
-    per_dst = (Window.partitionBy("segment_id", "src_ip", "_sl", "dst_ip").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    per_src = (Window.partitionBy("segment_id", "src_ip", "_sl").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = F.sum("_d").over(per_dst)
-    ev = ev.select("*", c.alias("_c"))
-    ev = ev.select("*", (_g(F.col("_c")) - _g(F.col("_c") - F.col("_d"))).alias("_dS"),
-                   F.when((F.col("_d") == 1) & (F.col("_c") == 1), 1)
-                   .when((F.col("_d") == -1) & (F.col("_c") == 0), -1).otherwise(0).alias("_dk"))
-    ev = ev.select("*", F.sum("_d").over(per_src).alias("_n"), F.sum("_dS").over(per_src).alias("_S"),
-                   F.sum("_dk").over(per_src).alias("_k"))
-    h = (F.when(F.col("_k") <= 1, F.lit(0.0))
-         .when(F.col("_k") == F.col("_n"), F.log2(F.col("_n")))
-         .otherwise(F.greatest(F.log2(F.col("_n")) - F.col("_S") / F.col("_n"), F.lit(0.0))))
-    keep = [F.col(c) for c in cols] + [h.alias("dst_ip_entropy")] + ([F.col("_sl")] if keep_slice else [])
-    return ev.where(F.col("_own")).select(*keep)
-
-
-def assemble_flows(stats: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    slice_ = [*_SOURCE, "_sl"]
+    ev = cut_lineage(_events(flows, t_col, seq_col, wlen, slen, 0))
+
+    def handed_on(totals: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+        """Sums over the slices before, a row for each (key, slice) that has events."""
+        before = Window.partitionBy(*key).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*key, "_sl", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_in{v}") for v in values])
+
+    touched = ev.groupBy(*slice_, "dst_ip").agg(F.sum("_d").alias("_d"))
+    counts = handed_on(touched, [*_SOURCE, "dst_ip"], ["_d"])
+    here = F.sum("_d").over(_until_now(Window.partitionBy(*slice_, "dst_ip").orderBy(*order)))
+    joined = _null_safe_join(ev.select("*", here.alias("_c")), counts, [*slice_, "dst_ip"])
+    ev = cut_lineage(joined.select(*ev.columns, *_increments(F.col("_c") + F.col("_in_d"))))
+    sums = ("_d", "_dS", "_dk")
+    totals = handed_on(ev.groupBy(*slice_).agg(*[F.sum(c).alias(c) for c in sums]), list(_SOURCE), list(sums))
+    per_src = _until_now(Window.partitionBy(*slice_).orderBy(*order))
+    ev = ev.select(*cols, "_sl", "_own", *[F.sum(c).over(per_src).alias(f"_s{c}") for c in sums]).where("_own")
+    n, s, k = (F.col(f"_in{c}") + F.col(f"_s{c}") for c in sums)
+    return _null_safe_join(ev, totals, slice_).select(*cols, _entropy(n, s, k).alias("dst_ip_entropy"))
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are left out."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _in_capture_order(judged: DataFrame, flows: DataFrame, wlen: int, t_col: str, seq_col: str,
+                      chunk_flows: int = 1 << 20) -> DataFrame:
+    """Replace the entropy of flows around a time inversion by the one over ``seq_b <= seq_a, t_b >= t_a - window``.
+
+    A flow is concerned if an earlier one (by ``seq``) has a later time or a later one an earlier time: running maximum
+    and minimum of the time along ``seq``, local to chunks of the capture with one row a chunk to carry.  The concerned
+    flows meet the flows of the windows they reach into, and destinations are counted for each."""
+    f = flows.select(*_SOURCE, "dst_ip", F.col(t_col).alias("t"), F.col(seq_col).alias("q"),
+                     F.floor(F.col(seq_col) / F.lit(chunk_flows)).cast("long").alias("_sl"))
+    by = Window.partitionBy(*_SOURCE, "_sl").orderBy("q")
+    up = Window.partitionBy(*_SOURCE).orderBy("_sl")
+    chunks = f.groupBy(*_SOURCE, "_sl").agg(F.max("t").alias("hi"), F.min("t").alias("lo"))
+    chunks = chunks.select(*_SOURCE, "_sl", F.max("hi").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("hi_in"),
+                           F.min("lo").over(up.rowsBetween(1, Window.unboundedFollowing)).alias("lo_in"))
+    f = f.select("*", F.max("t").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("hi_here"),
+                 F.min("t").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("lo_here"))
+    f = _null_safe_join(f, chunks, [*_SOURCE, "_sl"]).select(
+        *_SOURCE, "dst_ip", "t", "q", F.greatest("hi_in", "hi_here").alias("hi"), F.least("lo_in", "lo_here").alias("lo"))
+    f = cut_lineage(f)
+    slot = F.floor(F.col("t") / F.lit(wlen)).cast("long")
+    reach = F.sequence(F.floor((F.col("t") - F.lit(wlen)) / F.lit(wlen)).cast("long"),
+                       F.floor(F.greatest("t", F.coalesce("hi", "t")) / F.lit(wlen)).cast("long"))
+    odd = f.where("hi > t or lo < t").select(*_SOURCE, F.col("t").alias("t_a"), F.col("q").alias("q_a"),
+                                             F.explode(reach).alias("_slot"))
+    peers = f.select(*_SOURCE, slot.alias("_slot"), F.col("dst_ip").alias("d"), "t", "q")
+    met = _null_safe_join(odd, peers, [*_SOURCE, "_slot"]).where((F.col("q") <= F.col("q_a"))
+                                                                 & (F.col("t") >= F.col("t_a") - F.lit(wlen)))
+    c = met.groupBy(*_SOURCE, "q_a", "d").agg(F.count(F.lit(1)).alias("c"))
+    right = c.groupBy(*_SOURCE, F.col("q_a").alias(seq_col)).agg(
+        _entropy(F.sum("c"), F.sum(_g(F.col("c"))), F.count(F.lit(1))).alias("_h"))
+    return _null_safe_join(judged, right, [*_SOURCE, seq_col], "left").withColumn(
+        "dst_ip_entropy", F.coalesce("_h", "dst_ip_entropy")).drop("_h")
+
+
+def assemble_flows(stats: DataFrame) -> DataFrame:
     """Stats (+ entropy) -> the flow table in reference column order (+ segment_id, seq)."""
     dur_us = F.col("t1") - F.col("t0")
     dur = dur_us.cast("double") / F.lit(float(US))
@@ -191,20 +285,18 @@ def assemble_flows(stats: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     duration = F.when(F.col("total_packets") > 1, dur).otherwise(F.lit(0.0))
     cols["pkts_per_sec"] = safe_rate("total_packets", duration)
     cols["bytes_per_sec"] = safe_rate("total_bytes", duration)
-    return stats.select(*[cols[c].alias(c) for c in FLOW_COLUMNS], *extra)
+    return stats.select(*[cols[c].alias(c) for c in FLOW_COLUMNS])
 
 
 def flow_extract(packets: DataFrame, chunk_packets: int = DEFAULT_CHUNK_PACKETS,
-                 window_s: int = ENTROPY_WINDOW_S, keep_slice: bool = False, slices_per_window: int = 1) -> DataFrame:
+                 window_s: int = ENTROPY_WINDOW_S, slices_per_window: int = 1, capture_order: bool = False) -> DataFrame:
     """A1 (flagship): IP packets -> one row per (segment, directed 5-tuple).
 
     ``fwd_* = total`` and ``bwd_* = 0``: the key is the directed 5-tuple, so a reply is its
-    own flow.  ``keep_slice`` keeps the internal ``_sl`` entropy slice column so a following
-    labelling step can reuse the existing partitioning.
+    own flow.  ``capture_order`` is for captures whose time may go back (see ``dst_ip_entropy``).
     """
     stats = flow_stats(filter_ip(packets), chunk_packets)
-    ent = dst_ip_entropy(stats, window_s, keep_slice=keep_slice, slices_per_window=slices_per_window)
-    return assemble_flows(ent, extra=("_sl",) if keep_slice else ())
+    return assemble_flows(dst_ip_entropy(stats, window_s, slices_per_window=slices_per_window, capture_order=capture_order))
 
 
 def capture_summary(packets: DataFrame) -> DataFrame:

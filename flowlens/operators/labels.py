@@ -9,16 +9,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import event_base, event_is_end, parse_log_ts
 from ..schemas import NORMAL, SEGMENT_S, US
 from ..session import cut_lineage
-from .ordered import chunked_lag, chunked_lead
+from . import cover
+from .ordered import chunked_lead
 
 # Largest bucketed interval list (one row per interval and bucket it covers) and bucket
-# range that are broadcast as one dense array; above them the bucketed equi-join is used.
+# range that are broadcast as one dense array; above them the step function of cover.py is used.
 # Bucket width: the mean interval length, at least one capture segment (a flow then covers
 # at most two buckets) and at most one hour.
 BROADCAST_INTERVAL_ROWS = 10_000
@@ -49,25 +50,46 @@ def parse_attack_log(log: DataFrame) -> DataFrame:
 PAIR_CHUNK_LINES = 1 << 20
 
 
-def _running_depth(ev: DataFrame, chunk_lines: int) -> DataFrame:
-    """Stack depth after each event per attack name: ``s`` = running sum of +1 / -1 and
-    ``d = s - min(0, running min of s)``.  Computed per (name, line chunk): local running
-    sum and minimum inside the chunk, plus the chunk's offset (sum of earlier chunks) and
-    the minimum carried in from earlier chunks, from a small per-chunk table."""
-    step = F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
-    ev = ev.select("*", step.alias("_step"), F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long").alias("_ch"))
-    local = Window.partitionBy("base", "_ch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.select("*", F.sum("_step").over(local).alias("_sl"))
-    ev = ev.select("*", F.min("_sl").over(local).alias("_ml"))
-    chunks = ev.groupBy("base", "_ch").agg(F.sum("_step").alias("_t"), F.min("_sl").alias("_mc"))
-    before = Window.partitionBy("base").orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+def _step() -> Column:
+    return F.when(F.col("is_end"), F.lit(-1)).otherwise(F.lit(1))
+
+
+def _levels(ev: DataFrame, chunk_lines: int) -> DataFrame:
+    """Events of several chunks with ``level`` (0 = stray END) and ``base_line``.
+
+    Stack depth per attack name: ``s`` = running sum of +1 / -1 and ``d = s - min(0, running
+    min of s)``.  Running sum and minimum are local to a (name, chunk); one row per chunk
+    carries in the sum and minimum of earlier chunks and the depth that they end at.
+    """
+    chunk = F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")
+    part = Window.partitionBy("base", "_ch").orderBy("line_no")
+    local = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.select("*", chunk.alias("_ch")).select("*", F.sum(_step()).over(local).alias("_sl"))
+    # read twice from here on (chunk rows, then the events)
+    ev = cut_lineage(ev.select("*", F.min("_sl").over(local).alias("_ml")))
+    chunks = ev.groupBy("base", "_ch").agg(F.sum(_step()).alias("_t"), F.min("_sl").alias("_mc"),
+                                           F.min("line_no").alias("_first"))
+    order = Window.partitionBy("base").orderBy("_ch")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("*", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_soff"))
-    chunks = chunks.select("base", "_ch", "_soff", F.min(F.col("_soff") + F.col("_mc")).over(before).alias("_moff"))
-    j = ev.join(chunks, ["base", "_ch"], "inner")
-    s = F.col("_soff") + F.col("_sl")
-    run_min = F.least(F.coalesce(F.col("_moff"), F.lit(0)), F.col("_soff") + F.col("_ml"))
-    return j.select(*ev.columns, (s - F.least(run_min, F.lit(0))).alias("_d")) \
-        .drop("_step", "_sl", "_ml")
+    chunks = chunks.select("*", F.least(F.lit(0), F.min(F.col("_soff") + F.col("_mc")).over(before)).alias("_moff"))
+    ends_at = F.col("_soff") + F.col("_t") - F.least("_moff", F.col("_soff") + F.col("_mc"))
+    chunks = chunks.select("base", "_ch", "_soff", "_moff", F.coalesce(F.lag(ends_at).over(order), F.lit(0)).alias("_d0"),
+                           F.min("_first").over(Window.partitionBy("base")).alias("base_line"))
+    ev = ev.join(chunks, ["base", "_ch"])
+    d = F.col("_soff") + F.col("_sl") - F.least("_moff", F.col("_soff") + F.col("_ml"))
+    return ev.select("*", d.alias("_d")).select("*", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(part), "_d0"))
+                                                .otherwise(F.col("_d")).alias("level"))
+
+
+def _levels_at_once(ev: DataFrame) -> DataFrame:
+    """The same for a log that is one chunk: everything from one sort by (name, line)."""
+    name = Window.partitionBy("base").orderBy("line_no")
+    local = name.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.select("*", F.sum(_step()).over(local).alias("_s"), F.min("line_no").over(local).alias("base_line"))
+    ev = ev.select("*", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(local))).alias("_d"))
+    return ev.select("*", F.when(F.col("is_end"), F.coalesce(F.lag("_d").over(name), F.lit(0)))
+                     .otherwise(F.col("_d")).alias("level"))
 
 
 def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int | None = None) -> DataFrame:
@@ -78,20 +100,22 @@ def attack_intervals(log: DataFrame, closed_only: bool = True, chunk_lines: int
     the row before it (0 = stray, dropped).  Among the rows of one (name, level) the row
     after a START is its closing END, if it is an END.  ``(base_line, start_line)`` is the
     reference's list order.  Never-closed STARTs are dropped unless ``closed_only=False``
-    (then ``end_us`` is NULL).  All windows run per (name, chunk of ``chunk_lines``
-    lines) with carries between chunks, so one very common attack name is still spread
-    over many tasks.
+    (then ``end_us`` is NULL).  A log of more than ``chunk_lines`` lines is paired per
+    (name, chunk) with carries between chunks, so one very common attack name is still
+    spread over many tasks.
     """
-    ev = parse_attack_log(log)
     chunk_lines = chunk_lines or PAIR_CHUNK_LINES
-    d = _running_depth(ev, chunk_lines)
-    d = chunked_lag(d, ["base"], "_ch", ["line_no"], "_d", "_dprev")
-    lvl = d.select("*", F.when(F.col("is_end"), F.coalesce(F.col("_dprev"), F.lit(0))).otherwise(F.col("_d"))
-                   .alias("level"))
-    first_line = lvl.groupBy("base").agg(F.min("line_no").alias("base_line"))
-    at_level = lvl.where(F.col("level") >= 1).select("*", F.struct("is_end", "ts_us").alias("_ev"))
-    paired = chunked_lead(at_level, ["base", "level"], "_ch", ["line_no"], "_ev", "_next")
-    iv = paired.where(~F.col("is_end")).join(first_line, "base").select(
+    ev = parse_attack_log(log)
+    lines = log.agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).first()
+    at_once = lines["lo"] is None or lines["lo"] // chunk_lines == lines["hi"] // chunk_lines
+    at_level = (_levels_at_once(ev) if at_once else _levels(ev, chunk_lines)).where(F.col("level") >= 1).select(
+        "*", F.struct("is_end", "ts_us").alias("_ev"))
+    if at_once:
+        paired = at_level.select("*", F.lead("_ev").over(Window.partitionBy("base", "level").orderBy("line_no"))
+                                 .alias("_next"))
+    else:
+        paired = chunked_lead(at_level, ["base", "level"], "_ch", ["line_no"], "_ev", "_next")
+    iv = paired.where(~F.col("is_end")).select(
         F.col("base").alias("name"), F.col("ts_us").alias("start_us"),
         F.when(F.col("_next.is_end"), F.col("_next.ts_us")).alias("end_us"),
         "base_line", F.col("line_no").alias("start_line"), "src", "dst")
@@ -107,21 +131,18 @@ def _bucketed(iv: DataFrame, bucket_us: int) -> DataFrame:
 
 
 def plan_label_join(intervals: DataFrame, bucket_s: float | None = None,
-                    broadcast_rows: int = BROADCAST_INTERVAL_ROWS) -> tuple[str, int]:
-    """Strategy and bucket width (µs) from one small aggregate over the intervals (count,
-    mean length, time range).  Bucketed rows are estimated as ``n * (1 + mean / bucket)``."""
-    ln = (F.col("end_us") - F.col("start_us")).cast("double")
-    st = intervals.agg(F.count(F.lit(1)).alias("n"), F.avg(ln).alias("avg"),
-                       F.min("start_us").alias("lo"), F.max("end_us").alias("hi")).first()
-    n, avg = st["n"], st["avg"] or 0.0
+                    broadcast_rows: int = BROADCAST_INTERVAL_ROWS) -> tuple[str, int, cover.ListSize]:
+    """Strategy, bucket width (µs) and size from one small aggregate over the intervals (count, mean length, time
+    range).  Bucketed rows are estimated as ``n * (1 + mean / bucket)``."""
+    size = cover.measure(intervals)
     if bucket_s is None:
-        bucket_us = int(min(max(avg, MIN_BUCKET_S * US), MAX_BUCKET_S * US))
+        bucket_us = int(min(max(size.mean_us, MIN_BUCKET_S * US), MAX_BUCKET_S * US))
     else:
         bucket_us = int(bucket_s * US)
-    est = n * (1.0 + avg / bucket_us)
-    span = ((st["hi"] - st["lo"]) // bucket_us + 1) if n else 0
+    est = size.n * (1.0 + size.mean_us / bucket_us)
+    span = ((size.hi - size.lo) // bucket_us + 1) if size.n else 0
     small = est <= broadcast_rows and span <= BROADCAST_BUCKET_RANGE
-    return ("broadcast" if small else "join"), bucket_us
+    return ("broadcast" if small else "cover"), bucket_us, size
 
 
 _IV_TYPE = "array<struct<base_line:bigint,start_line:bigint,start_us:bigint,end_us:bigint,name:string>>"
@@ -137,13 +158,13 @@ def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None =
     buckets.  A small bucketed list (checked by a bounded estimate) becomes one broadcast
     row holding a dense array indexed by bucket; each flow reads only the buckets it
     covers (O(1) access) — no shuffle of the flows, no nested loop over all intervals.
-    A large list is equi-joined with the flows on the bucket (AQE broadcasts it when it is
-    measured small and splits skewed buckets); the first match per flow is kept with
-    ``min`` over (base_line, start_line).
+    A large list becomes the step function of its first-ranked active interval, which the
+    flows read by time chunk (``cover``), so joined rows grow with flows and intervals and
+    not with the pairs that overlap.
     """
     # the interval table is read twice (sizing, then the join): compute it once, unless the caller has
     intervals = intervals if checkpointed else cut_lineage(intervals)
-    planned, bucket_us = plan_label_join(intervals, bucket_s, broadcast_rows)
+    planned, bucket_us, size = plan_label_join(intervals, bucket_s, broadcast_rows)
     strategy = strategy or planned
     t0 = F.round(F.col("start_time") * F.lit(float(US))).cast("long")
     t1 = F.round(F.col("end_time") * F.lit(float(US))).cast("long")
@@ -169,16 +190,13 @@ def label_flows(flows: DataFrame, intervals: DataFrame, bucket_s: float | None =
         j = flows.join(F.broadcast(dense), how="left")  # 1-row (or empty) build side
         return (j.withColumn("label", F.coalesce(F.array_min(hit)["name"], F.lit(NORMAL)))
                 .drop("_dense", "_lo"))
-    # join form: one row per (flow, bucket it covers), equi-join on bucket, min per flow.
-    fid = ["segment_id", "seq"]
-    keyed = flows.select(*fid, t0.alias("_t0"), t1.alias("_t1"),
-                         F.explode(F.sequence(fb0, F.greatest(fb0, fb1))).alias("_b"))
-    m = (keyed.join(b, "_b", "inner")
-         .where((F.col("_iv.start_us") <= F.col("_t1")) & (F.col("_iv.end_us") >= F.col("_t0")))
-         .groupBy(*fid).agg(F.min("_iv").alias("_first")))
-    return (flows.join(m, fid, "left")
-            .withColumn("label", F.coalesce(F.col("_first.name"), F.lit(NORMAL)))
-            .drop("_first"))
+    if not size.n:
+        return flows.withColumn("label", F.lit(NORMAL))
+    spans = flows.select(F.struct("segment_id", "seq").alias("flow"), t0.alias("t0"), t1.alias("t1"))
+    first = cover.first_match(spans, intervals, size, bucket_s).select(
+        F.col("flow.segment_id").alias("segment_id"), F.col("flow.seq").alias("seq"), F.col("iv.name").alias("_first"))
+    return (flows.join(first, ["segment_id", "seq"], "left")
+            .withColumn("label", F.coalesce("_first", F.lit(NORMAL))).drop("_first"))
 
 
 def label_distribution(labeled: DataFrame) -> DataFrame:

@@ -281,9 +281,9 @@ select f.segment_id, f.seq, coalesce((select i.name from intervals i where i.sta
                                       order by i.base_line, i.start_line limit 1), 'NORMAL') as label
 from flows f"""))
 def q_label_flows_large_log(spark, d):
-    """J1 with the bucketed equi-join form against the event-derived log."""
+    """J1 by the step function of the event-derived log."""
     iv = LB.attack_intervals(AD.read_attack_log(spark, d))
-    return LB.label_flows(flows_of(spark, d), iv, strategy="join").select("segment_id", "seq", "label")
+    return LB.label_flows(flows_of(spark, d), iv, strategy="cover").select("segment_id", "seq", "label")
 
 
 @register("label_distribution", sql(*LAB, body="select label, count(*) as count from labeled group by label"))

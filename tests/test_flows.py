@@ -138,3 +138,35 @@ def test_shannon_entropy_group_form(spark):
     assert got["b"] == 0.0
     assert got["a"] == pytest.approx(-(1 / 3) * math.log2(1 / 3) - (2 / 3) * math.log2(2 / 3))
     assert F is not None
+
+
+@pytest.mark.parametrize("slices", [1, 8])
+def test_out_of_order_capture_in_first_packet_order(spark, slices):
+    rng, t, rows = random.Random(11 + slices), 0.0, []
+    for i in range(240):
+        t += rng.choice([0.01, 0.3, 0.7, -0.4, -3.0 if i % 40 == 0 else 0.2, 12.0 if i % 90 == 0 else 0.1]) + rng.random() * 1e-3
+        t = max(t, 0.0)
+        rows.append((round(t, 6), f"10.0.0.{rng.randint(1, 2)}", 40000 + i % 5, f"10.0.1.{rng.randint(1, 4)}", rng.choice([80, 443]), 6, 100))
+    got = FL.flow_extract(packets_df(spark, rows), slices_per_window=slices, capture_order=True).collect()
+    exp = _naive_flows(rows)
+    assert len(got) == len(exp) > 50
+    for r in got:
+        assert r.dst_ip_entropy == pytest.approx(exp[(r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.proto)][6], abs=1e-9)
+    by_time = FL.flow_extract(packets_df(spark, rows), slices_per_window=slices).collect()
+    assert {r.seq: r.dst_ip_entropy for r in by_time} != {r.seq: r.dst_ip_entropy for r in got}
+
+
+def test_a_hot_sources_slices_shrink(spark):
+    """Events that one slice of a hot source sorts: with finer slices fewer, and none is copied."""
+    rows = [(i * 0.01, A, 40000 + i % 701, f"10.0.1.{i % 9}", 80, 6, 100) for i in range(3000)]
+    stats = FL.flow_stats(FL.filter_ip(packets_df(spark, rows))).select("segment_id", "src_ip", "dst_ip", "t0", "seq")
+    n, largest = stats.count(), {}
+    for m in (1, 8, 64):
+        wlen = 10_000_000
+        ev = FL._events(stats, "t0", "seq", wlen, wlen // m, 1 if m == 1 else 0)
+        sizes = [r["count"] for r in ev.groupBy("segment_id", "src_ip", "_sl").count().collect()]
+        largest[m] = max(sizes)
+        assert sum(sizes) == (3 * n if m == 1 else 2 * n)
+    assert largest[8] * 3 < largest[1] and largest[64] * 3 < largest[8]
+    a, b = ({r.seq: r.dst_ip_entropy for r in FL.dst_ip_entropy(stats, slices_per_window=m).collect()} for m in (1, 64))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)

@@ -60,7 +60,7 @@ def _flows(spark, spans):
     return spark.createDataFrame(rows, "segment_id long, seq long, start_time double, end_time double")
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "join"])
+@pytest.mark.parametrize("strategy", ["broadcast", "cover"])
 def test_first_match_in_list_order(spark, strategy):
     iv = LB.attack_intervals(AD.attack_log_fixture(spark))
     fl = _flows(spark, [(730, 730), (870, 870), (240.0, 241), (2410, 2410), (100, 180), (1300, 1400)])
@@ -77,7 +77,7 @@ def test_strategies_agree_on_large_log(spark):
         spans.append((a, a + rnd.uniform(0, 30)))
     fl = _flows(spark, spans)
     a = {r.seq: r.label for r in LB.label_flows(fl, iv, strategy="broadcast").collect()}
-    b = {r.seq: r.label for r in LB.label_flows(fl, iv, strategy="join", bucket_s=17).collect()}
+    b = {r.seq: r.label for r in LB.label_flows(fl, iv, strategy="cover", bucket_s=17).collect()}
     assert a == b
 
 
