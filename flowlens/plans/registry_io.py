@@ -51,11 +51,17 @@ select segment_id, t_us, src_ip, src_port, dst_ip, dst_port, proto, len from pac
 
 
 # ------------------------------------------------------------------ sources
-@register("scan_pcap", _PCAP_SQL)
+@register("scan_pcap", sql(O.PACKETS, body="""
+select * exclude (is_ip) from (
+  select row_number() over (order by pkt_idx) - 1 as pkt_idx, t_us, is_ip, src_ip, src_port, dst_ip, dst_port, proto, len
+  from packets) where is_ip"""))
 def q_scan_pcap(spark, d):
-    """Capture files (written from the packets) decoded by the pcap data source."""
-    back = PC.read_pcap(spark, _segments(spark, d))
-    return back.where("is_ip").select("segment_id", "t_us", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len")
+    """The packets as one capture file, decoded in byte ranges with exact packet numbers."""
+    path = scratch(spark, "capture")
+    PC.register(spark)
+    PC.write_segments(packets_of(spark, d).withColumn("segment_id", F.lit(0).cast("long")), path)
+    back = PC.read_captures(spark, path, split_bytes=1 << 17)
+    return back.where("is_ip").select("pkt_idx", "t_us", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len")
 
 
 @register("stream_segments", _PCAP_SQL)
@@ -94,15 +100,16 @@ def q_scan_flows_csv(spark, d):
     return round_doubles(FS.read_flows_csv(spark, path))
 
 
-@register("scan_attack_log", sql(*LOGD, body="select ts_us, event, src, dst from log_ev"))
+@register("scan_attack_log", sql(*LOGD, """
+numbered as (select line_no as event_line, row_number() over (order by line_no) as file_line from attack_log)""", body="""
+select file_line as line_no, ts_us, event, src, dst from log_ev join numbered on event_line = line_no"""))
 def q_scan_attack_log(spark, d):
-    """The event-derived log written as ordered text files and parsed back."""
+    """The event-derived log written as one ordered text file, read back by lines in blocks with exact numbers."""
     path = scratch(spark, "attack-log")
     log = AD.read_attack_log(spark, d)
-    (log.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line")
-     .write.mode("overwrite").text(path))
+    log.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
     back = FS.read_attack_log_text(spark, path)
-    return LB.parse_attack_log(back).select("ts_us", "event", "src", "dst")
+    return LB.parse_attack_log(back).select("line_no", "ts_us", "event", "src", "dst")
 
 
 # ------------------------------------------------------------------ sinks

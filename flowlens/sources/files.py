@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FLOWS, LABELED_FLOWS
+from ..session import cut_lineage
 
 
 def read_flows_csv(spark: SparkSession, path: str, labeled: bool = False) -> DataFrame:
@@ -29,18 +30,21 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
 def read_attack_log_text(spark: SparkSession, path: str) -> DataFrame:
     """Headerless text log -> ``attack_log(line_no, line)`` with exact line numbers.
 
-    A log file is read whole (``wholetext``) so line numbers are exact; attack logs are
-    written by hand or by attack scripts (one line per attack start / end), so one file
-    stays small.  Several files (rotated logs) are read in parallel and numbered by file
-    name, then line.
+    Files are read by lines and in blocks, so one large log is spread over tasks.  A line's number is the lines of the
+    file's earlier blocks (one row a block) plus its place in its own block, which the row ids of a scan give: they
+    grow along a block.  The lines are stored once, because counts and lines must come from the same scan (a log that
+    is still written may grow in between).  Several files (rotated logs) are numbered by file name, then line:
+    ``line_no`` is the file's place * 2^32 + the line, from 1.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    parts = F.split(F.regexp_replace(F.col("value"), "\r?\n$", ""), "\r?\n")
-    lines = raw.select("_file", F.posexplode(parts).alias("_pos", "line"))
-    files = raw.select("_file").distinct()
-    order = files.select("_file", (F.dense_rank().over(Window.orderBy("_file")) - 1).cast("long").alias("_f"))
-    return (lines.join(order, "_file")
-            .select((F.col("_f") * F.lit(1 << 32) + F.col("_pos") + 1).alias("line_no"), "line"))
+    lines = cut_lineage(spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")))
+    blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           (F.dense_rank().over(Window.orderBy("_file")) - 1).cast("long").alias("_f"))
+    return lines.join(blocks, ["_file", "_block"]).select(
+        (F.col("_f") * F.lit(1 << 32) + F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Capture files as a Spark data source (``format("pcap")``), batch and streaming.
 
-One input partition per capture file; each partition decodes its file with a fixed
+``read_captures`` reads captures of any size in byte ranges.  In the data source itself, whose files are the segments
+of a rotated capture, there is one input partition per capture file; each partition decodes its file with a fixed
 IPv4 / TCP / UDP header decode (link types Ethernet with VLAN tags, Linux SLL and SLL2,
 raw IP; classic pcap in both byte orders with µs or ns stamps, and pcapng) and yields
 Arrow record batches of the ``packets`` schema.  ``segment_id`` is the number at the
@@ -17,12 +18,15 @@ and the registered source query can produce captures from the driver tables.
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import io
 import os
 import re
 import struct
 import time
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter,
                                     InputPartition, WriterCommitMessage)
@@ -46,41 +50,76 @@ def segment_number(path: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
-def list_segments(path: str, min_age_s: float = 0.0, skip_bare: bool = True, now: float | None = None) -> list[str]:
-    """Settled capture files, ordered by segment number, then path.
+def store_of(path: str):
+    """(pyarrow file system, path inside it) of a plain path or a URI (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfs:``)."""
+    from pyarrow import fs
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "file:///", path)))
+    return fs.LocalFileSystem(), path
+
+
+def _found(path: str) -> tuple[list[tuple[str, float, int]], bool]:
+    """((path, last change, bytes) of the files that ``path`` names, whether it names a folder)."""
+    from pyarrow import fs
+    store, inner = store_of(path)
+    head = path[:len(path) - len(inner)] if path.endswith(inner) else ""
+    globbed = any(ch in inner for ch in "*?[")
+    folder = os.path.dirname(inner) if globbed else inner
+    info = store.get_file_info(folder)
+    if info.type == fs.FileType.NotFound:
+        if globbed:
+            return [], False
+        raise FileNotFoundError(path)
+    infos = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder))
+    if globbed:
+        infos = [i for i in infos if fnmatch.fnmatchcase(i.base_name, os.path.basename(inner))]
+    files = [(head + i.path, (i.mtime_ns or 0) / 1e9, i.size) for i in infos if i.type == fs.FileType.File]
+    return files, not globbed and info.type == fs.FileType.Directory
+
+
+def list_captures(path: str, min_age_s: float = 0.0, skip_bare: bool = True,
+                  now: float | None = None) -> list[tuple[str, int]]:
+    """Settled capture files with their sizes, ordered by segment number, then path (F12); one listing of the folder.
 
     ``path`` is a file (read whatever its name), a glob, or a folder: there ``*.pcap``, ``*.pcapng`` and rotated
     ``*.pcap<N>`` count.  ``skip_bare`` leaves out the unnumbered ``capture.pcap`` of a folder that is still written.
     """
     now = time.time() if now is None else now
-    if any(ch in path for ch in "*?["):
-        found, skip_bare = glob.glob(path), False
-    elif os.path.isdir(path):
-        found = [f for f in glob.glob(os.path.join(path, "*")) if _CAPTURE.search(os.path.basename(f))]
-    else:
-        found, skip_bare = [path], False
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
+    found, folder = _found(path)
     out = []
-    for f in found:
-        if not os.path.isfile(f) or skip_bare and os.path.basename(f) == "capture.pcap":
-            continue
-        if min_age_s and now - os.path.getmtime(f) < min_age_s:
+    for f, changed, size in found:
+        name = os.path.basename(f)
+        if folder and (not _CAPTURE.search(name) or skip_bare and name == "capture.pcap"):
             continue
-        out.append(f)
-    return sorted(out, key=lambda f: (-1 if segment_number(f) is None else segment_number(f), f))
+        if not min_age_s or now - changed >= min_age_s:
+            out.append((f, size))
+    return sorted(out, key=lambda x: (-1 if segment_number(x[0]) is None else segment_number(x[0]), x[0]))
 
 
-def segment_ids(files: list[str]) -> dict[str, int]:
-    """Segment id of each file: its number where the name ends in one and no other file of the list bears it, else a
-    number of 62 bits from the whole path - the same in every process."""
-    import zlib
-    numbers = [segment_number(f) for f in files]
+def list_segments(path: str, min_age_s: float = 0.0, skip_bare: bool = True, now: float | None = None) -> list[str]:
+    """The paths of ``list_captures``."""
+    return [f for f, _ in list_captures(path, min_age_s, skip_bare, now)]
+
+
+def segment_id(path: str) -> int:
+    """N of ``capture.pcap<N>``, else a number of 62 bits from the whole path: it follows from the file's own name, so it
+    is the same in every process and stays when other files come."""
+    n = plain_number(path)
+    if n is not None:
+        return n
+    store, inner = store_of(path)
+    b = (inner if store.type_name != "local" else os.path.abspath(inner)).encode()
+    return (1 << 61) | zlib.crc32(b) << 29 | zlib.crc32(b[::-1]) >> 3
+
+
+def plain_number(path: str) -> int | None:
+    """N where the name is exactly ``capture.pcap<N>`` (no leading zeros)."""
+    name, n = os.path.basename(path), segment_number(path)
+    return n if n is not None and name == f"capture.pcap{n}" else None
+
 
-    def from_path(f: str) -> int:
-        b = os.path.abspath(f).encode()
-        return (1 << 61) | zlib.crc32(b) << 29 | zlib.crc32(b[::-1]) >> 3
-    return {f: n if n is not None and numbers.count(n) == 1 else from_path(f) for f, n in zip(files, numbers, strict=True)}
+def segment_ids(files: list[str]) -> dict[str, int]:
+    return {f: segment_id(f) for f in files}
 
 
 def _ip(b: bytes) -> str:
@@ -131,7 +170,7 @@ def iter_packets(data: bytes) -> Iterator[tuple[int, bytes, int]]:
         return
     magic_le = struct.unpack_from("<I", data, 0)[0]
     if magic_le == PCAPNG_SHB:
-        yield from _iter_pcapng(data)
+        yield from _iter_pcapng(io.BytesIO(data))
         return
     for endian in ("<", ">"):
         magic = struct.unpack_from(endian + "I", data, 0)[0]
@@ -152,19 +191,21 @@ def iter_packets(data: bytes) -> Iterator[tuple[int, bytes, int]]:
         yield t_us, frame, link
 
 
-def _iter_pcapng(data: bytes):
-    pos, endian = 0, "<"
+def _iter_pcapng(fh):
+    """Packets of a pcapng file object, read block by block."""
+    endian = "<"
     links: list[tuple[int, int]] = []   # (link type, ticks per second)
-    while pos + 12 <= len(data):
-        btype = struct.unpack_from(endian + "I", data, pos)[0]
+    while len(head := fh.read(12)) == 12:
+        btype = struct.unpack_from(endian + "I", head, 0)[0]
         if btype == PCAPNG_SHB:
-            bom = struct.unpack_from("<I", data, pos + 8)[0]
+            bom = struct.unpack_from("<I", head, 8)[0]
             endian = "<" if bom == 0x1A2B3C4D else ">"
             links = []
-        blen = struct.unpack_from(endian + "I", data, pos + 4)[0]
-        if blen < 12 or pos + blen > len(data):
+        blen = struct.unpack_from(endian + "I", head, 4)[0]
+        rest = fh.read(blen - 12) if blen >= 12 else b""
+        if blen < 12 or len(rest) < blen - 12:
             break
-        body = data[pos + 8:pos + blen - 4]
+        body = (head[8:] + rest)[:blen - 12]
         if btype == PCAPNG_IDB:
             link = struct.unpack_from(endian + "H", body, 0)[0]
             res = 1_000_000
@@ -187,49 +228,95 @@ def _iter_pcapng(data: bytes):
             link, _ = links[0] if links else (LINK_ETHERNET, 1_000_000)
             _orig = struct.unpack_from(endian + "I", body, 0)[0]
             yield 0, body[4:4 + min(_orig, len(body) - 4)], link
-        pos += blen
 
 
-def _record_offsets(data: bytes):
-    """Classic pcap: (endian, ns, link, frame offsets, lengths, t_us) — the only
-    per-record Python is the walk over the length fields."""
-    import numpy as np
+#: Bytes of a capture read at a time, and the largest frame that resynchronisation expects.
+READ_BYTES = 8 << 20
+MAX_FRAME = 1 << 18
+
+
+class ClassicHeader(NamedTuple):
+    """Byte order, whether stamps are in ns, link type, and the second of the first record (None: no record)."""
+    endian: str
+    ns: bool
+    link: int
+    first_s: int | None
+
+
+def classic_header(fh) -> ClassicHeader | None:
+    """Header of a classic pcap whose link type the decoder knows, else None."""
+    fh.seek(0)
+    data = fh.read(40)
     for endian in ("<", ">"):
-        magic = struct.unpack_from(endian + "I", data, 0)[0]
-        if magic in (PCAP_MAGIC_US, PCAP_MAGIC_NS):
+        if len(data) >= 24 and struct.unpack_from(endian + "I", data, 0)[0] in (PCAP_MAGIC_US, PCAP_MAGIC_NS):
             break
     else:
         return None
-    ns = magic == PCAP_MAGIC_NS
+    ns = struct.unpack_from(endian + "I", data, 0)[0] == PCAP_MAGIC_NS
     link = struct.unpack_from(endian + "I", data, 20)[0] & 0x0FFFFFFF
-    offs, pos, n = [], 24, len(data)
-    unpack = struct.Struct(endian + "I").unpack_from
-    while pos + 16 <= n:
-        offs.append(pos)
-        pos += 16 + unpack(data, pos + 8)[0]
-    hdr = np.asarray(offs, dtype=np.int64)
-    dt = np.dtype(endian + "u4")
-    buf = np.frombuffer(data, dtype=np.uint8)
-    if len(hdr) == 0:
-        return link, hdr, hdr, hdr, buf
-    idx = (hdr[:, None] + np.arange(16)[None, :]).ravel()
-    sec = buf[idx].copy().view(dt).reshape(-1, 4)
-    t_us = sec[:, 0].astype(np.int64) * 1_000_000 + (sec[:, 1].astype(np.int64) // (1000 if ns else 1))
-    # a capture cut off in its last record keeps what there is of it
-    return link, hdr + 16, np.minimum(sec[:, 2].astype(np.int64), n - hdr - 16), t_us, buf
+    first = struct.unpack_from(endian + "I", data, 24)[0] if len(data) == 40 else None
+    return ClassicHeader(endian, ns, link, first) if link in (LINK_ETHERNET, LINK_SLL, LINK_SLL2, LINK_RAW) else None
+
+
+def walk(fh, size: int, endian: str, at: int, end: int, read_bytes: int | None = None):
+    """Records that begin in [at, end), a buffer at a time: (offset of the buffer, bytes, record offsets inside it, offset
+    after its last record).  The only per-record Python is this walk over the length fields."""
+    length, want = struct.Struct(endian + "I").unpack_from, read_bytes or READ_BYTES
+    while at < end and at + 16 <= size:
+        fh.seek(at)
+        data = fh.read(min(want, size - at))
+        records, pos, n, last = [], 0, len(data), at + len(data) >= size
+        while pos + 16 <= n and at + pos < end:
+            after = pos + 16 + length(data, pos + 8)[0]
+            if after > n and not last:
+                break
+            records.append(pos)
+            pos = after
+        if not records:  # a record longer than the buffer
+            want *= 2
+            continue
+        yield at, data, records, at + pos
+        at += pos
 
 
-def _decode_vectorized(data: bytes, segment_id: int):
-    """numpy decode of classic pcap (Ethernet incl. VLAN, SLL, SLL2, raw IPv4)."""
+def first_record(fh, size: int, head: ClassicHeader, start: int) -> int:
+    """First place from ``start`` on where a chain of plausible record headers begins that is longer than any frame, or
+    reaches the end of the file; ``size`` if there is none.  A chain that starts inside a frame would have to go on
+    outside of it; that it does not is checked against where the range before ends (``read_captures``)."""
+    import numpy as np
+    fh.seek(start)
+    data = fh.read(min(4 * MAX_FRAME, size - start))
+    n = len(data) - 15
+    if n <= 0:
+        return size
+    buf = np.frombuffer(data, np.uint8).astype(np.uint32)
+    order = (0, 1, 2, 3) if head.endian == "<" else (3, 2, 1, 0)
+
+    def u32(off: int) -> np.ndarray:
+        return sum(buf[off + i:off + i + n] << np.uint32(8 * order[i]) for i in range(4))
+
+    sec, frac, incl, orig = (u32(o) for o in (0, 4, 8, 12))
+    fine = ((frac < (10 ** 9 if head.ns else 10 ** 6)) & (incl <= MAX_FRAME) & (orig >= incl)
+            & (np.abs(sec.astype(np.int64) - (head.first_s or 0)) < 400 * 86400))
+    for p in np.flatnonzero(fine[:MAX_FRAME + 17]).tolist():
+        pos = p
+        while pos < n and fine[pos] and pos <= p + MAX_FRAME + 16:
+            pos += 16 + int(incl[pos])
+        if pos > p + MAX_FRAME + 16 or start + pos >= size - 15 and (pos >= n):
+            return start + p
+    return size
+
+
+def _decode_records(buf, records, first_idx: int, head: ClassicHeader, segment_id: int):
+    """numpy decode of classic pcap records (Ethernet incl. VLAN, SLL, SLL2, raw IPv4) at the given offsets."""
     import numpy as np
     import pyarrow as pa
-    r = _record_offsets(data)
-    if r is None:
-        return None
-    link, start, length, t_us, buf = r
-    n = len(start)
-    if link not in (LINK_ETHERNET, LINK_SLL, LINK_SLL2, LINK_RAW):
-        return None
+    buf, hdr, link = np.frombuffer(buf, np.uint8), np.asarray(records, np.int64), head.link
+    n = len(hdr)
+    sec = buf[(hdr[:, None] + np.arange(16)[None, :]).ravel()].copy().view(np.dtype(head.endian + "u4")).reshape(-1, 4)
+    t_us = sec[:, 0].astype(np.int64) * 1_000_000 + (sec[:, 1].astype(np.int64) // (1000 if head.ns else 1))
+    # a capture cut off in its last record keeps what there is of it
+    start, length = hdr + 16, np.minimum(sec[:, 2].astype(np.int64), len(buf) - hdr - 16)
     end = start + length
     pad = np.concatenate([buf, np.zeros(64, dtype=np.uint8)])   # gathers past a short frame read zeros
 
@@ -271,24 +358,33 @@ def _decode_vectorized(data: bytes, segment_id: int):
 
     import pyarrow.compute  # noqa: F401
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, segment_id, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int64)),
+        [pa.array(np.full(n, segment_id, dtype=np.int64)), pa.array(first_idx + np.arange(n, dtype=np.int64)),
          pa.array(t_us), pa.array(is_ip), ip_text(src), pa.array(sport.astype(np.int32)), ip_text(dst),
          pa.array(dport.astype(np.int32)), pa.array(proto.astype(np.int32)), pa.array(length.astype(np.int32))],
         names=["segment_id", "pkt_idx", "t_us", "is_ip", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len"])
 
 
+def decode_range(path: str, segment_id: int, at: int, end: int, first_idx: int = 0):
+    """Arrow record batches of the records of a classic capture that begin in [at, end), ``at`` being a record's start."""
+    store, inner = store_of(path)
+    with store.open_input_file(inner) as fh:
+        head, size = classic_header(fh), fh.size()
+        for _, data, records, _ in walk(fh, size, head.endian, at, end):
+            yield _decode_records(data, records, first_idx, head, segment_id)
+            first_idx += len(records)
+
+
 def decode_file(path: str, segment_id: int):
-    """Arrow record batches of one capture file (pkt_idx = position in the file).
+    """Arrow record batches of one capture file (pkt_idx = position in the file), read a buffer at a time.
 
     Classic pcap with a known link type is decoded with numpy gathers; pcapng and other
     link types go through the per-frame decoder."""
     import pyarrow as pa
-    with open(path, "rb") as fh:
-        data = fh.read()
-    fast = _decode_vectorized(data, segment_id) if len(data) >= 24 else None
-    if fast is not None:
-        if fast.num_rows:
-            yield fast
+    store, inner = store_of(path)
+    with store.open_input_file(inner) as fh:
+        head, size = classic_header(fh), fh.size()
+    if head is not None:
+        yield from decode_range(path, segment_id, 24, size)
         return
     cols = {k: [] for k in ("segment_id", "pkt_idx", "t_us", "is_ip", "src_ip", "src_port", "dst_ip", "dst_port",
                             "proto", "len")}
@@ -303,16 +399,33 @@ def decode_file(path: str, segment_id: int):
             v.clear()
         return b
 
-    for i, (t_us, frame, link) in enumerate(iter_packets(data)):
-        is_ip, src, sport, dst, dport, proto = decode_frame(frame, link)
-        for k, v in zip(cols, (segment_id, i, t_us, is_ip, src, sport, dst, dport, proto, len(frame))):
-            cols[k].append(v)
-        if len(cols["pkt_idx"]) >= batch_rows:
-            yield flush()
+    with store.open_input_stream(inner, buffer_size=1 << 20) as fh:
+        magic = fh.read(4)
+        fh = _Again(magic, fh)
+        frames = _iter_pcapng(fh) if magic == struct.pack("<I", PCAPNG_SHB) else iter_packets(fh.read(-1))
+        for i, (t_us, frame, link) in enumerate(frames):
+            is_ip, src, sport, dst, dport, proto = decode_frame(frame, link)
+            for k, v in zip(cols, (segment_id, i, t_us, is_ip, src, sport, dst, dport, proto, len(frame))):
+                cols[k].append(v)
+            if len(cols["pkt_idx"]) >= batch_rows:
+                yield flush()
     if cols["pkt_idx"]:
         yield flush()
 
 
+class _Again:
+    """A stream with the bytes already read put back."""
+
+    def __init__(self, head: bytes, fh) -> None:
+        self.head, self.fh = head, fh
+
+    def read(self, n: int) -> bytes:
+        if n < 0:
+            return self.head + self.fh.read()
+        take, self.head = self.head[:n], self.head[n:]
+        return take + self.fh.read(n - len(take))
+
+
 class _FilePartition(InputPartition):
     def __init__(self, path: str, segment_id: int):
         super().__init__(path)
@@ -333,37 +446,59 @@ class PcapReader(DataSourceReader):
         yield from decode_file(partition.path, partition.segment_id)
 
 
+def runs_of(numbers) -> list[list[int]]:
+    """Sorted runs [first, last] of a set of numbers."""
+    runs: list[list[int]] = []
+    for n in sorted(numbers):
+        if runs and n <= runs[-1][1] + 1:
+            runs[-1][1] = max(n, runs[-1][1])
+        else:
+            runs.append([n, n])
+    return runs
+
+
+def runs_between(start: list[list[int]], end: list[list[int]]) -> list[list[int]]:
+    """The runs of numbers that ``end`` has and ``start`` lacks."""
+    out, known = [], [*start, [float("inf"), float("inf")]]
+    k = 0
+    for lo, hi in end:
+        while known[k][1] < lo:
+            k += 1
+        i = k
+        while lo <= hi:
+            a, b = known[i]
+            if a > lo:
+                out.append([lo, min(hi, a - 1)])
+            lo, i = max(lo, b + 1), i + 1
+    return out
+
+
 class PcapStreamReader(DataSourceStreamReader):
-    """Offset = the names already taken, as a ledger: numbers below ``upto`` (a run without gaps) and single names.
+    """Offset = the files already taken, as a ledger: runs of numbers for ``capture.pcap<N>``, and other names.
 
     A file is taken once it is settled (``min_age_s``), in whatever order files settle: one with a lower number than
-    those taken before is still new.  A batch is the files that the end offset has and the start offset lacks."""
+    those taken before is still new.  A batch is what the end offset has and the start offset lacks; its files follow
+    from the offsets, so the folder is listed once a batch, and the offset grows with the gaps, not with the files."""
 
     def __init__(self, options: dict):
         self.path = options.get("path")
         self.min_age = float(options.get("min_age_s", 5))
 
     def initialOffset(self):
-        return {"upto": 0, "names": []}
-
-    @staticmethod
-    def _taken(offset, f: str) -> bool:
-        n = segment_number(f)
-        plain = n is not None and os.path.basename(f) == f"capture.pcap{n}"
-        return plain and n < offset["upto"] or os.path.basename(f) in offset["names"]
+        return {"runs": [], "names": []}
 
     def latestOffset(self):
-        files = [os.path.basename(f) for f in list_segments(self.path, self.min_age, True)]
-        plain = {n for f in files if (n := segment_number(f)) is not None and f == f"capture.pcap{n}"}
-        upto = 0
-        while upto in plain:
-            upto += 1
-        return {"upto": upto, "names": sorted(f for f in files if not (
-            (n := segment_number(f)) is not None and f == f"capture.pcap{n}" and n < upto))}
+        files = list_segments(self.path, self.min_age, True)
+        plain = [plain_number(f) for f in files]
+        return {"runs": runs_of(n for n in plain if n is not None),
+                "names": sorted(os.path.basename(f) for f, n in zip(files, plain, strict=True) if n is None)}
 
     def partitions(self, start, end):
-        ids = segment_ids(list_segments(self.path, 0.0, True))
-        return [_FilePartition(f, n) for f, n in ids.items() if self._taken(end, f) and not self._taken(start, f)]
+        new = [f"capture.pcap{n}" for lo, hi in runs_between(start["runs"], end["runs"]) for n in range(lo, hi + 1)]
+        names = new + [f for f in end["names"] if f not in set(start["names"])]
+        folder = os.path.dirname(self.path) if any(ch in self.path for ch in "*?[") else self.path.rstrip("/")
+        folder += "/"
+        return [_FilePartition(folder + f, segment_id(folder + f)) for f in names]
 
     def read(self, partition):
         yield from decode_file(partition.path, partition.segment_id)
@@ -462,6 +597,75 @@ def write_segments(packets, path: str) -> None:
      .write.format("pcap").mode("append").option("path", path).save())
 
 
+def _located(rows: Iterator, from_end: bool) -> Iterator:
+    """Add to each byte range where its first record begins, where the first record after it begins, and its records."""
+    import pyarrow as pa
+    for batch in rows:
+        out = batch.to_pylist()
+        for r in out:
+            store, inner = store_of(r["path"])
+            with store.open_input_file(inner) as fh:
+                head, at, n = classic_header(fh), r["sync"], 0
+                if head is None:  # not split: the first range has the whole file
+                    at = stop = r["size"]
+                else:
+                    if not from_end:
+                        at = 24 if r["k"] == 0 else first_record(fh, r["size"], head, r["start"])
+                    stop = at
+                    for _, _, records, stop in walk(fh, r["size"], head.endian, at, r["stop_at"]):
+                        n += len(records)
+                r.update(sync=at, stop=min(stop, r["size"]), n=n, classic=head is not None)
+        yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+
+_RANGE = ("path string, segment_id long, size long, k int, start long, stop_at long, sync long, stop long, n long, "
+          "classic boolean")
+
+
+def read_captures(spark, path: str, min_age_s: float = 0.0, split_bytes: int = 64 << 20):
+    """Packets of capture files that may be large: classic captures are read in byte ranges of ``split_bytes``.
+
+    A first pass finds, for every range, its first record by resynchronisation and walks the length fields to the first
+    record of the next range.  Where a range's first record is not the one that the range before it ends at, it is
+    walked again from there, until all agree; as the first range starts behind the file header, all are then right.
+    The counts of the ranges give each its first ``pkt_idx``.  The second pass decodes the ranges.  Buffers have
+    READ_BYTES, whatever the file's size; pcapng files are one range.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ..session import cut_lineage
+    rows = [(f, segment_id(f), size, k, at, min(at + split_bytes, size), 0, 0, 0, True)
+            for f, size in list_captures(path, min_age_s)
+            for k, at in enumerate(range(0, max(size, 1), split_bytes))]
+    tasks = max(1, len(rows))
+
+    def located(ranges, from_end: bool):
+        return cut_lineage(ranges.repartition(tasks).mapInArrow(lambda b: _located(b, from_end), _RANGE))
+
+    found = located(spark.createDataFrame(rows, _RANGE), False)
+    along = Window.partitionBy("path").orderBy("k")
+    while True:
+        seen = found.select("*", F.lag("stop").over(along).alias("expect"))
+        wrong = seen.where("expect is not null and expect <> sync")
+        if wrong.limit(1).count() == 0:
+            break
+        again = located(wrong.withColumn("sync", F.col("expect")).drop("expect"), True)
+        found = cut_lineage(seen.where("expect is null or expect = sync").drop("expect").unionByName(again))
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = found.select("*", before.alias("first_idx")).where("n > 0 or (k = 0 and not classic)")
+
+    def decode(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                if r["classic"]:
+                    yield from decode_range(r["path"], r["segment_id"], r["sync"], r["stop_at"], r["first_idx"])
+                else:
+                    yield from decode_file(r["path"], r["segment_id"])
+
+    return ranges.repartition(tasks, "path", "k").mapInArrow(decode, PACKET_DDL)
+
+
 def read_pcap(spark, path: str, min_age_s: float = 0.0):
     register(spark)
     return spark.read.format("pcap").option("path", path).option("min_age_s", str(min_age_s)).load()

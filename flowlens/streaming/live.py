@@ -6,7 +6,7 @@
                               replayed batch does not duplicate rows and a segment that
                               comes in several batches keeps them all.
 * T3 ``tumbling_flows``      a packet stream (no segment files) cut into 30 s event-time
-                              segments by a stateful operator: the packets (index, time, length)
+                              segments by a stateful aggregate: the packets (index, time, length)
                               of each open flow, emitted as a flow when the watermark passes
                               the segment end; entropy per finished segment in foreachBatch.
 * T4 ``relabel_on_change``   re-label only segments that overlap intervals of a changed log.
@@ -20,9 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,47 +62,47 @@ def live_flows(spark: SparkSession, segments_path: str, out_path: str, checkpoin
 
 # ------------------------------------------------------------------ T3: stateful flows
 CLOSING_SRC = "-"   # source of the rows that close an input
-_STATE = "idx array<long>, t array<long>, len array<long>"
-_OUT = ("segment_id long, src_ip string, src_port int, dst_ip string, dst_port int, proto int, seq long, t0 long, "
-        "t1 long, total_packets long, total_bytes long, mean_len double, m2_len double, m_iat long, mu_iat_us double, "
-        "m2_iat double")
-
-
-def _flow_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    """Keep the packets of one (segment, 5-tuple) until the event-time timeout (segment end + lateness) fires, then emit
-    the flow: a late packet changes the gaps of its neighbours, so they are taken when all are there."""
-    idx, t, size = state.get if state.exists else ([], [], [])
-    if state.hasTimedOut:
-        state.remove()
-        order = np.argsort(np.asarray(idx, dtype="int64"), kind="stable")
-        idx, t, size = (np.asarray(x, dtype="int64")[order] for x in (idx, t, size))
-        gaps = np.diff(t)
-        mean_len, mean_gap = float(size.mean()), float(gaps.mean()) if len(gaps) else 0.0
-        seg, src, sp, dst, dp, pr = key
-        yield pd.DataFrame([dict(segment_id=seg, src_ip=src, src_port=sp, dst_ip=dst, dst_port=dp, proto=pr,
-                                 seq=int(idx[0]), t0=int(t[0]), t1=int(t[-1]), total_packets=len(t),
-                                 total_bytes=int(size.sum()), mean_len=mean_len,
-                                 m2_len=float(((size - mean_len) ** 2).sum()), m_iat=len(gaps), mu_iat_us=mean_gap,
-                                 m2_iat=float(((gaps - mean_gap) ** 2).sum()))])
-        return
-    new = pd.concat([p[["pkt_idx", "t_us", "len"]] for p in pdfs]).astype("int64")
-    state.update((list(idx) + new["pkt_idx"].tolist(), list(t) + new["t_us"].tolist(), list(size) + new["len"].tolist()))
-    state.setTimeoutTimestamp(int((key[0] + 1) * SEGMENT_S * 1000))
+
+
+def _collected_stats(packets: Column) -> list[Column]:
+    """Flow statistics from an array of (pkt_idx, t_us, len): gaps are taken in capture order, when all packets are there."""
+    def total(values: Column, of) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
+
+    size, n = F.transform(packets, lambda x: x["len"]), F.size(packets)
+    gaps = F.zip_with(F.slice(packets, 2, F.greatest(n, F.lit(1))), F.slice(packets, 1, F.greatest(n - 1, F.lit(1))),
+                      lambda b, a: b["t_us"] - a["t_us"])
+    gaps = F.when(n > 1, gaps).otherwise(F.array().cast("array<bigint>"))
+    m = F.size(gaps)
+    mean_len = total(size, lambda x: x) / n
+    mean_gap = F.when(m > 0, total(gaps, lambda x: x) / F.greatest(m, F.lit(1))).otherwise(0.0)
+    return [packets[0]["pkt_idx"].alias("seq"), packets[0]["t_us"].alias("t0"), F.element_at(packets, -1)["t_us"].alias("t1"),
+            n.cast("long").alias("total_packets"), F.aggregate(size, F.lit(0).cast("long"), lambda acc, x: acc + x)
+            .alias("total_bytes"), mean_len.alias("mean_len"), size.alias("_len"), gaps.alias("_gaps"),
+            m.cast("long").alias("m_iat"), mean_gap.alias("mu_iat_us")]
 
 
 def tumbling_flows(packets: DataFrame, lateness: str = "60 seconds") -> DataFrame:
-    """Per-flow stream aggregation over 30 s event-time segments (append output).
+    """Per-flow stream aggregation over 30 s event-time segments (append output), in built-in functions.
 
-    ``packets`` needs ``pkt_idx, t_us, is_ip, 5-tuple, len``; ``segment_id`` is recomputed
-    from event time.  Packets later than the watermark are dropped by Spark.  Segments at the end of the input wait
-    for later packets; ``closing_packet`` makes one that closes the input.
+    The state of an open flow is the list of its packets (a late packet changes its neighbours' gaps); when the
+    watermark passes the segment's end the flow comes out with its statistics.  ``packets`` needs ``pkt_idx, t_us,
+    is_ip, 5-tuple, len``; ``segment_id`` is recomputed from event time.  Packets later than the watermark are dropped
+    by Spark.  Segments at the end of the input wait for later packets; ``closing_packet`` makes one that closes it.
     """
-    p = (packets.where(F.col("is_ip"))
-         .withColumn("ts", F.timestamp_micros("t_us"))
-         .withColumn("segment_id", F.floor(F.col("t_us") / F.lit(SEGMENT_S * US)).cast("long"))
-         .withWatermark("ts", lateness))
-    return (p.groupBy("segment_id", *FIVE_TUPLE)
-            .applyInPandasWithState(_flow_state_fn, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    p = (packets.where(F.col("is_ip")).withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", lateness))
+    flows = p.groupBy(F.window("ts", f"{SEGMENT_S} seconds"), *FIVE_TUPLE).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pkt_idx").cast("long").alias("pkt_idx"),
+                                             F.col("t_us").cast("long").alias("t_us"),
+                                             F.col("len").cast("long").alias("len")))).alias("packets"))
+    segment = (F.unix_micros("window.start") / F.lit(SEGMENT_S * US)).cast("long").alias("segment_id")
+    stats = flows.select(segment, *FIVE_TUPLE, *_collected_stats(F.col("packets")))
+
+    def squares(values: str, mean: str) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - F.col(mean)) * (x - F.col(mean)))
+
+    return stats.select("*", squares("_len", "mean_len").alias("m2_len"), squares("_gaps", "mu_iat_us").alias("m2_iat")).drop(
+        "_len", "_gaps")
 
 
 def closing_packet(packets: DataFrame, after_s: float = 86400.0) -> DataFrame:

@@ -1,5 +1,10 @@
+import io
 import os
+import random
 import struct
+import time
+
+from pyspark.sql import functions as F
 
 from flowlens.sources import pcap as PC
 
@@ -68,7 +73,7 @@ def test_settled_files_only(tmp):
     assert len(PC.list_segments(tmp)) == 2
 
 
-def test_vectorized_decode_equals_frame_decoder():
+def test_vectorized_decode_equals_frame_decoder(tmp):
     frames = list(PC.iter_packets(PC.pcap_bytes(ROWS)))
     vlan = frames[0][1][:12] + b"\x81\x00\x00\x07" + frames[0][1][12:]          # one VLAN tag
     short = frames[1][1][:30]                                                    # truncated IPv4
@@ -78,9 +83,77 @@ def test_vectorized_decode_equals_frame_decoder():
     for t, fr in [(t, f) for t, f, _ in frames] + extra:
         out.append(struct.pack("<IIII", t // 10**6, t % 10**6, len(fr), len(fr)) + fr)
     data = b"".join(out)
-    fast = PC._decode_vectorized(data, 9).to_pylist()
+    path = os.path.join(tmp, "x.pcap")
+    _write(path, data)
+    fast = [r for b in PC.decode_file(path, 9) for r in b.to_pylist()]
+    pieces = [r for _ in [0] for _, buf, at, _ in PC.walk(io.BytesIO(data), len(data), "<", 24, len(data), 90)
+              for r in PC._decode_records(buf, at, 0, PC.classic_header(io.BytesIO(data)), 9).to_pylist()]
+    assert [{k: v for k, v in r.items() if k != "pkt_idx"} for r in pieces] == [
+        {k: v for k, v in r.items() if k != "pkt_idx"} for r in fast]  # buffers smaller than a record
     slow = [dict(zip(("is_ip", "src_ip", "src_port", "dst_ip", "dst_port", "proto"), PC.decode_frame(fr, link)),
                  t_us=t, len=len(fr)) for t, fr, link in PC.iter_packets(data)]
     assert len(fast) == len(slow) == 7
     for a, b in zip(fast, slow):
         assert {k: a[k] for k in b} == b
+
+
+def _capture(n, seed=0, embed=True):
+    """A capture whose frames may themselves hold captures: payloads with plausible record headers."""
+    rng, out, t = random.Random(seed), [struct.pack("<IHHiIII", PC.PCAP_MAGIC_US, 2, 4, 0, 0, 262144, PC.LINK_ETHERNET)], 1_704_067_200
+    for i in range(n):
+        t += rng.random() < 0.05
+        fr = PC._frame("10.0.0.1", 1000 + i % 50, f"10.0.1.{i % 7}", 80, 6, 60 + rng.randrange(300), True)
+        if embed and i % 9 == 0:
+            inner = PC._frame("9.9.9.9", 1, "9.9.9.8", 2, 6, 60, True)
+            fr += b"".join(struct.pack("<IIII", t, j, len(inner), len(inner)) + inner for j in range(rng.randrange(60)))
+        out.append(struct.pack("<IIII", t, i % 10**6, len(fr), len(fr)) + fr)
+    return b"".join(out)
+
+
+def test_one_capture_in_byte_ranges(spark, tmp):
+    data = _capture(3000)
+    _write(os.path.join(tmp, "capture.pcap7"), data)
+    _write(os.path.join(tmp, "capture.pcap8"), _capture(40, 1)[:-30])    # cut off in its last record
+    _write(os.path.join(tmp, "capture.pcap9"), _capture(0))
+    whole = sorted(map(tuple, PC.read_pcap(spark, tmp).collect()))
+    for size in (20_000, 7_001, 1 << 20):
+        df = PC.read_captures(spark, "file://" + tmp, split_bytes=size)
+        assert sorted(map(tuple, df.collect())) == whole
+        if size == 20_000:
+            tasks = df.groupBy(F.spark_partition_id()).count().count()
+            assert tasks > len(data) // size // 3
+    assert len(whole) == 3040 and [r[1] for r in whole if r[0] == 7] == list(range(3000))
+
+
+def test_resynchronisation_meets_record_starts(tmp):
+    data = _capture(400, 3)
+    head, size = PC.classic_header(io.BytesIO(data)), len(data)
+    starts = [at + r for at, _, rec, _ in PC.walk(io.BytesIO(data), size, "<", 24, size) for r in rec]
+    plain = _capture(400, 3, embed=False)
+    plain_starts = [at + r for at, _, rec, _ in PC.walk(io.BytesIO(plain), len(plain), "<", 24, len(plain)) for r in rec]
+    for p in range(24, len(plain), 977):
+        want = next((s for s in plain_starts if s >= p), len(plain))
+        assert PC.first_record(io.BytesIO(plain), len(plain), PC.classic_header(io.BytesIO(plain)), p) == want
+    assert starts[0] == 24 and head.first_s == 1_704_067_200
+
+
+def test_ledger_runs_and_a_hundred_thousand_files():
+    assert PC.runs_of([5, 1, 2, 3, 9, 8]) == [[1, 3], [5, 5], [8, 9]]
+    rng = random.Random(2)
+    for _ in range(200):
+        a = {rng.randrange(40) for _ in range(rng.randrange(30))}
+        b = a | {rng.randrange(40) for _ in range(rng.randrange(30))}
+        new = {n for lo, hi in PC.runs_between(PC.runs_of(a), PC.runs_of(b)) for n in range(lo, hi + 1)}
+        assert new == b - a
+    names = [f"/x/capture.pcap{56_000_000 + i}" for i in range(100_000) if i != 777]
+    t = time.perf_counter()
+    ids = PC.segment_ids(names)
+    runs = PC.runs_of(ids.values())
+    assert len(runs) == 2 and time.perf_counter() - t < 5
+
+
+def test_ids_follow_from_the_name_alone(tmp):
+    first = PC.segment_id(os.path.join(tmp, "other.pcap3"))
+    assert PC.segment_id(os.path.join(tmp, "capture.pcap3")) == 3 and first > 1 << 60
+    assert PC.segment_ids([os.path.join(tmp, "other.pcap3"), os.path.join(tmp, "capture.pcap3")])[os.path.join(tmp, "other.pcap3")] == first
+    assert PC.segment_id("file://" + tmp + "/other.pcap3") == first
