@@ -13,10 +13,10 @@ from ..schemas import (ANOMALY_ELEVATED, ANOMALY_WEIGHT_ATTACK, ANOMALY_WEIGHT_N
                        COMMON_PORTS, LOG_TS_FORMAT, NORMAL, PROTO_NAMES, PROTO_OTHER, US)
 
 __all__ = [
-    "col_or", "uncommon_port", "proto_name", "safe_rate", "us_to_seconds", "us_to_timestamp",
+    "col_or", "uncommon_port", "proto_name", "safe_rate",
     "ipv4_to_long", "in_subnet", "parse_log_ts", "event_base", "event_is_end", "is_attack",
     "binary_label", "anomaly_score", "anomaly_status", "format_bytes", "label_display",
-    "time_of_day", "tod_from_seconds", "utc_format", "utc_timestamp", "log2", "round6",
+    "time_of_day", "tod_from_seconds", "utc_format", "utc_timestamp", "fround", "fixed_text",
 ]
 
 
@@ -44,14 +44,6 @@ def safe_rate(x: str | Column, duration: str | Column) -> Column:
     return F.when(d > 0, col_or(x).cast("double") / d).otherwise(F.lit(0.0))
 
 
-def us_to_seconds(us: str | Column) -> Column:
-    return col_or(us).cast("double") / F.lit(float(US))
-
-
-def us_to_timestamp(us: str | Column) -> Column:
-    return F.timestamp_micros(col_or(us))
-
-
 def ipv4_to_long(ip: str | Column) -> Column:
     """Dotted IPv4 text -> BIGINT (NULL when not four octets 0..255)."""
     parts = F.split(col_or(ip), r"\.")
@@ -113,12 +105,23 @@ def anomaly_status(score: str | Column) -> Column:
     return F.when(col_or(score) > F.lit(ANOMALY_ELEVATED), F.lit("ELEVATED")).otherwise(F.lit("NORMAL"))
 
 
+def fround(c: Column, digits: int) -> Column:
+    """``floor(x * 10^d + 0.5) / 10^d`` in plain IEEE steps."""
+    s = float(10 ** digits)
+    return F.floor(c * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
+
+
+def fixed_text(x: str | Column, digits: int) -> Column:
+    """A number with ``digits`` decimals as text, rounded half up."""
+    return F.format_string(f"%.{digits}f", fround(col_or(x), digits))
+
+
 def format_bytes(b: str | Column) -> Column:
-    """``<1024 -> 'nB'``, ``<1 MiB -> 'nKB'`` (0 dp), else ``'n.nMB'`` (1 dp)."""
+    """``<1024 -> 'nB'``, ``<1 MiB -> 'nKB'`` (0 dp), else ``'n.nMB'`` (1 dp)."""
     x = col_or(b)
     return (F.when(x < 1024, F.concat(x.cast("long").cast("string"), F.lit("B")))
-            .when(x < 1048576, F.concat(F.format_string("%.0f", x / F.lit(1024.0)), F.lit("KB")))
-            .otherwise(F.concat(F.format_string("%.1f", x / F.lit(1048576.0)), F.lit("MB"))))
+            .when(x < 1048576, F.concat(F.floor(x / F.lit(1024.0) + F.lit(0.5)).cast("long").cast("string"), F.lit("KB")))
+            .otherwise(F.concat(fixed_text(x / F.lit(1048576.0), 1), F.lit("MB"))))
 
 
 def label_display(label: str | Column = "label") -> Column:
@@ -150,11 +153,3 @@ def utc_timestamp(text: str) -> Column:
     from datetime import datetime, timezone
     dt = datetime.fromisoformat(text.replace("Z", "")).replace(tzinfo=timezone.utc)
     return F.timestamp_micros(F.lit(int(dt.timestamp()) * 1_000_000 + dt.microsecond))
-
-
-def log2(x: str | Column) -> Column:
-    return F.log2(col_or(x))
-
-
-def round6(x: str | Column) -> Column:
-    return F.round(col_or(x), 6)

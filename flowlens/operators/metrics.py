@@ -18,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import quantile_buckets, running_sums
+from ..session import cut_lineage
+from .ordered import running_sums
 
 
 def _keys(df: DataFrame, by: Sequence[str] | None) -> list[str]:
@@ -126,19 +127,25 @@ def false_positive_rate(pred: DataFrame, label: str = "label", prediction: str =
     return a.select(*keys, F.when(ok, F.col("fp") / (F.col("fp") + F.col("tn"))).alias("false_positive_rate"))
 
 
+#: Distinct scores that one task orders.
+RANGE_SCORES = 1 << 20
+
+
 def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] | None = None,
-            buckets: int = 64) -> DataFrame:
+            range_scores: int = RANGE_SCORES) -> DataFrame:
     """Exact AUC = sum over scores of pos * (neg below + neg tied / 2) / (P * N).
 
-    Rows are first reduced to distinct scores (partial aggregation); the running count of
-    negatives then runs over quantile ranges of the score in parallel (no single-task
-    global window).  NULL when a group has one class only.
+    Rows are first reduced to distinct scores (partial aggregation).  These are range-partitioned by score, as many
+    ranges as ``range_scores`` scores each make; the running count of negatives runs inside the ranges, with the
+    totals of a key's earlier ranges as offsets.  NULL when a group has one class only.
     """
     keys = _keys(pred, by)
-    d = pred.groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    qb = quantile_buckets(d, "_s", keys, buckets)
-    rs = running_sums(qb, keys, "_qb", ["_s"], ["neg"], inclusive=False)
+    d = cut_lineage(pred.groupBy(*keys, F.col(score).alias("_s")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+    ranges = max(1, -(-d.count() // range_scores))
+    d = d.withColumn("_range", F.lit(0)) if ranges == 1 else cut_lineage(
+        d.repartitionByRange(ranges, *keys, "_s").withColumn("_range", F.spark_partition_id()))
+    rs = running_sums(d, keys, "_range", ["_s"], ["neg"], inclusive=False)
     a = rs.groupBy(*keys).agg(
         F.sum(F.col("pos").cast("double") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -147,7 +154,8 @@ def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", by: Sequence[st
 
 
 def roc_auc_ovr(pred: DataFrame, label: str = "label", probability: str = "probability",
-                by: Sequence[str] | None = None, buckets: int = 64, names: Sequence[str] | None = None) -> DataFrame:
+                by: Sequence[str] | None = None, names: Sequence[str] | None = None,
+                range_scores: int = RANGE_SCORES) -> DataFrame:
     """One-vs-rest AUC per class (probability[i] is class i), macro mean.
     ``names`` is the model's class list, the order of ``probability``; without it the sorted labels of the rows stand
     in.  NULL if any class has no positive or no negative row, so also when the rows lack one of the model's classes."""
@@ -156,6 +164,6 @@ def roc_auc_ovr(pred: DataFrame, label: str = "label", probability: str = "proba
     j = pred.join(cls, keys, "inner") if keys else pred.crossJoin(cls)
     rows = j.select(*keys, "idx", (F.col(label) == F.col("cls")).cast("int").alias("_y"),
                     F.element_at(F.col(probability), F.col("idx") + 1).alias("_score"))
-    per = roc_auc(rows, "_y", "_score", [*keys, "idx"], buckets)
+    per = roc_auc(rows, "_y", "_score", [*keys, "idx"], range_scores)
     return per.groupBy(*keys).agg(
         F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc_ovr"))

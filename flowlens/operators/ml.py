@@ -13,21 +13,20 @@ spans the same subspace), M6 batch scoring, M7 evaluation rows, K5/S7 persistenc
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import binary_label
 from ..schemas import FEATURES, NORMAL, SEQ_LEN, US
 from ..session import path_exists
 from . import metrics as MT
-from .ordered import chunked_row_number
+from .ordered import CHUNK_ROWS, chunked_row_number, count_chunks
 
 # First hex digits of the md5 order key used as chunks (16^4 = 65,536 chunks per class).
 SPLIT_CHUNK_HEX = 4
@@ -142,32 +141,31 @@ def anomaly_threshold(errors: DataFrame, err: str = "error") -> DataFrame:
 
 
 def sequence_windows(df: DataFrame, features: Sequence[str] | None = None, seq_len: int = SEQ_LEN,
-                     key: str = "src_ip", slice_s: int = 3600) -> DataFrame:
+                     key: str = "src_ip", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sliding windows of ``seq_len`` flows per source ordered by start time, step 1;
     label = the last flow's.  Shorter histories give no window; windows cross segments.
 
-    The position of each flow inside its source comes from ``chunked_row_number`` over
-    time slices; each flow is then sent to the ``seq_len`` windows it belongs to and the
-    windows are assembled by a grouped aggregate — no per-source window, so a hot source
-    is spread over many tasks.  Output: (key, end_segment_id, end_seq, label, rows) with
-    ``rows`` = array of ``seq_len`` feature arrays in time order (unscaled).
+    Flows are numbered inside their source (``chunked_row_number`` over chunks by the source's own histogram) and cut
+    into frames of ``chunk_rows`` numbers; a frame also gets the last ``seq_len - 1`` flows before it as a halo.  A
+    window of five rows over a frame then has all it needs, so a hot source is spread over many tasks and every feature
+    row is sent once (the halo apart).  Output: (key, end_segment_id, end_seq, label, rows) with ``rows`` = array of
+    ``seq_len`` feature arrays in time order (unscaled).
     """
     feats = list(features or select_features(df))
     d = drop_null_features(df, feats).where(F.col(key).isNotNull())
     if "start_us" not in d.columns:
         d = d.withColumn("start_us", F.round(F.col("start_time") * F.lit(float(US))).cast("long"))
-    d = d.withColumn("_slice", F.floor(F.col("start_us") / F.lit(slice_s * US)).cast("long"))
-    r = chunked_row_number(d, [key], "_slice", ["start_us", "segment_id", "seq"], "_pos")
-    item = F.struct(F.col("_pos"), F.array(*[F.col(f).cast("double") for f in feats]).alias("x"),
-                    F.col("label"), F.col("segment_id"), F.col("seq"))
-    copies = r.select(key, item.alias("it"),
-                      F.explode(F.sequence(F.col("_pos"), F.col("_pos") + (seq_len - 1))).alias("_w"))
-    g = (copies.groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("it").alias("_its"))
-         .where(F.col("_n") == seq_len))
-    s = g.select(key, F.array_sort("_its").alias("_its"))
-    last = F.element_at("_its", -1)
-    return s.select(key, last["segment_id"].alias("end_segment_id"), last["seq"].alias("end_seq"),
-                    last["label"].alias("label"), F.transform("_its", lambda it: it["x"]).alias("rows"))
+    d = d.select(key, "start_us", "segment_id", "seq", "label", F.array(*[F.col(f).cast("double") for f in feats]).alias("x"))
+    r = chunked_row_number(count_chunks(d, [key], "start_us", "_slice", chunk_rows), [key], "_slice",
+                           ["start_us", "segment_id", "seq"], "_pos")
+    frame = F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)).cast("long")
+    halo = F.floor((F.col("_pos") + F.lit(seq_len - 2)) / F.lit(chunk_rows)).cast("long")
+    # the halo reaches one frame further at most, as a frame is not shorter than a window
+    framed = r.select("*", F.explode(F.array_distinct(F.array(frame, halo))).alias("_frame"), frame.alias("_own"))
+    w = Window.partitionBy(key, "_frame").orderBy("_pos").rowsBetween(-(seq_len - 1), Window.currentRow)
+    return (framed.select(key, "_own", "_frame", "_pos", "segment_id", "seq", "label", F.collect_list("x").over(w).alias("rows"))
+            .where((F.col("_own") == F.col("_frame")) & (F.col("_pos") >= seq_len))
+            .select(key, F.col("segment_id").alias("end_segment_id"), F.col("seq").alias("end_seq"), "label", "rows"))
 
 
 # ------------------------------------------------------------------------------ models
@@ -294,8 +292,3 @@ def load_model(path: str) -> PipelineModel | None:
     """Load a saved pipeline if it exists."""
     from pyspark.sql import SparkSession
     return PipelineModel.load(path) if path_exists(SparkSession.active(), path) else None
-
-
-def model_paths(outdir: str) -> dict:
-    return {"random_forest": os.path.join(outdir, "random_forest"), "lstm": os.path.join(outdir, "sequence_mlp"),
-            "threshold": os.path.join(outdir, "anomaly_threshold")}

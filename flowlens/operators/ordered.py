@@ -32,20 +32,30 @@ def chunked_row_number(df: DataFrame, part: Sequence[str], chunk: str, order: Se
             .drop("_rn_local", "_off"))
 
 
-def quantile_buckets(df: DataFrame, col: str, part: Sequence[str] = (), buckets: int = 64,
-                     accuracy: int = 10_000) -> DataFrame:
-    """Add ``_qb``: index of the approximate quantile range of ``col`` (per ``part``).
+#: Rows of one key that one task orders, and the time slots in which they are counted.
+CHUNK_ROWS = 1 << 20
+SLOTS = 1 << 16
 
-    The bounds are one small array per key (``buckets`` values), broadcast-joined back;
-    ``_qb`` is monotone in ``col`` within a key.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*part).agg(F.percentile_approx(col, probs, accuracy).alias("_bounds")) if part \
-        else df.agg(F.percentile_approx(col, probs, accuracy).alias("_bounds"))
-    x = F.col(col)
-    j = df.join(F.broadcast(bounds), list(part), "inner") if part else df.crossJoin(F.broadcast(bounds))
-    return (j.withColumn("_qb", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < x)))
-            .drop("_bounds"))
+
+def count_chunks(df: DataFrame, part: Sequence[str], time: str, out: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out``: chunks of each key, monotone in ``time`` (an integer column), of about ``rows`` rows each.
+
+    The rows of every (key, time slot) are counted (a histogram of at most ``SLOTS`` slots a key); a slot belongs to the
+    chunk that the rows of the key's earlier slots have filled.  A chunk exceeds ``rows`` by at most one slot.  ``df`` is
+    read twice or more, so it should be stored."""
+    part = list(part)
+    ends = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if ends["lo"] is None or ends["n"] <= rows:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    width = (ends["hi"] - ends["lo"]) // SLOTS + 1
+    slot = F.coalesce(F.floor((F.col(time) - F.lit(ends["lo"])) / F.lit(width)), F.lit(-1)).cast("long")
+    d = df.withColumn("_slot", slot)
+    counts = d.groupBy(*part, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).cast("long")
+    chunks = counts.select(*[F.col(c).alias(f"_r_{c}") for c in part], F.col("_slot").alias("_r_slot"), chunk.alias(out))
+    on = [d[c].eqNullSafe(F.col(f"_r_{c}")) for c in part] + [d["_slot"] == F.col("_r_slot")]
+    return d.join(chunks, on).drop("_slot", "_r_slot", *[f"_r_{c}" for c in part])
 
 
 def running_sums(df: DataFrame, part: Sequence[str], chunk: str, order: Sequence[str | Column],

@@ -13,20 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import anomaly_score, is_attack, proto_name, tod_from_seconds, utc_timestamp
-from ..operators.ordered import chunked_lag, idiv
+from ..functions.exprs import (anomaly_score, fixed_text, format_bytes, fround, is_attack, label_display, proto_name,
+                               tod_from_seconds, utc_timestamp)
+from ..operators.ordered import CHUNK_ROWS, chunked_lag, count_chunks, idiv
 from ..schemas import (PAGE_DEFAULT, PAGE_MAX, TIMELINE_EMPTY_ROWS, TIMELINE_MAX_BINS,
                        TIMELINE_MIN_BINS, US)
 
-# Time slice (seconds) used to split a hot source when ordering its flows.
-STATUS_SLICE_S = 3600
-
-
-def fround(c: Column, digits: int) -> Column:
-    """``floor(x * 10^d + 0.5) / 10^d`` (same IEEE steps in every engine)."""
-    scale = float(10 ** digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
-
 
 def prepare(flows: DataFrame) -> DataFrame:
     """What the API does on load: numeric proto -> name (P4), start timestamp (P5),
@@ -240,15 +232,16 @@ def timeline(flows: DataFrame, now_s: float | None = None) -> DataFrame:
 
 def status_changes(df: DataFrame, key: str = "src_ip", status: str = "label",
                    order: tuple[str, ...] = ("start_us", "segment_id", "seq"),
-                   slice_s: int = STATUS_SLICE_S) -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows whose status differs from the previous row of the same key.
 
-    The ordering is cut into ``slice_s`` time slices so a hot key is spread over many
-    tasks (``chunked_lag``).  Returns the rows with ``prev_status``.
+    A key's rows are ordered in chunks of about ``chunk_rows`` rows, cut by the key's own
+    histogram over time, so a hot key is spread over many tasks (``chunked_lag`` carries
+    the last status from chunk to chunk).  Returns the rows with ``prev_status``.
     """
     d = prepare(df) if "start_us" not in df.columns else df
-    d = d.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_s * US)).cast("long"))
-    lagged = chunked_lag(d.where(F.col(key).isNotNull()), [key], "_slice", list(order), status, "prev_status")
+    d = count_chunks(d.where(F.col(key).isNotNull()), [key], order[0], "_slice", chunk_rows)
+    lagged = chunked_lag(d, [key], "_slice", list(order), status, "prev_status")
     return lagged.where(F.col("prev_status").isNotNull() & ~F.col(status).eqNullSafe(F.col("prev_status"))) \
         .drop("_slice")
 
@@ -294,3 +287,30 @@ def models(evaluation: DataFrame) -> DataFrame:
 def empty_flows(spark: SparkSession) -> DataFrame:
     from ..schemas import LABELED_FLOWS
     return spark.createDataFrame([], LABELED_FLOWS)
+
+
+def flow_display(prepared: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The display row of each prepared flow (after ``keep``): attack flag, label with its first underscore as a
+    space, label class in lower case, numbers as texts of 1 / 0 / 1 / 2 decimals."""
+    return prepared.select(
+        *keep, is_attack("label").alias("attack_row"), "src_ip", "src_port", "dst_ip", "dst_port", "proto", "total_packets",
+        format_bytes("total_bytes").alias("bytes_text"), fixed_text("pkts_per_sec", 1).alias("pkts_per_sec"),
+        fixed_text("bytes_per_sec", 0).alias("bytes_per_sec"), F.concat(fixed_text("duration", 1), F.lit("s")).alias("duration"),
+        fixed_text("dst_ip_entropy", 2).alias("dst_ip_entropy"), label_display("label").alias("label_text"),
+        F.regexp_replace(F.lower("label"), " ", "_").alias("label_class"))
+
+
+def _page_order(page: DataFrame, column: str, descending: bool) -> list[Column]:
+    key = F.lower(column) if dict(page.dtypes)[column] == "string" else F.col(column)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("segment_id"), F.col("seq")]
+
+
+def sort_rows(page: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """O2: rows by any column, strings without regard to case, nulls last, ties by (segment_id, seq)."""
+    return page.orderBy(*_page_order(page, column, descending))
+
+
+def numbered(page: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """The rows of one page (at most 500) with their place ``pos`` in ``sort_rows`` order."""
+    place = F.row_number().over(Window.orderBy(*_page_order(page, column, descending)))
+    return page.withColumn("pos", place.cast("int"))

@@ -63,11 +63,6 @@ def r6(expr: str, alias: str | None = None) -> str:
     return O.r6(expr, alias)
 
 
-def fmt_fixed(c, digits: int):
-    """JS ``toFixed``-style text: round half up, then print ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", fround(c, digits))
-
-
 def fmt_fixed_sql(expr: str, digits: int) -> str:
     s = f"{10 ** digits}.0"
     return f"printf('%.{digits}f', floor(({expr}) * {s} + 0.5) / {s})"
@@ -373,21 +368,14 @@ def _bytes_sql(c: str) -> str:
             f"else {fmt_fixed_sql(f'{c} / 1048576.0', 1)} || 'MB' end")
 
 
-def _bytes_spark(c):
-    x = F.col(c)
-    return (F.when(x < 1024, F.concat(x.cast("string"), F.lit("B")))
-            .when(x < 1048576, F.concat(F.floor(x / F.lit(1024.0) + F.lit(0.5)).cast("long").cast("string"), F.lit("KB")))
-            .otherwise(F.concat(fmt_fixed(x / F.lit(1048576.0), 1), F.lit("MB"))))
-
-
 @register("format_bytes", sql(*LAB, body=f"""
 select segment_id, seq, total_bytes, {_bytes_sql('total_bytes')} as bytes_text,
        {_bytes_sql('total_bytes * 4096')} as bytes_text_scaled
 from labeled"""))
 def q_format_bytes(spark, d):
     lab = labeled_of(spark, d).withColumn("_b4", F.col("total_bytes") * 4096)
-    return lab.select("segment_id", "seq", "total_bytes", _bytes_spark("total_bytes").alias("bytes_text"),
-                      _bytes_spark("_b4").alias("bytes_text_scaled"))
+    return lab.select("segment_id", "seq", "total_bytes", X.format_bytes("total_bytes").alias("bytes_text"),
+                      X.format_bytes("_b4").alias("bytes_text_scaled"))
 
 
 @register("flow_display", sql(*LAB, body=f"""
@@ -398,15 +386,7 @@ select segment_id, seq, label is distinct from 'NORMAL' as attack_row, src_ip, s
        regexp_replace(label, '^([^_]*)_', '\\1 ') as label_text, replace(lower(label), ' ', '_') as label_class
 from prep"""))
 def q_flow_display(spark, d):
-    p = prepared_of(spark, d)
-    return p.select("segment_id", "seq", X.is_attack("label").alias("attack_row"), "src_ip", "src_port", "dst_ip",
-                    "dst_port", "proto", "total_packets", _bytes_spark("total_bytes").alias("bytes_text"),
-                    fmt_fixed(F.col("pkts_per_sec"), 1).alias("pkts_per_sec"),
-                    fmt_fixed(F.col("bytes_per_sec"), 0).alias("bytes_per_sec"),
-                    F.concat(fmt_fixed(F.col("duration"), 1), F.lit("s")).alias("duration"),
-                    fmt_fixed(F.col("dst_ip_entropy"), 2).alias("dst_ip_entropy"),
-                    X.label_display("label").alias("label_text"),
-                    F.regexp_replace(F.lower("label"), " ", "_").alias("label_class"))
+    return DB.flow_display(prepared_of(spark, d), keep=("segment_id", "seq"))
 
 
 # ================================================================== KPIs
@@ -502,10 +482,8 @@ select segment_id, seq, proto_name as proto,
 from (select * from prep order by total_packets desc nulls last, segment_id, seq limit 200)"""))
 def q_sort_rows_ci(spark, d):
     """O2: the client's case-insensitive re-sort of one page (<= 500 rows, bounded)."""
-    from pyspark.sql import Window
     page = DB.flows_page(labeled_of(spark, d))
-    w = Window.orderBy(F.lower("proto"), "segment_id", "seq")
-    return page.select("segment_id", "seq", "proto", F.row_number().over(w).cast("int").alias("pos"))
+    return DB.numbered(page, "proto").select("segment_id", "seq", "proto", "pos")
 
 
 @register("sort_by_start", sql(*LAB, body=f"select segment_id, seq, {r6('start_time')} from labeled"))
@@ -584,7 +562,8 @@ feed as (select * from change_ev union all select * from attack_ev)"""
 
 @register("status_changes", sql(*LAB, _CHANGES, body="select src_ip, segment_id, seq, prev_status, label from changes"))
 def q_status_changes(spark, d):
-    return DB.status_changes(labeled_of(spark, d)).select("src_ip", "segment_id", "seq", "prev_status", "label")
+    # chunks of a few rows, so that the status is carried over many chunks of each source
+    return DB.status_changes(labeled_of(spark, d), chunk_rows=32).select("src_ip", "segment_id", "seq", "prev_status", "label")
 
 
 def _feed_sql(limit: int) -> str:

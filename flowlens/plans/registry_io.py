@@ -25,9 +25,10 @@ from ..sources import files as FS
 from ..sources import pcap as PC
 from ..sources import sinks as SK
 from ..streaming import live as LV
+from . import bundle as BU
 from . import dashboard as DB
 from . import pipeline as PL
-from .registry import (_EVAL, FLOW_CHAIN, LAB, LOGD, _CHANGES, class_preds, evaluation_of, flow_preds, labeled_of, packets_of, register, round_doubles, sql,
+from .registry import (_EVAL, _SPLIT, _STATS, FLOW_CHAIN, LAB, LOGD, _CHANGES, class_preds, evaluation_of, flow_preds, labeled_of, packets_of, register, round_doubles, sql,
                        flows_of, fixture_intervals)
 
 FLOW_NO_SEQ = [c for c in FLOW_COLUMNS if c != "seq"]
@@ -153,14 +154,8 @@ def q_relabel_on_change(spark, d):
     return spark.read.parquet(lab_path).select("segment_id", "seq", "label")
 
 
-_SPLIT_SQL = """
-sp as (
-  select *, case when rn <= (n * 20 + 99) // 100 then 'test' else 'train' end as split
-  from (select *, row_number() over (partition by label order by md5(concat_ws('|', segment_id, seq, '42'))) as rn,
-               count(*) over (partition by label) as n from labeled))"""
 
-
-@register("sink_holdout", sql(*LAB, _SPLIT_SQL, body=f"""
+@register("sink_holdout", sql(*LAB, _SPLIT, body=f"""
 select {O.FLOW_OUT_COLS}, label from sp where split = 'test'"""))
 def q_sink_holdout(spark, d):
     path = scratch(spark, "holdout")
@@ -266,9 +261,42 @@ def q_stream_label(spark, d):
     return spark.read.parquet(out).select("segment_id", "seq", "label")
 
 
+@register("live_loop", sql(*LAB, body="""
+select segment_id, src_ip, src_port, dst_ip, dst_port, proto, total_packets, label, cast(2 as bigint) as evaluations
+from labeled"""))
+def q_live_loop(spark, d):
+    """T1 + T4 + T5 composed: all segments come in two runs of the loop, the attack log grows before the second, and every
+    40 segments models are trained, published and evaluated; flows and labels are those of the batch."""
+    from ..streaming import loop as LP
+    seg, root, ck = _segments(spark, d), scratch(spark, "loop"), scratch(spark, "loop-ck")
+    log, arrived = os.path.join(root, "attack_log"), os.path.join(root, "segments")
+    os.makedirs(arrived)
+    files = PC.list_segments(seg)
+    for run in range(2):
+        lines = AD.attack_log_fixture(spark)
+        lines = lines.where(F.col("line_no") <= 11) if run == 0 else lines
+        lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(log)
+        for f in files[run * len(files) // 2:(run + 1) * len(files) // 2]:
+            os.link(f, os.path.join(arrived, os.path.basename(f)))
+            os.utime(f, (0, time.time() - 60))
+        LP.live_loop(spark, arrived, log, root, ck, every=40, trigger={"availableNow": True}, rf_trees=5, rf_depth=5,
+                     seq_iter=5).awaitTermination()
+    n = spark.read.parquet(f"{root}/evaluation").agg(F.count_distinct("batch").alias("evaluations"))
+    return spark.read.parquet(f"{root}/labeled").crossJoin(F.broadcast(n)).select(
+        "segment_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "total_packets", "label", "evaluations")
+
+
 # ------------------------------------------------------------------ models
-def _trained(spark, d, **kw):
-    return PL.train_models(labeled_of(spark, d), **kw)
+def _bundle(spark, d, **train):
+    """Labelled table, a training run over it, and the bundle read back after publishing it."""
+    lab = labeled_of(spark, d)
+    res = PL.train_models(lab, **train)
+    root = scratch(spark, "models")
+    return lab, res, BU.load_bundle(spark, root, BU.save_bundle(spark, res, root))
+
+
+#: Smaller models for the queries that are about storing and loading them.
+_SMALL = {"rf_trees": 20, "rf_depth": 10, "seq_iter": 20}
 
 
 @register("random_forest")
@@ -316,48 +344,46 @@ def q_anomaly_model(spark, d):
 
 @register("predict_table")
 def q_predict_table(spark, d):
-    """M6: batch scoring of the holdout with the anomaly model (score + 0/1 prediction)."""
-    return q_anomaly_model(spark, d).select("segment_id", "seq", F.col("error").alias("score"),
-                                            F.col("flag").alias("prediction"))
+    """M6: the stored holdout scored by the stored forest (class and probabilities as text)."""
+    _, _, b = _bundle(spark, d, **_SMALL)
+    p = F.transform("probability", lambda x: F.format_string("%.6f", x))
+    return BU.score_forest(b, b.holdout).select("segment_id", "seq", "label", "prediction",
+                                                F.array_join(p, ",").alias("probability"))
 
 
 @register("evaluate_models")
 def q_evaluate_models(spark, d):
-    """M7: train all three models, one evaluation row each (matrix as text)."""
+    """M7: all three models trained, published and loaded; an evaluation row each from the bundle alone (matrix as text)."""
     from ..operators.metrics import matrix_text
-    ev = PL.evaluate(_trained(spark, d))
-    return ev.select("model", "f1_score", "roc_auc", "false_positive_rate", matrix_text().alias("confusion_matrix"))
+    lab, _, b = _bundle(spark, d)
+    return BU.evaluate_bundle(b, lab).select("model", "f1_score", "roc_auc", "false_positive_rate",
+                                             matrix_text().alias("confusion_matrix"))
 
 
-@register("sink_models")
+@register("sink_models", sql(*LAB, _SPLIT, _STATS, body=f"""
+select cast(idx as integer) as idx, feature, {O.r6('mean')}, {O.r6('std')}, {O.r6('scale')}, true as threshold_kept,
+       'autoencoder,lstm,random_forest' as models from stats"""))
 def q_sink_models(spark, d):
-    """K5: threshold JSON and a Spark ML model written; returns the written threshold."""
-    model, thr, _ = _anomaly(spark, d)
-    path = scratch(spark, "models")
-    ML.save_threshold(spark, os.path.join(path, "anomaly_threshold"), thr)
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    pm = Pipeline(stages=[VectorAssembler(inputCols=model["features"], outputCol="features")]).fit(
-        thr.limit(0).crossJoin(spark.range(1)).select(*[F.lit(0.0).alias(f) for f in model["features"]]))
-    ML.save_model(pm, os.path.join(path, "assembler"))
-    model["pca"].write().overwrite().save(os.path.join(path, "pca"))
-    return spark.read.json(os.path.join(path, "anomaly_threshold"))
-
-
-@register("load_models")
+    """K5: everything trained is published; the scaler's statistics as stored, the models' names and the threshold."""
+    _, res, b = _bundle(spark, d, **_SMALL)
+    return round_doubles(b.stats.select(F.col("idx").cast("int").alias("idx"), "feature", "mean", "std", "scale")).select(
+        "*", F.lit(b.threshold == res.threshold).alias("threshold_kept"), F.lit(",".join(sorted(b.models))).alias("models"))
+
+
+@register("load_models", sql(*LAB, _SPLIT, body="""
+select segment_id, seq, label, true as same_class, true as same_flag from sp where split = 'test'"""))
 def q_load_models(spark, d):
-    """Models and threshold read back (missing ones give None / no row)."""
-    from pyspark.ml.feature import PCAModel
-    model, thr, test = _anomaly(spark, d)
-    path = scratch(spark, "models")
-    model["pca"].write().overwrite().save(os.path.join(path, "pca"))
-    ML.save_threshold(spark, os.path.join(path, "anomaly_threshold"), thr)
-    loaded = dict(model, pca=PCAModel.load(os.path.join(path, "pca")))
-    t = ML.load_threshold(spark, os.path.join(path, "anomaly_threshold"))
-    missing = ML.load_model(os.path.join(path, "random_forest"))
-    e = ML.anomaly_errors(loaded, test)
-    return e.select("segment_id", "seq", (F.col("error") > F.lit(t)).cast("int").alias("flag"),
-                    F.lit(missing is None).alias("rf_missing"))
+    """The loaded models score the stored holdout as the models in memory did, row by row."""
+    _, res, b = _bundle(spark, d, **_SMALL)
+    key = ["segment_id", "seq"]
+    classes = BU.score_forest(b, b.holdout).join(res.predictions["random_forest"].select(
+        *key, F.col("prediction").alias("p"), F.col("probability").alias("q")), key)
+    flags = BU.score_anomalies(b, b.holdout).join(res.predictions["autoencoder"].select(
+        *key, F.col("yhat").alias("f"), F.col("score").alias("s")), key)
+    near = F.forall(F.zip_with("probability", "q", lambda x, y: F.abs(x - y) < 1e-12), lambda x: x)
+    return classes.select(*key, "label", ((F.col("prediction") == F.col("p")) & near).alias("same_class")).join(
+        flags.select(*key, ((F.col("yhat") == F.col("f")) & (F.abs(F.col("score") - F.col("s")) < 1e-9)).alias("same_flag")),
+        key)
 
 
 def _eval_written(spark, d):

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import cover
 from ..operators import flows as FL
 from ..operators import labels as LB
 from ..operators.ordered import chunked_row_number
@@ -148,11 +149,14 @@ def relabel_on_change(spark: SparkSession, flows_path: str, out_path: str, old_i
     if old_iv is None:
         todo = flows
     else:
-        # each segment's time range against the changed intervals: one row for each segment on that side
-        span = flows.groupBy("segment_id").agg(
+        # each segment's time range against the changed intervals: the segments whose range some interval overlaps
+        span = cut_lineage(flows.groupBy("segment_id").agg(
             F.round(F.min("start_time") * F.lit(float(US))).cast("long").alias("lo"),
-            F.round(F.max("end_time") * F.lit(float(US))).cast("long").alias("hi"))
-        touched = span.join(changed, (F.col("lo") <= F.col("end_us")) & (F.col("hi") >= F.col("start_us")), "left_semi")
+            F.round(F.max("end_time") * F.lit(float(US))).cast("long").alias("hi")))
+        size = cover.measure(changed)
+        touched = span.limit(0) if not size.n else cover.first_match(
+            span.select(F.col("segment_id").alias("flow"), F.col("lo").alias("t0"), F.col("hi").alias("t1")), changed, size
+        ).select(F.col("flow").alias("segment_id"))
         segs = touched.select("segment_id")
         if path_exists(spark, out_path):
             done = spark.read.parquet(out_path).select("segment_id").distinct()

@@ -39,7 +39,7 @@ def test_auc_equals_pair_count(spark, seed):
     rows = [("m", rnd.random() < 0.3, round(rnd.random(), 2)) for _ in range(600)]
     ys, ss = [int(a) for _, a, _ in rows], [c for _, _, c in rows]
     p = spark.createDataFrame([(m, int(a), c) for m, a, c in rows], "model string, y int, score double")
-    assert MT.roc_auc(p, buckets=8).first().roc_auc == pytest.approx(_brute_auc(ys, ss), abs=1e-12)
+    assert MT.roc_auc(p, range_scores=9).first().roc_auc == pytest.approx(_brute_auc(ys, ss), abs=1e-12)
 
 
 def test_ovr_auc_macro(spark):

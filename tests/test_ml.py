@@ -46,6 +46,9 @@ def test_sequence_windows_equal_naive(labeled):
         n = number[r.src_ip] = number.get(r.src_ip, -1) + 1
         place[r.src_ip, n] = r
     win = {(r.src_ip, r.end_segment_id, r.end_seq): r for r in ML.sequence_windows(labeled).collect()}
+    for rows in (5, 7, 40):  # frames of few rows: windows reach over their edges
+        again = {(r.src_ip, r.end_segment_id, r.end_seq): r for r in ML.sequence_windows(labeled, chunk_rows=rows).collect()}
+        assert again == win
     assert len(win) == sum(n >= 4 for _, n in place)
     for (src, n), last in place.items():
         if n >= 4:
