@@ -51,6 +51,21 @@ def test_word_bpe_equals_the_library(vocab, docs001):
         wordbpe.SHORT = short
 
 
+def test_word_bpe_equals_the_library_for_every_character(vocab):
+    """Alone, and next to letters, digits, signs, marks and spaces (every fifth character beyond the first 0x3100)."""
+    path = vocab("word_bpe_49k.json")
+    tok, m = tokenizers.Tokenizer.from_file(path), wordbpe.WordBpe(path)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [c for c in every if ord(c) < 0x3100 or ord(c) % 5 == 0 and ord(c) < 0x20000 or wordbpe._OTHER.search(c) is None]
+    forms = (lambda c: c, lambda c: f"a{c}b", lambda c: f"!{c}1", lambda c: f"{c}\u0323\u0301", lambda c: f"é{c} {c}S\u033c{c}")
+    texts = [f(c) for f in forms for c in some[:: 1 if f is forms[0] else 2]]
+    for s in range(0, len(texts), 20_000):
+        part = texts[s:s + 20_000]
+        want = tok.encode_batch(part, add_special_tokens=False)
+        for t, w, (_, n, ids, _) in zip(part, want, m.rows(part), strict=True):
+            assert ids == " ".join(map(str, w.ids)), ascii(t)
+
+
 def test_word_bpe_frames(spark, vocab, odd_docs, no_docs):
     path = vocab("word_bpe_49k.json")
     tok = tokenizers.Tokenizer.from_file(path)
