@@ -21,6 +21,7 @@ text columns alone (``redact`` keeps all columns).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +50,37 @@ def limits(thresholds: dict[str, float] = THRESHOLDS) -> dict[str, int]:
     return {k: math.floor((math.log2(WINDOW) - t) * WINDOW * 1_000_000) for k, t in thresholds.items()}
 
 
-_SPAN = "struct<s:int,k:int,e:int>"
+FOLD = 256     # spans that one fold joins
+BLOCK = 4096   # characters of a block that cuts are looked up in
 _FOUND = "struct<s:int,k:int,e:int,t:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda a plain expression would be worked out each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fold(items: Column, state: dict[str, Column], kind: str,
+          step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]]) -> Column:
+    """Fold an array into struct(state..., out): ``step`` gives the new state, whether to add something to ``out``, and
+    what.  The fold goes over slices of FOLD items, so what one step copies does not grow with the array."""
+    def inner(acc: Column, x: Column) -> Column:
+        new, add, value = step(acc, x)
+        return F.struct(*[new[c].alias(c) for c in state],
+                        F.when(add, F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        begin = F.struct(*[acc[c].alias(c) for c in state], _empty(kind).alias("out"))
+        return _let(F.aggregate(part, begin, inner), lambda got: F.struct(
+            *[got[c].alias(c) for c in state], F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+    parts = _let(items, lambda f: F.transform(F.sequence(F.lit(0), F.greatest(((F.size(f) - 1) / FOLD).cast("int"), F.lit(0))),
+                                              lambda i: F.slice(f, i * FOLD + 1, FOLD)))
+    begin = F.struct(*[v.alias(c) for c, v in state.items()], F.array(_empty(kind)).alias("out"))
+    return F.aggregate(parts, begin, outer, lambda acc: F.struct(*[acc[c].alias(c) for c in state],
+                                                                 F.flatten(acc["out"]).alias("out")))
+
+
 def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -64,16 +92,13 @@ def _matches(text: Column, pattern: str, group: int, least: int, kind: int) -> C
     zipped = F.arrays_zip(F.split(text, pattern), F.regexp_extract_all(text, p, F.lit(0)),
                           F.regexp_extract_all(text, p, F.lit(group)))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, Column]:
         start = acc["at"] + F.length(x["0"])
         end = start + F.coalesce(F.length(x["1"]), F.lit(0))
-        hit = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["1"].alias("t")))
-        return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(acc["out"], hit))
-                        .otherwise(acc["out"]).alias("out"))
+        return ({"at": end}, F.coalesce(F.length(x["2"]) >= least, F.lit(False)),
+                F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["1"].alias("t")))
 
-    start = F.struct(F.lit(0).alias("at"), _empty(_FOUND).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(
-        _empty(_FOUND))
+    return F.when(text.rlike(pattern), _fold(zipped, {"at": F.lit(0)}, _FOUND, step)["out"]).otherwise(_empty(_FOUND))
 
 
 def _hot(candidate: Column, limit: Column) -> Column:
@@ -83,7 +108,7 @@ def _hot(candidate: Column, limit: Column) -> Column:
     start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"),
                      F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
 
-    def step(acc: Column, code: Column) -> Column:
+    def step(codes: Column, limit: Column, acc: Column, code: Column) -> Column:
         i = acc["i"]
         out = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
         n_in, n_out = F.get(acc["n"], code - 1), F.when(out > 0, F.get(acc["n"], out - 1)).otherwise(F.lit(0))
@@ -97,7 +122,8 @@ def _hot(candidate: Column, limit: Column) -> Column:
                         F.when(hot & (acc["a"] < 0), i - (WINDOW - 1)).otherwise(acc["a"]).alias("a"),
                         F.when(hot, i + 1).otherwise(acc["b"]).alias("b"))
 
-    return F.aggregate(codes, start, step, lambda acc: F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
+    return _let(codes, lambda cs: _let(limit, lambda lim: F.aggregate(
+        cs, start, lambda acc, code: step(cs, lim, acc, code), lambda acc: F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
 
 
 def _allowed(t: Column) -> Column:
@@ -156,6 +182,36 @@ def digest(scanned: DataFrame) -> DataFrame:
                           joined(F.array_sort(F.concat("base", "entropy"))).alias("spans"))
 
 
+def _runs(found: Column) -> Column:
+    """Maximal runs (s, e) of ordered spans that overlap or touch."""
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, Column]:
+        new = x["s"] > acc["e"]
+        return ({"s": F.when(new, x["s"]).otherwise(acc["s"]), "e": F.greatest(acc["e"], x["e"])},
+                new & (acc["e"] >= 0), F.struct(acc["s"].alias("s"), acc["e"].alias("e")))
+
+    done = _fold(found, {"s": F.lit(-1), "e": F.lit(-1)}, "struct<s:int,e:int>", step)
+    return _let(done, lambda d: F.concat(d["out"], F.array(F.struct(d["s"].alias("s"), d["e"].alias("e")))))
+
+
+def _without(text: Column, runs: Column, mark: str) -> Column:
+    """The text with each run replaced by the mark.  Positions are looked up in blocks of BLOCK characters, so a cut
+    does not count from the text's beginning."""
+    def cut(blocks: Column, begin: Column, end: Column) -> Column:
+        inside = F.sequence((begin / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int"))
+        own = F.transform(inside, lambda j: F.substring(F.get(blocks, j), F.greatest(begin - j * BLOCK, F.lit(0)) + 1,
+                                                        F.least(end, (j + 1) * BLOCK) - F.greatest(begin, j * BLOCK)))
+        return F.when(end > begin, F.array_join(own, "")).otherwise("")
+
+    def kept(blocks: Column, runs: Column) -> Column:
+        n = F.size(runs)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: cut(
+            blocks, F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["e"]),
+            F.when(i == n, F.length(text)).otherwise(F.get(runs, i)["s"]))), mark)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _let(blocks, lambda b: _let(runs, lambda r: kept(b, r)))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
            thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """All columns of ``docs``, each maximal run of overlapping or touching spans in the text replaced by ``mark``."""
@@ -164,21 +220,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
     name = "_spans"
     while name in docs.columns:
         name += "_"
-    found = F.array_sort(F.concat(base, extra))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] > acc["end"]
-        return F.struct(F.when(new, F.concat(acc["out"], F.substring(text, acc["end"] + 1, x["s"] - acc["end"]), F.lit(mark)))
-                        .otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["end"], x["e"]).alias("end"))
-
-    # a span at the very start has nothing before it, so the first mark is put there when it begins at 0
-    begin = F.struct(F.when(F.get(F.col(name), 0)["s"] == 0, F.lit(mark)).otherwise(F.lit("")).alias("out"),
-                     F.lit(0).alias("end"))
-    done = F.aggregate(F.col(name), begin, step,
-                       lambda acc: F.concat(acc["out"], F.substring(text, acc["end"] + 1, F.length(text))))
-    clean = F.when(F.size(name) > 0, done).otherwise(F.col(text_col))
-    return docs.withColumn(name, found).withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.size(name) > 0, _without(text, _runs(F.col(name)), mark)).otherwise(F.col(text_col))
+    return (docs.withColumn(name, F.array_sort(F.concat(base, extra))).withColumn(text_col, clean).select(*docs.columns))
 
 
 def oracle_sql() -> str:
@@ -186,14 +229,17 @@ def oracle_sql() -> str:
     lim = limits()
     weights = "[" + ",".join(map(str, WEIGHTS)) + "]"
     parts = []
-    for kind, (pattern, group, least) in enumerate((ASSIGN, ACCESS, HEX, (CANDIDATE, 0, WINDOW))):
+    for kind, (pattern, group, least) in enumerate((ASSIGN, (_ACCESS_LONG, *ACCESS[1:]), (_HEX_LONG, *HEX[1:]),
+                                                    (CANDIDATE, 0, WINDOW))):
         p = pattern.replace("'", "''")
         parts.append(f"""
-  SELECT rid, {kind} AS k, list_sum(list_transform(parts[:i], lambda x: length(x)))::BIGINT
-         + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0)::BIGINT AS s, whole[i] AS t
-  FROM (SELECT rid, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}', 0) AS whole,
-               regexp_extract_all(text, '{p}', {group}) AS g, unnest(generate_series(1, len(whole))) AS i
-        FROM d WHERE regexp_matches(text, '{p}')) WHERE length(g[i]) >= {least}""")
+  SELECT rid, k, s, t FROM (
+    SELECT rid, {kind} AS k, t, g, (sum(length(part)) OVER w + sum(length(t)) OVER w - length(t))::BIGINT AS s
+    FROM (SELECT rid, unnest(generate_series(1, len(whole))) AS i, unnest(parts[:len(whole)]) AS part,
+                 unnest(whole) AS t, unnest(g) AS g
+          FROM (SELECT rid, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}', 0) AS whole,
+                       regexp_extract_all(text, '{p}', {group}) AS g FROM d WHERE regexp_matches(text, '{p}')))
+    WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE length(g) >= {least}""")
     words = " OR ".join(f"contains(lower(t), '{w}')" for w in ALLOWED_WORDS)
     names = "['" + "','".join(KINDS) + "']"
     return f"""
