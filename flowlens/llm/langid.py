@@ -9,14 +9,14 @@ bits are further from the codeword than the code can correct.
 Up to ``EXHAUSTIVE`` languages the code has every split of the languages into two non-empty sides; beyond that a
 random dense code (fixed seed) with the largest minimum distance of ``CODE_TRIES`` drawn.
 
-Defined cases: text that is null or has no letter -> ``und`` with score 0; no labelled row at all -> everything
+Defined cases: text that is null or has no letter (Unicode categories L*; digits, fractions and numerals are none) ->
+``und`` with score 0; training rows of one id are rows of their own, each with its own text and language; no labelled row at all -> everything
 ``und``; one language -> that language with score 1; a language seen once still gets a codeword; equal losses go to
 the language first in alphabetical order; repeated rows give repeated results; an empty table an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,6 @@ DIM = 1 << 13
 EXHAUSTIVE = 6
 CODE_TRIES = 200
 AMBIGUOUS_MARGIN = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean"
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                   ("ambiguous", pa.bool_())])
@@ -81,9 +80,9 @@ def features(text: str) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("x", pa.binary())])
-    for ids, texts in text_slices(batches):
-        yield batch(schema, ids, [features(t or "").tobytes() for t in texts])
+    schema = pa.schema([("row", pa.struct([("id", pa.int64()), ("lang", pa.string())])), ("x", pa.binary())])
+    for rows, texts in text_slices(batches):
+        yield batch(schema, rows, [features(t or "").tobytes() for t in texts])
 
 
 def fit(docs: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id",
@@ -108,14 +107,12 @@ def fit(docs: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col:
     from pyspark.sql import Window
     picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(
         F.col("r") <= max_rows)
-    lang_of = {}
-    for r in picked.select("id", "lang").collect():  # at most max_rows for each language
-        lang_of.setdefault(r["id"], r["lang"])
-    got = sorted((r["id"], bytes(r["x"])) for r in
-                 picked.select("id", "text").mapInArrow(_featured, "id long, x binary").collect())
-    got = [g for i, g in enumerate(got) if i == 0 or got[i - 1][0] != g[0]]
-    x = np.vstack([np.frombuffer(g[1], np.float32) for g in got])
-    y = np.array([langs.index(lang_of[g[0]]) for g in got])
+    # at most max_rows rows for each language
+    got = picked.select(F.struct("id", "lang").alias("row"), "text").mapInArrow(
+        _featured, "row struct<id:long,lang:string>, x binary").collect()
+    got = sorted({(r["row"]["id"] is None, r["row"]["id"] or 0, r["row"]["lang"], bytes(r["x"])) for r in got})
+    x = np.vstack([np.frombuffer(g[3], np.float32) for g in got])
+    y = np.array([langs.index(g[2]) for g in got])
     target = (code[y] + 1) / 2
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[~held])) < len(langs):
@@ -144,7 +141,7 @@ def decode(m: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def judge(m: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and ambiguity of each text."""
-    known = [m is not None and t is not None and _LETTER.search(t) is not None for t in texts]
+    known = [m is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
     lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
     at = np.flatnonzero(known)
     for part in np.array_split(at, max(1, len(at) // 256)) if len(at) else []:
@@ -170,18 +167,19 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
 
 
 def accepted(docs: DataFrame, model: LanguageModel | None, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text has a language with at least ``least_score``; nothing shuffles."""
+    """The rows of ``docs`` (all columns) whose text has a language with at least ``least_score``; only the text goes
+    through Python, and nothing shuffles."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                lang, score, _ = judge(shared.value, part.column(at).to_pylist())
-                yield part.filter(pa.array((np.array(lang) != "und") & (score >= least_score)))
+    @F.arrow_udf("boolean")
+    def stays(text: pa.Array) -> pa.Array:
+        kept = []
+        for _, texts in text_slices([pa.RecordBatch.from_arrays([text, text], ["id", "text"])]):
+            lang, score, _ = judge(shared.value, texts)
+            kept += [k != "und" and s >= least_score for k, s in zip(lang, score, strict=True)]
+        return pa.array(kept, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col(text_col).cast("string")))
 
 
 __all__ = ["fit", "predict", "accepted", "decode", "codewords", "LanguageModel"]
