@@ -16,6 +16,8 @@ from flowlens.session import checkpoint_dir, cut_lineage
 #: Documents are handled in slices of at most this many bytes of text, so that a Python worker's memory
 #: does not follow the Arrow batch size (a single longer document is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: Row groups of lean scratch tables.
+ROW_GROUP_BYTES = 16 << 20
 
 
 class Numbered(dict):
@@ -61,11 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again: lineage ends there, column
-    pruning and filters reach the files, and a lost executor loses nothing."""
+    pruning and filters reach the files, and a lost executor loses nothing.  ``lean``, for passes that write many
+    tables of texts: small row groups, as a writing task holds one in memory, and a collection of the driver's garbage,
+    because Spark deletes a shuffle's files when the driver drops its handle."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", str(ROW_GROUP_BYTES)) if lean else writer).parquet(path)
+    if lean:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

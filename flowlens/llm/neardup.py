@@ -23,16 +23,15 @@ table gives an empty result; only the id and text columns are read; rows with a
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Numbered, batch, components, map_text, stored, text_slices
+from flowlens.llm.common import Numbered, batch, components, map_text, stored as _stored, text_slices
 
 ROWS = 5             # signature positions of a band
 MISS = 1e-6          # chance to miss a pair right at the threshold in all bands
@@ -41,11 +40,16 @@ BATCH = 20           # signature positions compared at a time
 STAR_ROUNDS = 1
 BLOCK_A, BLOCK_B = 250, 1000   # members of one block comparison
 CELL_ROWS = 3000     # members compared at once, over cells
-PAIRS = 200_000      # pairs tested at once
-KNOWN_SETS = 4000    # shingle sets that a task keeps
+PAIRS = 50_000       # pairs tested at once
+SET_ITEMS = 2 << 20  # shingles that a task keeps, and numbers at once
+CLASS_PARTS = 1 << 22  # hash parts in which classes are numbered
 _A_SEED = 20240229
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return _stored(df, name, lean=True)
+
+
 def n_bands(threshold: float) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - threshold ** ROWS)))
 
@@ -158,6 +162,24 @@ def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return mask
 
 
+class Sets:
+    """Shingle sets of compressed texts by class number; emptied when they hold ``SET_ITEMS`` shingles."""
+
+    def __init__(self, words: int) -> None:
+        import zstandard
+        self.shingler, self.unpress = Shingler(words), zstandard.ZstdDecompressor()
+        self.known, self.held = {}, 0
+
+    def __call__(self, doc: int, z: bytes) -> np.ndarray:
+        if doc not in self.known:
+            found = self.shingler(self.unpress.decompress(z).decode("utf-8", "surrogatepass"))
+            if self.held + len(found) > SET_ITEMS:
+                self.known, self.held = {}, 0
+            self.known[doc] = found
+            self.held += len(found)
+        return self.known[doc]
+
+
 def confirm(pairs: DataFrame, involved: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, by signature first."""
     left = involved.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("z").alias("z_a"))
@@ -165,27 +187,20 @@ def confirm(pairs: DataFrame, involved: DataFrame, words: int, percent: int) ->
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        sets, unpress = Shingler(words), zstandard.ZstdDecompressor()
-
-        def full(z: bytes) -> np.ndarray:
-            return sets(unpress.decompress(z).decode("utf-8", "surrogatepass"))
-
+        full = Sets(words)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
-                r = whole.slice(k, 500).to_pydict()
-                at = np.arange(len(r["a"]))
-                keep = np.flatnonzero(surviving(matrix(r["sig_a"]), matrix(r["sig_b"]), at, at, percent / 100))
-                out, known = [], {}
+                r = whole.slice(k, 500)
+                a, b = r.column("a").to_pylist(), r.column("b").to_pylist()
+                at = np.arange(len(a))
+                keep = np.flatnonzero(surviving(*(matrix(r.column(c).to_pylist()) for c in ("sig_a", "sig_b")), at, at,
+                                                percent / 100))
+                out = []
                 for p in keep.tolist():
-                    a, b = r["a"][p], r["b"][p]
-                    for d, z in ((a, r["z_a"][p]), (b, r["z_b"][p])):
-                        if d not in known:
-                            known[d] = full(z)
-                    x, y = known[a], known[b]
+                    x, y = full(a[p], r.column("z_a")[p].as_py()), full(b[p], r.column("z_b")[p].as_py())
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     if 100 * both >= percent * (len(x) + len(y) - both):
-                        out.append((a, b))
+                        out.append((a[p], b[p]))
                 if out:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
 
@@ -257,15 +272,44 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come one after another, left members first; several are compared at once."""
-        import zstandard
-        sets, unpress, known = Shingler(words), zstandard.ZstdDecompressor(), {}
-
-        def full(doc: int, z: bytes) -> np.ndarray:
-            if doc not in known:
-                if len(known) > KNOWN_SETS:
-                    known.clear()
-                known[doc] = sets(unpress.decompress(z).decode("utf-8", "surrogatepass"))
-            return known[doc]
+        full = Sets(words)
+
+        def intersect(i: np.ndarray, j: np.ndarray, doc: np.ndarray, z: pa.ChunkedArray, comp: np.ndarray,
+                      joined: _Joined) -> Iterator[tuple[int, int]]:
+            """Links among the pairs (i, j), ordered by i, that join two components not joined yet.  The sets of a run
+            of pairs are numbered together; a run ends where they would hold more than SET_ITEMS shingles."""
+            size, s = {}, 0
+            while s < len(i):
+                need, items, e = {}, 0, s
+                while e < len(i):
+                    new = {int(k) for k in (i[e], j[e])} - need.keys()
+                    for k in new:
+                        if k not in size:
+                            size[k] = len(full(int(doc[k]), z[k].as_py()))
+                    items += sum(size[k] for k in new)
+                    if items > SET_ITEMS and e > s:
+                        break
+                    need |= dict.fromkeys(new)
+                    e += 1
+                found = [full(int(doc[k]), z[k].as_py()) for k in need]
+                number = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
+                ends = np.cumsum([len(x) for x in found])
+                place = {k: number[t - len(x):t] for k, x, t in zip(need, found, ends.tolist(), strict=True)}
+                mark, marked = np.zeros(int(number.max()) + 1, dtype=bool), None
+                for k, m in zip(i[s:e].tolist(), j[s:e].tolist(), strict=True):
+                    p, q = joined.find(int(comp[k])), joined.find(int(comp[m]))
+                    if p == q:
+                        continue
+                    if k != marked:
+                        if marked is not None:
+                            mark[place[marked]] = False
+                        mark[place[k]] = True
+                        marked = k
+                    both = int(np.count_nonzero(mark[place[m]]))
+                    if 100 * both >= percent * (size[k] + size[m] - both):
+                        joined[max(p, q)] = min(p, q)
+                        yield k, m
+                s = e
 
         def links(cells: pa.Table) -> pa.RecordBatch:
             bucket, ia, ib, side, band, doc, comp = (cells.column(c).to_numpy() for c in names[:7])
@@ -289,36 +333,19 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
                 i, j = i[ok], j[ok]
                 good = surviving(sig, sig, i, j, threshold)
                 i, j = i[good], j[good]
-                same = (sig[i] == sig[j]).reshape(len(i), sig.shape[1] // ROWS, ROWS).all(2)
-                first = same.argmax(1) == band[i]
-                pairs.append((i[first], j[first]))
+                for x in range(0, len(i), 4096):
+                    u, v = i[x:x + 4096], j[x:x + 4096]
+                    same = (sig[u] == sig[v]).reshape(len(u), sig.shape[1] // ROWS, ROWS).all(2)
+                    first = same.argmax(1) == band[u]
+                    pairs.append((u[first], v[first]))
                 s = e
             i = np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.int64)])
             j = np.concatenate([*(p[1] for p in pairs), np.zeros(0, np.int64)])
+            order = np.argsort(i, kind="stable")
             out_a, out_b = [], []
-            if len(i):
-                need = np.unique(np.concatenate([i, j]))
-                found = [full(int(doc[k]), z[int(k)].as_py()) for k in need]
-                size = np.array([len(x) for x in found])
-                number = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
-                start = np.concatenate([[0], np.cumsum(size)])
-                order = np.argsort(i, kind="stable")
-                i, j = np.searchsorted(need, i[order]), np.searchsorted(need, j[order])
-                mark, joined, marked = np.zeros(int(number.max()) + 1, dtype=bool), _Joined(), -1
-                for k, m in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = joined.find(int(comp[need[k]])), joined.find(int(comp[need[m]]))
-                    if p == q:
-                        continue
-                    if k != marked:
-                        if marked >= 0:
-                            mark[number[start[marked]:start[marked + 1]]] = False
-                        mark[number[start[k]:start[k + 1]]] = True
-                        marked = k
-                    both = int(np.count_nonzero(mark[number[start[m]:start[m + 1]]]))
-                    if 100 * both >= percent * (int(size[k]) + int(size[m]) - both):
-                        joined[max(p, q)] = min(p, q)
-                        out_a.append(doc[need[k]])
-                        out_b.append(doc[need[m]])
+            for k, m in intersect(i[order], j[order], doc, z, comp, _Joined()):
+                out_a.append(doc[k])
+                out_b.append(doc[m])
             return batch(schema, np.array(out_a, np.int64), np.array(out_b, np.int64))
 
         held: list[pa.RecordBatch] = []
@@ -345,31 +372,28 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
             .sortWithinPartitions("bucket", "ia", "ib", "side").mapInArrow(compare, "a long, b long"))
 
 
-def _seed(some: DataFrame) -> int:
-    """The first seed under which no two sets share a number."""
-    sets = some.select("set_id").distinct()
-    for seed in itertools.count():
-        n = sets.agg(F.count("*").alias("sets"), F.count_distinct(_number(seed)).alias("numbers")).first()
-        if n["sets"] == n["numbers"]:
-            return seed
-
+def _classes(some: DataFrame) -> DataFrame:
+    """set_id, rep (smallest id, or null), bands and number of each class: its place among the sets of one hash part,
+    below the part's own number, so numbers are unique without a global order and parts grow with the classes only."""
+    sets = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn(
+        "part", F.pmod(F.xxhash64("set_id"), F.lit(CLASS_PARTS)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("set_id"))
+    return stored(sets.select("set_id", "rep", "bands", (F.shiftleft("part", 40) + place).alias("number")), "classes")
 
-def _number(seed: int) -> Column:
-    return F.xxhash64("set_id", F.lit(seed))
 
-
-def _class_links(some: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes, by their numbers; ``some`` are the sketched rows with a set, ``reps``
-    has set_id, number and rep (smallest id, or null) of each class."""
-    one = reps.select("number", "rep", F.col("set_id").alias("rep_set"))
-    # rows of one id and set may be several; they have the same signature and set
-    own = (some.join(one, some.doc_id.eqNullSafe(F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
-           .select(F.col("number").alias("doc_id"), "bands", "sig", "z"))
-    buckets = own.select("doc_id", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["doc_id", "bucket"])
+def _class_links(some: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes, by their numbers; ``some`` are the sketched rows with a set.  Signatures
+    and texts are looked up only for classes that share a bucket."""
+    buckets = (classes.select(F.col("number").alias("doc_id"), "bands", F.posexplode("bands").alias("band", "bucket"))
+               .where(F.array_position("bands", F.col("bucket")) == F.col("band") + 1).drop("bands"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(buckets.join(shared, "bucket").select("bucket", "band", "doc_id"), "buckets")
-    involved = stored(own.join(members.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(
-        F.first("sig").alias("sig"), F.first("z").alias("z")), "involved")
+    wanted = stored(classes.join(members.select(F.col("doc_id").alias("number")).distinct(), "number").select(
+        "number", "rep", F.col("set_id").alias("rep_set")), "wanted")
+    # rows of one id and set may be several; they have the same signature and set
+    involved = stored(some.select("doc_id", "set_id", "sig", "z").join(
+        wanted, some.doc_id.eqNullSafe(F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
+        .select(F.col("number").alias("doc_id"), "sig", "z").dropDuplicates(["doc_id"]), "involved")
     labelled, tested, links = members.withColumn("comp", F.col("doc_id")), None, None
     for _ in range(STAR_ROUNDS):
         pairs = stored(_star_pairs(labelled, tested), "stars")
@@ -386,7 +410,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     documents whose shingle sets have 100 * intersection >= percent * union."""
     sketched = stored(sketch(docs, words, percent / 100, id_col, text_col), "sketch")
     some = sketched.where("set_id is not null and doc_id is not null")
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("rep")).withColumn("number", _number(_seed(some)))
+    reps = _classes(some)
     links = _class_links(some, reps, words, percent)
     a, b = (reps.select(F.col("number").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
     links = links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
@@ -406,10 +430,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     texts that are no near copies all stay.  Rows without a word stay."""
     sketched = stored(sketch(docs, words, percent / 100, id_col, text_col, digest=True), "sketch")
     some = sketched.where("set_id is not null")
-    seed = _seed(some)
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("rep")).withColumn("number", _number(seed))
+    reps = _classes(some)
     comp = components(_class_links(some, reps, words, percent))
-    texts = some.groupBy(_number(seed).alias("number"), "doc_id", "digest").agg(F.count("*").alias("n"))
+    texts = (some.groupBy("set_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+             .join(reps.select("set_id", "number"), "set_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     texts = stored(texts.join(comp, F.col("number") == F.col("node"), "left").select(
         F.coalesce("component", "number").alias("comp"), order.alias("at"), "n"), "texts")
