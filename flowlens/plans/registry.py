@@ -19,7 +19,7 @@ from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..schemas import FEATURES, FIVE_TUPLE, FLOW_COLUMNS, US
 from ..sources import adapter as AD
-from ..session import cut_lineage
+from ..session import stored_table
 from ..sources.tables import read_table
 from . import dashboard as DB
 
@@ -82,11 +82,10 @@ def fixture_intervals(spark: SparkSession) -> DataFrame:
 
 
 def labeled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled flow table, written once (reliable checkpoint in the shared folder) so
-    that queries with several branches over it — counts and a page, a KPI row and model
-    scores, bucket bounds and bucket rows — read a stored table instead of recomputing
-    packets -> flows -> labels per branch.  This is the table the monitoring API serves."""
-    return cut_lineage(LB.label_flows(flows_of(spark, sf_dir), fixture_intervals(spark)))
+    """The labelled flow table, stored once so that queries with several branches over it — counts and a page, a KPI
+    row and model scores, bucket bounds and bucket rows — read a table (the columns and rows they need) instead of
+    recomputing packets -> flows -> labels per branch.  This is the table the monitoring API serves."""
+    return stored_table(LB.label_flows(flows_of(spark, sf_dir), fixture_intervals(spark)), "labeled")
 
 
 def prepared_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -790,7 +789,7 @@ def _scaled_sql(src: str) -> str:
 scaled as (select segment_id, seq, {_scaled_sql('sp')} from sp where split = 'test')""",
                                 body="select segment_id, seq, " + ", ".join(r6(f) for f in O.FEATURE_LIST) + " from scaled"))
 def q_scale_features(spark, d):
-    sp = split_of(spark, d)
+    sp = stored_table(split_of(spark, d), "split")  # read for the statistics and again for the rows
     st = ML.scaler_stats(sp.where(F.col("split") == "train"))
     out = ML.scale_features(sp.where(F.col("split") == "test"), st)
     return round_doubles(out.select("segment_id", "seq", *FEATURES))
@@ -805,7 +804,7 @@ errs as (select segment_id, seq, label,
 
 def _errors_spark(spark, d) -> DataFrame:
     """A21 with the mean reconstruction (x_hat = training mean, i.e. 0 after scaling)."""
-    sp = split_of(spark, d)
+    sp = stored_table(split_of(spark, d), "split")
     st = ML.scaler_stats(sp.where(F.col("split") == "train"))
     sc = ML.scale_features(sp, st)
     x = F.array(*[F.col(f) for f in FEATURES])

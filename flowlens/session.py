@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table into the shared checkpoint folder and read again: the lineage ends there, and
+    column pruning and filters reach the files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/flowlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(uri: str) -> str:
     """``file:/x`` or ``file:///x`` -> ``/x`` for Python file I/O; other schemes unchanged."""
     from urllib.parse import urlparse
