@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Numbered, batch, components, map_text, stored as _stored, text_slices
+from flowlens.llm.common import Numbered, batch, components, map_text, short_lived, stored as _stored, text_slices
 
 ROWS = 5             # signature positions of a band
 MISS = 1e-6          # chance to miss a pair right at the threshold in all bands
@@ -428,19 +428,21 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """``docs`` with one row of each group of near copies: that of the smallest id (null ids last), then of the smallest
     text digest; of rows that repeat id and text any one.  Groups follow from the texts alone, so rows of one id with
     texts that are no near copies all stay.  Rows without a word stay."""
-    sketched = stored(sketch(docs, words, percent / 100, id_col, text_col, digest=True), "sketch")
-    some = sketched.where("set_id is not null")
-    reps = _classes(some)
-    comp = components(_class_links(some, reps, words, percent))
-    texts = (some.groupBy("set_id", "doc_id", "digest").agg(F.count("*").alias("n"))
-             .join(reps.select("set_id", "number"), "set_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    texts = stored(texts.join(comp, F.col("number") == F.col("node"), "left").select(
-        F.coalesce("component", "number").alias("comp"), order.alias("at"), "n"), "texts")
-    first = texts.groupBy("comp").agg(F.min("at").alias("first"))
-    marked = texts.join(first, "comp").select(F.col("at.doc_id").alias("_nd_id"), F.col("at.digest").alias("_nd_digest"),
-                                              (F.col("at") == F.col("first")).alias("stays"), "n")
-    not_plain = stored(marked.where("not stays or n > 1"), "copies")
+    with short_lived(docs.sparkSession) as paths:
+        sketched = stored(sketch(docs, words, percent / 100, id_col, text_col, digest=True), "sketch")
+        some = sketched.where("set_id is not null")
+        reps = _classes(some)
+        comp = components(_class_links(some, reps, words, percent))
+        texts = (some.groupBy("set_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+                 .join(reps.select("set_id", "number"), "set_id"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+        texts = stored(texts.join(comp, F.col("number") == F.col("node"), "left").select(
+            F.coalesce("component", "number").alias("comp"), order.alias("at"), "n"), "texts")
+        first = texts.groupBy("comp").agg(F.min("at").alias("first"))
+        marked = texts.join(first, "comp").select(F.col("at.doc_id").alias("_nd_id"), F.col("at.digest").alias("_nd_digest"),
+                                                  (F.col("at") == F.col("first")).alias("stays"), "n")
+        not_plain = stored(marked.where("not stays or n > 1"), "copies")
+        paths.pop()  # the result reads this table; all others have done their work
     digest = F.unhex(F.md5(F.col(text_col).cast("string")))
 
     def match(other: DataFrame, how: str) -> DataFrame:
