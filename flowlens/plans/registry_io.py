@@ -59,8 +59,7 @@ select * exclude (is_ip) from (
 def q_scan_pcap(spark, d):
     """The packets as one capture file, decoded in byte ranges with exact packet numbers."""
     path = scratch(spark, "capture")
-    PC.register(spark)
-    PC.write_segments(packets_of(spark, d).withColumn("segment_id", F.lit(0).cast("long")), path)
+    PC.write_capture(packets_of(spark, d), path)
     back = PC.read_captures(spark, path, split_bytes=1 << 17)
     return back.where("is_ip").select("pkt_idx", "t_us", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len")
 

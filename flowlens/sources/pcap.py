@@ -26,6 +26,7 @@ import struct
 import time
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter,
@@ -233,6 +234,9 @@ def _iter_pcapng(fh):
 #: Bytes of a capture read at a time, and the largest frame that resynchronisation expects.
 READ_BYTES = 8 << 20
 MAX_FRAME = 1 << 18
+#: Buffer of a capture being written, and the most tasks that captures of up to MAX_TASKS * 64 MB are read in.
+WRITE_BYTES = 1 << 20
+MAX_TASKS = 1000
 
 
 class ClassicHeader(NamedTuple):
@@ -261,7 +265,8 @@ def classic_header(fh) -> ClassicHeader | None:
 def walk(fh, size: int, endian: str, at: int, end: int, read_bytes: int | None = None):
     """Records that begin in [at, end), a buffer at a time: (offset of the buffer, bytes, record offsets inside it, offset
     after its last record).  The only per-record Python is this walk over the length fields."""
-    length, want = struct.Struct(endian + "I").unpack_from, read_bytes or READ_BYTES
+    length = struct.Struct(endian + "I").unpack_from
+    want = read_bytes or min(READ_BYTES, end - at + MAX_FRAME + 16)  # no more than a range and its last record
     while at < end and at + 16 <= size:
         fh.seek(at)
         data = fh.read(min(want, size - at))
@@ -525,13 +530,26 @@ def _frame(src: str, sport: int, dst: str, dport: int, proto: int, length: int,
     return body + b"\x00" * max(0, length - len(body))
 
 
+def file_header(link: int = LINK_ETHERNET) -> bytes:
+    """Header of a classic little-endian µs pcap."""
+    return struct.pack("<IHHiIII", PCAP_MAGIC_US, 2, 4, 0, 0, 262144, link)
+
+
+def record_bytes(t_us, is_ip, src, sport, dst, dport, proto, length) -> bytes:
+    fr = _frame(src, sport or 0, dst, dport or 0, proto or 0, length, is_ip)
+    return struct.pack("<IIII", t_us // 1_000_000, t_us % 1_000_000, len(fr), len(fr)) + fr
+
+
+def record_size():
+    """Bytes of a packet's record, as a column: what ``record_bytes`` writes for it."""
+    from pyspark.sql import functions as F
+    ip = F.lit(34) + F.when(F.col("proto") == 6, 20).otherwise(8)
+    return F.lit(16) + F.greatest(F.when(F.col("is_ip"), ip).otherwise(14), "len").cast("long")
+
+
 def pcap_bytes(rows, link: int = LINK_ETHERNET) -> bytes:
     """Classic little-endian µs pcap of rows (t_us, is_ip, src, sport, dst, dport, proto, len)."""
-    out = [struct.pack("<IHHiIII", PCAP_MAGIC_US, 2, 4, 0, 0, 262144, link)]
-    for t_us, is_ip, src, sport, dst, dport, proto, length in rows:
-        fr = _frame(src, sport or 0, dst, dport or 0, proto or 0, length, is_ip)
-        out.append(struct.pack("<IIII", t_us // 1_000_000, t_us % 1_000_000, len(fr), len(fr)) + fr)
-    return b"".join(out)
+    return b"".join([file_header(link), *(record_bytes(*r) for r in rows)])
 
 
 class _Written(WriterCommitMessage):
@@ -547,25 +565,20 @@ class PcapWriter(DataSourceWriter):
         self.path = local_path(options.get("path"))   # a POSIX path (local or a shared mount)
 
     def write(self, iterator):
+        """A segment's records go to its file as its rows come, so memory does not follow the segment's size."""
         os.makedirs(self.path, exist_ok=True)
-        files, cur, rows = [], None, []
-
-        def flush():
-            if cur is None:
-                return
-            name = os.path.join(self.path, f"capture.pcap{cur}")
+        files = []
+        for segment, rows in groupby(iterator, key=lambda r: r.segment_id):
+            if segment is None:
+                continue
+            name = os.path.join(self.path, f"capture.pcap{segment}")
             tmp = name + ".inprogress"
-            with open(tmp, "wb") as fh:
-                fh.write(pcap_bytes(rows))
+            with open(tmp, "wb", WRITE_BYTES) as fh:
+                fh.write(file_header())
+                for r in rows:
+                    fh.write(record_bytes(r.t_us, r.is_ip, r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.proto, r.len))
             os.replace(tmp, name)   # atomic publish: a reader never sees half a segment
             files.append(name)
-
-        for r in iterator:
-            if r.segment_id != cur:
-                flush()
-                cur, rows = r.segment_id, []
-            rows.append((r.t_us, r.is_ip, r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.proto, r.len))
-        flush()
         return _Written(files)
 
 
@@ -597,6 +610,52 @@ def write_segments(packets, path: str) -> None:
      .write.format("pcap").mode("append").option("path", path).save())
 
 
+def write_capture(packets, path: str, segment: int = 0) -> None:
+    """Write a packets DataFrame, in the order of ``pkt_idx``, as the one capture file of ``segment``.
+
+    The packets are sorted into ranges; the sizes of a range's records give where in the file it begins, and each range
+    is written there by a task of its own, record by record.  The file gets its name when all ranges are written.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from ..session import local_path, stored_table
+    folder = local_path(path)   # a POSIX path (local or a shared mount), as in PcapWriter
+    os.makedirs(folder, exist_ok=True)
+    name = os.path.join(folder, f"capture.pcap{segment}")
+    tmp = name + ".inprogress"
+    ranges = stored_table(packets.repartitionByRange("pkt_idx").select("*", F.spark_partition_id().alias("_range")),
+                          "capture-ranges")
+    starts, at = {}, 24
+    for r in ranges.groupBy("_range").agg(F.sum(record_size()).alias("size")).orderBy("_range").collect():
+        starts[r["_range"]] = (at, at + r["size"])
+        at += r["size"]
+    with open(tmp, "wb") as fh:
+        fh.write(file_header())
+        fh.truncate(at)
+
+    fields = ["t_us", "is_ip", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "len"]
+
+    def put(batches):
+        rows = ((r["_range"], [r[c] for c in fields]) for b in batches for k in range(0, b.num_rows, 4096)
+                for r in b.slice(k, 4096).to_pylist())
+        for number, own in groupby(rows, key=lambda r: r[0]):
+            n = 0
+            with open(tmp, "r+b", WRITE_BYTES) as fh:
+                fh.seek(starts[number][0])
+                for _, row in own:
+                    fh.write(record_bytes(*row))
+                    n += 1
+                if fh.tell() != starts[number][1]:
+                    raise ValueError(f"{tmp}: range {number} ends at {fh.tell()}, not at {starts[number][1]}")
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    if starts:
+        (ranges.repartition(len(starts), "_range").sortWithinPartitions("_range", "pkt_idx")
+         .select("_range", *fields).mapInArrow(put, "n long").agg(F.sum("n")).collect())
+    os.replace(tmp, name)   # atomic publish: a reader never sees half a capture
+
+
 def _located(rows: Iterator, from_end: bool) -> Iterator:
     """Add to each byte range where its first record begins, where the first record after it begins, and its records."""
     import pyarrow as pa
@@ -638,7 +697,7 @@ def read_captures(spark, path: str, min_age_s: float = 0.0, split_bytes: int = 6
     rows = [(f, segment_id(f), size, k, at, min(at + split_bytes, size), 0, 0, 0, True)
             for f, size in list_captures(path, min_age_s)
             for k, at in enumerate(range(0, max(size, 1), split_bytes))]
-    tasks = max(1, len(rows))
+    tasks = max(1, min(len(rows), max(MAX_TASKS, sum(r[5] - r[4] for r in rows) >> 26)))
 
     def located(ranges, from_end: bool):
         return cut_lineage(ranges.repartition(tasks).mapInArrow(lambda b: _located(b, from_end), _RANGE))

@@ -157,3 +157,52 @@ def test_ids_follow_from_the_name_alone(tmp):
     assert PC.segment_id(os.path.join(tmp, "capture.pcap3")) == 3 and first > 1 << 60
     assert PC.segment_ids([os.path.join(tmp, "other.pcap3"), os.path.join(tmp, "capture.pcap3")])[os.path.join(tmp, "other.pcap3")] == first
     assert PC.segment_id("file://" + tmp + "/other.pcap3") == first
+
+
+def test_writer_does_not_hold_a_segment(tmp):
+    import tracemalloc
+    from collections import namedtuple
+    row = namedtuple("row", "segment_id t_us is_ip src_ip src_port dst_ip dst_port proto len")
+    made = (row(None if i < 3 else 5, i, True, "10.0.0.1", 1, f"10.0.1.{i % 7}", 2, 17, 200) for i in range(30_000))
+    tracemalloc.start()
+    files = PC.PcapWriter({"path": tmp}).write(made).files
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [os.path.basename(f) for f in files] == ["capture.pcap5"] and peak < 3 << 20
+    assert os.path.getsize(files[0]) == 24 + 29_997 * 216
+
+
+def test_one_capture_is_written_by_many_tasks(spark, tmp, monkeypatch):
+    rng = random.Random(4)
+    rows = [(9, i, 1_704_067_200_000_000 + i, None if i == 7 else rng.random() < 0.9, "10.0.0.1", i % 60_000,
+             "10.0.1.2", None if i == 8 else 80, None if i == 9 else rng.choice([1, 6, 17]), rng.randrange(20, 400))
+            for i in range(4000)]
+    want = PC.pcap_bytes([r[2:] for r in rows])
+    rng.shuffle(rows)
+    packets = spark.createDataFrame(rows, PC.PACKET_DDL)
+    seen, put = [], type(packets).mapInArrow
+    monkeypatch.setattr(type(packets), "mapInArrow", lambda df, *a: seen.append(df.rdd.getNumPartitions()) or put(df, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        PC.write_capture(packets, "file://" + tmp, 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    with open(os.path.join(tmp, "capture.pcap3"), "rb") as fh:
+        assert fh.read() == want
+    assert os.listdir(tmp) == ["capture.pcap3"] and max(seen) > 1
+    PC.write_capture(packets.limit(0), tmp, 4)
+    with open(os.path.join(tmp, "capture.pcap4"), "rb") as fh:
+        assert fh.read() == PC.pcap_bytes([])
+
+
+def test_a_range_is_not_read_beyond_its_last_record():
+    data = _capture(30_000, embed=False)
+    read = []
+
+    class File(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    list(PC.walk(File(data), len(data), "<", 24, 5000))
+    assert sum(read) <= 5000 + PC.MAX_FRAME + 16 < len(data)
