@@ -25,13 +25,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Numbered, batch, components, map_text, short_lived, stored as _stored, text_slices
+from flowlens.llm.common import (Numbered, batch, components, map_text, scratch_path, short_lived, stored as _stored,
+                                 text_slices)
 
 ROWS = 5             # signature positions of a band
 MISS = 1e-6          # chance to miss a pair right at the threshold in all bands
@@ -43,11 +45,12 @@ CELL_ROWS = 3000     # members compared at once, over cells
 PAIRS = 50_000       # pairs tested at once
 SET_ITEMS = 2 << 20  # shingles that a task keeps, and numbers at once
 CLASS_PARTS = 1 << 22  # hash parts in which classes are numbered
+COPY_KEYS = 4 << 20  # hashes of copies that are sent to all tasks; beyond, texts are shuffled to find them
 _A_SEED = 20240229
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return _stored(df, name, lean=True)
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    return _stored(df, name, lean=True, path=path)
 
 
 def n_bands(threshold: float) -> int:
@@ -373,27 +376,63 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
 
 
 def _classes(some: DataFrame) -> DataFrame:
-    """set_id, rep (smallest id, or null), bands and number of each class: its place among the sets of one hash part,
-    below the part's own number, so numbers are unique without a global order and parts grow with the classes only."""
-    sets = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn(
+    """set_id, rep (smallest id, or null), bands, file and row of one of its sketches, and number of each class: its place
+    among the sets of one hash part, below the part's own number, so numbers are unique without a global order and parts
+    grow with the classes only."""
+    sets = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
+                                      F.first(F.struct("file", "row")).alias("at")).withColumn(
         "part", F.pmod(F.xxhash64("set_id"), F.lit(CLASS_PARTS)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("set_id"))
-    return stored(sets.select("set_id", "rep", "bands", (F.shiftleft("part", 40) + place).alias("number")), "classes")
+    return stored(sets.select("set_id", "rep", "bands", "at.file", "at.row", (F.shiftleft("part", 40) + place).alias("number")), "classes")
 
 
-def _class_links(some: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes, by their numbers; ``some`` are the sketched rows with a set.  Signatures
-    and texts are looked up only for classes that share a bucket."""
+def _sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str,
+              digest: bool = False) -> tuple[DataFrame, str]:
+    """The stored sketch with each row's file and place in it, and its folder."""
+    folder = scratch_path(docs.sparkSession, "sketch")
+    table = stored(sketch(docs, words, percent / 100, id_col, text_col, digest), "sketch", folder)
+    return table.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")), folder
+
+
+def _looked_up(wanted: DataFrame, folder: str) -> DataFrame:
+    """doc_id (a class's number), sig and z of the rows of the stored sketch that ``wanted`` (number, file, row) names.
+    The names go to the files, so that signatures and texts are not shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("z", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+        system, base = fs.FileSystem.from_uri(folder)
+        names = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("file", "row", "number")), strict=True)
+                                    for b in batches)
+        for file, own in groupby(names, key=lambda r: r[0]):
+            rows, numbers = (np.array(x, np.int64) for x in list(zip(*own, strict=True))[1:])
+            with system.open_input_file(f"{base}/{file}") as f:
+                table, first = parquet.ParquetFile(f), 0
+                for g in range(table.num_row_groups):
+                    end = first + table.metadata.row_group(g).num_rows
+                    i, j = np.searchsorted(rows, [first, end])
+                    if i < j:
+                        held = table.read_row_group(g, ["sig", "z"], use_threads=False)
+                        for k in range(i, j, 1000):
+                            e = min(k + 1000, j)
+                            some = held.take(pa.array(rows[k:e] - first)).combine_chunks()
+                            yield batch(schema, numbers[k:e], *(some.column(c).chunk(0) for c in ("sig", "z")))
+                    first = end
+
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (wanted.select("number", "file", "row").repartition(parts, "file").sortWithinPartitions("file", "row")
+            .mapInArrow(run, "doc_id long, sig binary, z binary"))
+
+
+def _class_links(folder: str, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes, by their numbers; the sketch is in ``folder``.  Signatures and texts are
+    looked up only for classes that share a bucket."""
     buckets = (classes.select(F.col("number").alias("doc_id"), "bands", F.posexplode("bands").alias("band", "bucket"))
                .where(F.array_position("bands", F.col("bucket")) == F.col("band") + 1).drop("bands"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(buckets.join(shared, "bucket").select("bucket", "band", "doc_id"), "buckets")
-    wanted = stored(classes.join(members.select(F.col("doc_id").alias("number")).distinct(), "number").select(
-        "number", "rep", F.col("set_id").alias("rep_set")), "wanted")
-    # rows of one id and set may be several; they have the same signature and set
-    involved = stored(some.select("doc_id", "set_id", "sig", "z").join(
-        wanted, some.doc_id.eqNullSafe(F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
-        .select(F.col("number").alias("doc_id"), "sig", "z").dropDuplicates(["doc_id"]), "involved")
+    wanted = classes.join(members.select(F.col("doc_id").alias("number")).distinct(), "number")
+    involved = stored(_looked_up(wanted, folder), "involved")
     labelled, tested, links = members.withColumn("comp", F.col("doc_id")), None, None
     for _ in range(STAR_ROUNDS):
         pairs = stored(_star_pairs(labelled, tested), "stars")
@@ -408,10 +447,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id): links join
     documents whose shingle sets have 100 * intersection >= percent * union."""
-    sketched = stored(sketch(docs, words, percent / 100, id_col, text_col), "sketch")
+    sketched, folder = _sketched(docs, words, percent, id_col, text_col)
     some = sketched.where("set_id is not null and doc_id is not null")
     reps = _classes(some)
-    links = _class_links(some, reps, words, percent)
+    links = _class_links(folder, reps, words, percent)
     a, b = (reps.select(F.col("number").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
     links = links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # a doc_id that several documents bear joins their classes
@@ -429,10 +468,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     text digest; of rows that repeat id and text any one.  Groups follow from the texts alone, so rows of one id with
     texts that are no near copies all stay.  Rows without a word stay."""
     with short_lived(docs.sparkSession) as paths:
-        sketched = stored(sketch(docs, words, percent / 100, id_col, text_col, digest=True), "sketch")
+        sketched, folder = _sketched(docs, words, percent, id_col, text_col, digest=True)
         some = sketched.where("set_id is not null")
         reps = _classes(some)
-        comp = components(_class_links(some, reps, words, percent))
+        comp = components(_class_links(folder, reps, words, percent))
         texts = (some.groupBy("set_id", "doc_id", "digest").agg(F.count("*").alias("n"))
                  .join(reps.select("set_id", "number"), "set_id"))
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
@@ -444,13 +483,21 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         not_plain = stored(marked.where("not stays or n > 1"), "copies")
         paths.pop()  # the result reads this table; all others have done their work
     digest = F.unhex(F.md5(F.col(text_col).cast("string")))
-
-    def match(other: DataFrame, how: str) -> DataFrame:
-        return docs.join(other.select("_nd_id", "_nd_digest"), F.col(id_col).cast("long").eqNullSafe(F.col("_nd_id"))
-                         & (digest == F.col("_nd_digest")), how)
-
-    again = match(not_plain.where("stays"), "left_semi").withColumn("_nd_text", digest)
-    return match(not_plain, "left_anti").unionByName(again.dropDuplicates([id_col, "_nd_text"]).drop("_nd_text"))
+    number = F.col(id_col).cast("long")
+    marks = not_plain.select("_nd_id", "_nd_digest", "stays")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("_nd_text", digest).join(
+            marks, number.eqNullSafe(F.col("_nd_id")) & (F.col("_nd_text") == F.col("_nd_digest")), "left")
+        first = met.where("stays").dropDuplicates([id_col, "_nd_text"])
+        return met.where("stays is null").unionByName(first).select(*docs.columns)
+
+    if not_plain.count() > COPY_KEYS:
+        return parted(docs)
+    # rows that bear the hash of a copy's id and digest are few; the others stay where they are
+    keys = F.broadcast(not_plain.select(F.xxhash64("_nd_id", "_nd_digest").alias("_nd_key")).distinct())
+    same = F.xxhash64(number, digest) == F.col("_nd_key")
+    return docs.join(keys, same, "left_anti").unionByName(parted(docs.join(keys, same, "left_semi")))
 
 
 __all__ = ["near_duplicates", "one_of_each", "least_matches", "n_bands", "signature", "Shingler"]

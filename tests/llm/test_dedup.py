@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import embedup, neardup, suffixdedup
 from flowlens.llm.common import components
@@ -211,3 +212,52 @@ def test_embedding_query(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{SF001}/embeddings.parquet").collect()]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in QUERIES["op8_rp_forest"](spark, SF001).collect())
     assert got == vectors_by_hand(rows, 0.93)
+
+
+def test_removed_bytes_take_few_bytes_of_memory_each(tmp):
+    import tracemalloc
+    size, rng = 4 << 20, np.random.default_rng(1)
+    s = np.sort(rng.integers(0, size - 50, 1000))
+    suffixdedup._store("file://" + tmp, "1.found", suffixdedup._pack(s, s + 50))
+    suffixdedup._store("file://" + tmp, "1.more", suffixdedup._pack(s[:10] + 7, s[:10] + 57))
+    want = np.zeros(size, dtype=bool)
+    for i in [*s, *s[:10] + 7]:
+        want[i:i + 50] = True
+    tracemalloc.start()
+    gone = suffixdedup._gone("file://" + tmp, 1, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (gone == want).all() and peak < 8 * size  # it was 28 bytes for each byte of text
+
+
+def test_signatures_are_looked_up_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Also over several files and row groups, and with rows of one set in several places."""
+    monkeypatch.setattr("flowlens.llm.common.ROW_GROUP_BYTES", 4096)
+    rows = [(i, f"a{i % 400} b{i % 400} c{i % 400} d e f g" + " w" * (i % 40)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sketched, folder = neardup._sketched(docs, 3, 85, "doc_id", "text")
+    all_rows = {r["doc_id"]: (bytes(r["sig"]), bytes(r["z"])) for r in sketched.collect()}
+    wanted = sketched.where("doc_id % 7 < 2").withColumn("number", F.col("doc_id") + 5000)
+    found = neardup._looked_up(wanted, folder)
+    got = {r["doc_id"] - 5000: (bytes(r["sig"]), bytes(r["z"])) for r in found.collect()}
+    assert got == {k: v for k, v in all_rows.items() if k % 7 < 2} and len(got) > 200
+    exchanged = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in x]
+    assert len(exchanged) == 1 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_of_each_moves_only_rows_like_copies(spark, monkeypatch):
+    rows = [(i % 90, f"text of its own number {i % 60} " * 5) for i in range(150)] + [(None, "no id here"), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = neardup.one_of_each(docs)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+        monkeypatch.setattr(neardup, "COPY_KEYS", 0)
+        many = neardup.one_of_each(docs)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+        a, b = (sorted(map(tuple, x.collect()), key=key) for x in (few, many))
+        assert a == b and sum(t is None for _, t in a) == 2 and len(a) == 63
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
