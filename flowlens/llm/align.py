@@ -193,9 +193,10 @@ def _bundle_rows(bundle: int, ids: pa.Array, found: dict, digests: bool) -> Iter
          pa.ListArray.from_arrays(offsets, pc.cast(flat[0], pa.int32())),
          pa.ListArray.from_arrays(offsets, pc.cast(flat[1], pa.int64()))], schema=_SCHEMA)
     if len(coded):
-        yield pa.RecordBatch.from_pydict(
-            {c.name: [None] for c in _SCHEMA} | {"bundle": [bundle], "pairs": [coded.dictionary.to_pylist()],
-                                                 "k": [partial.column("place_count").to_pylist()]}, schema=_SCHEMA)
+        one = pa.array([0, len(coded.dictionary)], pa.int32())
+        own = {"bundle": pa.array([bundle], pa.int64()), "pairs": pa.ListArray.from_arrays(one, coded.dictionary),
+               "k": pa.ListArray.from_arrays(one, partial.column("place_count").combine_chunks())}
+        yield pa.RecordBatch.from_arrays([own.get(c.name, pa.nulls(1, c.type)) for c in _SCHEMA], schema=_SCHEMA)
 
 
 _SIDES: dict[tuple[str, str], tuple[ByteLevelSide, PieceSide]] = {}

@@ -131,6 +131,9 @@ class WordBpe(UnitPool):
         self.id_text: list[str] = []
         self.token_text: list[str] = []
 
+    def shrink(self) -> None:
+        self.clear()
+
     def merge_long(self, word: bytes) -> list[int]:
         """The same merges with a heap of (rank, position) over linked parts."""
         parts = [int(self.inner[b]) for b in word[:-1]] + [int(self.last[word[-1]])]

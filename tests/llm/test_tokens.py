@@ -35,6 +35,31 @@ def test_unit_encoding_equals_the_library(vocab, docs001):
     assert enc.encode([None, ""])[1].tolist() == [0, 0] and enc.encode([])[0].tolist() == []
 
 
+def test_unit_encoding_asks_the_library_once(vocab):
+    """A full memo keeps the words that come again; a word with signs after it is not encoded anew."""
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.asked = tok, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.asked += texts
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    path = vocab("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    enc = UnitEncoder(path, memo_units=100)
+    enc.tok = Counted(enc.tok)
+    for i in range(20):
+        text = "x common words come again common words come again " + " ".join(f"rare{i}q{k}" for k in range(30))
+        assert enc.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(t.split().count("common") for t in enc.tok.asked) == 1 and len(enc.memo) <= 131
+    enc = UnitEncoder(path)
+    enc.tok = Counted(enc.tok)
+    for text in ("x common words", "x common, words. common: words.\nCommon,", "x end \n", "x words.", "x é. é'. <|endoftext|>. a's, 1."):
+        assert enc.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(t.count("common") for t in enc.tok.asked) == 1 and sum(t.count("words") for t in enc.tok.asked) == 1
+
+
 def test_word_bpe_equals_the_library(vocab, docs001):
     path = vocab("word_bpe_49k.json")
     tok = tokenizers.Tokenizer.from_file(path)
