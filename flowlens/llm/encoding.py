@@ -20,6 +20,8 @@ from flowlens.llm.common import Numbered
 
 #: Units kept by one worker (about 200 bytes each); when the memo is full its rarest units go.
 MEMO_UNITS = 800_000
+#: The same where a worker has other work before and after.
+LEAN_MEMO_UNITS = 100_000
 #: Units that are joined to one string for the library, whose work on a string goes beyond that on its words.
 JOINED_UNITS = 256
 #: A unit that ends in a few of these signs after one of these letters splits there for certain (every Unicode version
@@ -205,11 +207,11 @@ class UnitEncoder(UnitPool):
         return np.concatenate(out), np.cumsum(lens)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, memo_units: int = MEMO_UNITS) -> UnitEncoder:
     """The worker process's encoder for a tokenizer file (it and its memo live as long as the process)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    if (path, memo_units) not in _ENCODERS:
+        _ENCODERS[path, memo_units] = UnitEncoder(path, memo_units)
+    return _ENCODERS[path, memo_units]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import batch, map_text, stored, text_slices
-from flowlens.llm.encoding import encoder
+from flowlens.llm.encoding import LEAN_MEMO_UNITS, MEMO_UNITS, encoder
 
 #: Rows of one ranking task; the number of hash parts follows from it.
 RANK_ROWS = 20_000
@@ -46,14 +46,15 @@ class Capacity:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, with_ids: bool = True, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and (``with_ids``) ids as little-endian unsigned 32-bit binary."""
+           text_col: str = "text", lean: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and (``with_ids``) ids as little-endian unsigned 32-bit binary; ``lean``:
+    a worker remembers fewer words, and none when a task has ended."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
+        enc, end = encoder(tokenizer, LEAN_MEMO_UNITS if lean else MEMO_UNITS), np.array([end_id], dtype="<u4")
         for doc_ids, texts in text_slices(batches):
             ids, ends = enc.encode(texts)
             ids, prev, rows = ids.astype("<u4"), 0, []
@@ -66,6 +67,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int, with_ids:
                     rows.append((doc, k, start, cut - start, zlib.crc32(raw), raw)[:len(fields)])
                     start, cut = cut, cut + tokens
             yield batch(schema, *map(list, zip(*rows, strict=True)))
+        if lean:
+            enc.clear()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return map_text(docs, run, ddl, id_col, text_col)
@@ -140,7 +143,7 @@ def pack(found: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: Capacity = Capacity(), with_ids: bool = True,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", lean: bool = False) -> DataFrame:
     """Pieces of every document with their places; the pieces are stored once so that texts are encoded once."""
-    found = stored(pieces(docs, tokenizer, end_id, cap.tokens, with_ids, id_col, text_col), "pieces")
+    found = stored(pieces(docs, tokenizer, end_id, cap.tokens, with_ids, id_col, text_col, lean), "pieces")
     return pack(found, cap)

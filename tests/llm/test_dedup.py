@@ -261,3 +261,31 @@ def test_one_of_each_moves_only_rows_like_copies(spark, monkeypatch):
         assert a == b and sum(t is None for _, t in a) == 2 and len(a) == 63
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+
+
+def test_suffix_bundles_take_few_bytes(spark, tmp_path, docs001):
+    """The anchors of a bundle and the mask of its removed bytes; smaller bundles give the same texts."""
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    cols = suffixdedup.bundle_anchors(np.array([1, 2]), np.array([False, False]), np.array([1 << 19, 1 << 20]), raw)
+    assert sum(c.itemsize for c in cols) <= 24
+    assert suffixdedup.bundle_hashes(np.array([1, 2]), np.array([False, False]), np.array([1 << 19, 1 << 20]), raw).tolist() \
+        == np.unique(cols[4]).tolist()
+    folder, size = f"file://{tmp_path}", 4 << 20
+    s = np.sort(rng.choice(size - 200, 2000, replace=False)).astype(np.int32)
+    e, p = s + rng.integers(50, 200, len(s)).astype(np.int32), rng.choice(size - 50, 500)
+    suffixdedup._store(folder, "1.found", suffixdedup._pack(s, e))
+    suffixdedup._store(folder, "1.more", suffixdedup._pack(p, p + 50))
+    tracemalloc.start()
+    gone = suffixdedup._gone(folder, 1, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(size, bool)
+    for a, b in [*zip(s, e), *zip(p, p + 50)]:
+        want[a:b] = True
+    assert (gone == want).all() and peak < 3 * size
+    assert not suffixdedup._gone(folder, 2, 10).any()
+    big, small = (sorted((r.doc_id, r.text) for r in suffixdedup.deduplicate(docs001, bundle_bytes=b).collect())
+                  for b in (suffixdedup.BUNDLE_BYTES, 1 << 16))
+    assert big == small

@@ -60,6 +60,17 @@ def test_unit_encoding_asks_the_library_once(vocab):
     assert sum(t.count("common") for t in enc.tok.asked) == 1 and sum(t.count("words") for t in enc.tok.asked) == 1
 
 
+def test_lean_pieces_forget_their_words(spark, vocab, docs001):
+    from flowlens.llm import encoding
+    path = vocab("byte_bpe_50k.json")
+
+    some = docs001.coalesce(1)
+    lean = packing.pieces(some, path, 0, 64, with_ids=False, lean=True).collect()
+    assert sorted(lean) == sorted(packing.pieces(some, path, 0, 64, with_ids=False).collect())
+    alone = encoding.encoder(path, encoding.LEAN_MEMO_UNITS)
+    assert alone is encoding.encoder(path, encoding.LEAN_MEMO_UNITS) and alone is not encoding.encoder(path)
+
+
 def test_word_bpe_equals_the_library(vocab, docs001):
     path = vocab("word_bpe_49k.json")
     tok = tokenizers.Tokenizer.from_file(path)
