@@ -80,9 +80,36 @@ def features(text: str) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.struct([("id", pa.int64()), ("lang", pa.string())])), ("x", pa.binary())])
+    """Features leave compressed: most are zero, and the driver holds the rows in its JVM and again in Python."""
+    import zstandard
+    schema = pa.schema([("row", pa.struct([("id", pa.int64()), ("lang", pa.string())])), ("z", pa.binary())])
+    press = zstandard.ZstdCompressor(level=3)
     for rows, texts in text_slices(batches):
-        yield batch(schema, rows, [features(t or "").tobytes() for t in texts])
+        yield batch(schema, rows, [press.compress(features(t or "").tobytes()) for t in texts])
+
+
+def _distinct(rows: list) -> tuple[list[str], list[bytes]]:
+    """Language and compressed features of the distinct rows, by id (nulls last), language and features."""
+    import zstandard
+    unpress, by = zstandard.ZstdDecompressor(), {}
+    for r in rows:
+        by.setdefault((r["row"]["id"] is None, r["row"]["id"] or 0, r["row"]["lang"]), set()).add(bytes(r["z"]))
+    langs, packed = [], []
+    for key in sorted(by):
+        own = by[key] if len(by[key]) == 1 else dict(sorted((unpress.decompress(z), z) for z in by[key])).values()
+        langs += [key[2]] * len(own)
+        packed += own
+    return langs, packed
+
+
+def _matrix(packed: list[bytes], wanted: np.ndarray) -> np.ndarray:
+    """The features of the wanted rows, one text after another so that they are held once."""
+    import zstandard
+    unpress, at = zstandard.ZstdDecompressor(), np.flatnonzero(wanted)
+    x = np.empty((len(at), DIM), np.float32)
+    for k, i in enumerate(at.tolist()):
+        x[k] = np.frombuffer(unpress.decompress(packed[i]), np.float32)
+    return x
 
 
 def fit(docs: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id",
@@ -108,18 +135,16 @@ def fit(docs: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col:
     picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(
         F.col("r") <= max_rows)
     # at most max_rows rows for each language
-    got = picked.select(F.struct("id", "lang").alias("row"), "text").mapInArrow(
-        _featured, "row struct<id:long,lang:string>, x binary").collect()
-    got = sorted({(r["row"]["id"] is None, r["row"]["id"] or 0, r["row"]["lang"], bytes(r["x"])) for r in got})
-    x = np.vstack([np.frombuffer(g[3], np.float32) for g in got])
-    y = np.array([langs.index(g[2]) for g in got])
+    labels, packed = _distinct(picked.select(F.struct("id", "lang").alias("row"), "text").mapInArrow(
+        _featured, "row struct<id:long,lang:string>, z binary").collect())
+    y = np.array([langs.index(k) for k in labels])
     target = (code[y] + 1) / 2
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[~held])) < len(langs):
         held[:] = False
-    w, b = fit_dense(x[~held], target[~held])
+    w, b = fit_dense(_matrix(packed, ~held), target[~held])
     test = held if held.any() else ~held
-    right = ((x[test] @ w + b > 0) == (target[test] > 0.5)).mean(0)
+    right = ((_matrix(packed, test) @ w + b > 0) == (target[test] > 0.5)).mean(0)
     weight = np.maximum(right - 0.5, 0.01)
     return LanguageModel(langs, code, w, b, weight / weight.mean())
 

@@ -29,7 +29,7 @@ def fit_sparse(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray,
 
 def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.3, l2: float = 1e-4):
     """As ``fit_sparse`` for a dense matrix and several 0/1 target columns at once; returns (weights, biases)."""
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     y = y.astype(np.float32)
     w = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32)
     b = np.zeros(y.shape[1], dtype=np.float32)

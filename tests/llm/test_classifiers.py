@@ -1,4 +1,6 @@
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -95,6 +97,26 @@ def test_language_edge_cases(spark, docs001, odd_docs, no_docs):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs001, one).collect()} == {("en", 1.0)}
 
 
+def test_training_rows_are_held_once_on_the_driver(spark):
+    rng, rows = random.Random(3), [(7, "one id, two texts", "xx"), (7, "another text of it", "xx"), (None, "no id", "yy")]
+    for i in range(600):
+        word = "abcdefghij" if i % 2 else "fghijklmno"
+        rows.append((i + 10, "".join(rng.choice(word + " ") for _ in range(900)), "xy"[i % 2] * 2))
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string").repartition(4)
+    langid.fit(docs.limit(50), F.lit(True), max_rows=5)  # imports
+    tracemalloc.start()
+    model = langid.fit(docs, F.lit(True), max_rows=700)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = sorted({(i is None, i or 0, k, langid.features(t).tobytes()) for i, t, k in rows})
+    x = np.vstack([np.frombuffer(r[3], np.float32) for r in want])
+    target = (langid.codewords(2)[[("xx", "yy").index(r[2]) for r in want]] + 1) / 2
+    held = np.arange(len(want)) % 5 == 0
+    w, b = linear.fit_dense(x[~held], target[~held])
+    assert np.array_equal(model.weights, w) and np.array_equal(model.bias, b)
+    assert most < 1.3 * x.nbytes
+
+
 def test_ambiguity_flag():
     code = langid.codewords(4)
     m = langid.LanguageModel(list("abcd"), code, None, None, np.ones(code.shape[1]))
