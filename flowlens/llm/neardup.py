@@ -53,6 +53,13 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return _stored(df, name, lean=True, path=path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that is sorted and merged, whatever size Spark takes the two sides for.  It goes by
+    their compressed files and counts a row that ``explode`` makes many of once, so it would have the driver collect and
+    broadcast a table of twenty or thirty times the size it allows."""
+    return df.hint("merge")
+
+
 def n_bands(threshold: float) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - threshold ** ROWS)))
 
@@ -207,14 +214,14 @@ def confirm(pairs: DataFrame, involved: DataFrame, words: int, percent: int) ->
                 if out:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
 
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "z_a", "z_b")
+    return (pairs.join(unsent(left), "a").join(unsent(right), "b").select("a", "b", "sig_a", "sig_b", "z_a", "z_b")
             .mapInArrow(run, "a long, b long"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket members with their present component ``comp``."""
     comp = components(links)
-    return members.join(comp, members.doc_id == comp.node, "left").select(
+    return members.join(unsent(comp), members.doc_id == comp.node, "left").select(
         "bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
 
 
@@ -222,13 +229,13 @@ def _star_pairs(members: DataFrame, tested: DataFrame | None) -> DataFrame:
     """For each class the bucket minimum of another component with which it shares most buckets, not tested before."""
     low = members.groupBy("bucket", "comp").agg(F.min("doc_id").alias("doc"))
     first = low.groupBy("bucket").agg(F.min(F.struct("doc", "comp")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    second = (low.join(first, "bucket").where("comp <> m.comp").groupBy("bucket")
+    second = (low.join(unsent(first), "bucket").where("comp <> m.comp").groupBy("bucket")
               .agg(F.first("m").alias("m"), F.min("doc").alias("other")))
-    pairs = members.join(second, "bucket").select(
+    pairs = members.join(unsent(second), "bucket").select(
         F.col("doc_id").alias("a"), F.when(F.col("comp") == F.col("m.comp"), F.col("other")).otherwise(
             F.col("m.doc")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     if tested is not None:
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(unsent(tested.select("a", "b")), ["a", "b"], "left_anti")
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("nb"))).alias("x"))
     return best.select("a", (-F.col("x.nb")).alias("b"))
 
@@ -258,7 +265,7 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
     size = size.select("bucket", F.col("big.comp").alias("big"),
                        F.ceil((F.col("n") - F.col("big.n")) / BLOCK_A).cast("int").alias("ga"),
                        F.ceil(F.col("n") / BLOCK_B).cast("int").alias("gb"))
-    at = members.join(size, "bucket")
+    at = members.join(unsent(size), "bucket")
     mine_a = F.pmod(F.xxhash64("doc_id"), F.col("ga")).cast("int")
     mine_b = F.pmod(F.xxhash64("doc_id"), F.col("gb")).cast("int")
     a = at.where("comp <> big").select("bucket", "band", "doc_id", "comp", F.lit(True).alias("outside"),
@@ -267,7 +274,7 @@ def _rest_links(members: DataFrame, involved: DataFrame, words: int, percent: in
     b = at.select("bucket", "band", "doc_id", "comp", (F.col("comp") != F.col("big")).alias("outside"),
                   F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ga") - 1)).alias("ia"),
                   mine_b.alias("ib"))
-    cells = a.unionByName(b).join(involved, "doc_id")
+    cells = a.unionByName(b).join(unsent(involved), "doc_id")
     threshold = percent / 100
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -430,8 +437,8 @@ def _class_links(folder: str, classes: DataFrame, words: int, percent: int) -> D
     buckets = (classes.select(F.col("number").alias("doc_id"), "bands", F.posexplode("bands").alias("band", "bucket"))
                .where(F.array_position("bands", F.col("bucket")) == F.col("band") + 1).drop("bands"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(buckets.join(shared, "bucket").select("bucket", "band", "doc_id"), "buckets")
-    wanted = classes.join(members.select(F.col("doc_id").alias("number")).distinct(), "number")
+    members = stored(buckets.join(unsent(shared), "bucket").select("bucket", "band", "doc_id"), "buckets")
+    wanted = classes.join(unsent(members.select(F.col("doc_id").alias("number")).distinct()), "number")
     involved = stored(_looked_up(wanted, folder), "involved")
     labelled, tested, links = members.withColumn("comp", F.col("doc_id")), None, None
     for _ in range(STAR_ROUNDS):
@@ -452,12 +459,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = _classes(some)
     links = _class_links(folder, reps, words, percent)
     a, b = (reps.select(F.col("number").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
-    links = links.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    links = links.join(unsent(a), "a").join(unsent(b), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # a doc_id that several documents bear joins their classes
-    same = (some.select("doc_id", "set_id").join(reps, "set_id")
+    same = (some.select("doc_id", "set_id").join(unsent(reps), "set_id")
             .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     comp = components(links.unionByName(same))
-    return (sketched.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left")
+    return (sketched.select("doc_id", "n_shingles").join(unsent(comp), F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 

@@ -87,6 +87,21 @@ def test_near_duplicate_query_and_edge_cases(spark, docs001, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_broadcast_no_buckets(spark):
+    """Pairs of near copies: 72,000 rows of buckets from a small table of classes, whose files look small to Spark."""
+    texts = [[f"g{i // 2}x{k}" for k in range(60)] for i in range(3000)]
+    for i in range(1, 3000, 2):
+        texts[i][i % 60] = "other"
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    key = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, "2m")  # a broadcast beyond it fails
+    try:
+        got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == [(i, i - i % 2) for i in range(3000)]
+
+
 def test_bayes_bound_is_the_posterior():
     for n, t in ((20, 0.85), (60, 0.8), (120, 0.85)):
         x = neardup.least_matches(n, t, 1e-3)
